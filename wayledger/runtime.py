@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _staged: dict[str, SparkSession] = {}
 
@@ -58,6 +59,25 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+HOT_KEYS = 50_000  # keys a broadcast of hot keys may hold
+HOT_ROWS = 10_000  # rows below which no key is hot
+
+
+def weighted_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, one row per key, whose ``weight`` is the key's rows in ``rows``.
+
+    Keys with more than total / HOT_KEYS rows are hot. There can be no more than HOT_KEYS of them,
+    so they are broadcast; the rest is shuffled by key, and no key of it is large.
+    """
+    hot = F.col(weight) > F.lit(max(HOT_ROWS, total // HOT_KEYS))
+    found = keyed.where(hot).collect()
+    if not found:
+        return rows.join(keyed, key)
+    held = rows.sparkSession.createDataFrame(found, keyed.schema)
+    cold = rows.join(F.broadcast(held.select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(F.broadcast(held), key).select(*cold.columns).unionByName(cold)
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in list(_staged.items()):
