@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayledger.llm.leaks import leaked_items
 from wayledger.llm.sampling import ProportionalSample
 from wayledger.llm.splits import record_groups, split_assignment, split_targets
 from wayledger.llm.terms import marked_terms
 from wayledger.llm.text import photo_column, term_column
+from wayledger.llm.tokens import encode_corpus
 from wayledger.plans.registry import Catalog
 from wayledger.runtime import read
 
 CATALOG = Catalog()
+TOKENIZERS = "/opt/tokenizers"
 
 # white space as Python's str.split has it
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -106,3 +109,21 @@ CATALOG.query("p5_report", _UNITS + "select distinct dimension, category, want_r
 def p5_sample(spark, d):
     """(dimension, category, sample_id): the drawn sample, keys in plain spelling."""
     return _sample(spark, d).draw().withColumnRenamed("record", "sample_id")
+
+
+@CATALOG.query("p6_ids")
+def p6_ids(spark, d, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json"):
+    return encode_corpus(read(spark, d, "documents"), "text", ["doc_id"], vocabulary)
+
+
+def _leaks(spark, d):
+    return leaked_items(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_item"), "item_id", "text")
+
+
+CATALOG.query("p7_found")(_leaks)
+
+
+@CATALOG.query("p7_items")
+def p7_items(spark, d):
+    """(item_id, n_documents): the leaked items and in how many documents each leaks."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
