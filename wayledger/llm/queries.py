@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayledger.llm.leaks import leaked_items
 from wayledger.llm.sampling import ProportionalSample
 from wayledger.llm.splits import record_groups, split_assignment, split_targets
+from wayledger.llm.stuffing import stuffed_pages
 from wayledger.llm.terms import marked_terms
 from wayledger.llm.text import photo_column, term_column
 from wayledger.llm.tokens import encode_corpus
@@ -127,3 +128,18 @@ CATALOG.query("p7_found")(_leaks)
 def p7_items(spark, d):
     """(item_id, n_documents): the leaked items and in how many documents each leaks."""
     return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def _stuffed(spark, d):
+    return stuffed_pages(read(spark, d, "documents"), "doc_id", "text")
+
+
+@CATALOG.query("p8_found")
+def p8_found(spark, d):
+    return _stuffed(spark, d).select("doc_id")
+
+
+@CATALOG.query("p8_shares")
+def p8_shares(spark, d):
+    """(doc_id, word_share, char_share): stuffed pages and how much of them is stuffing."""
+    return _stuffed(spark, d).select("doc_id", F.round("word_share", 4).alias("word_share"), F.round("char_share", 4).alias("char_share"))
