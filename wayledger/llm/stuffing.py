@@ -207,7 +207,8 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
     def weights(flagged: np.ndarray, n: float) -> np.ndarray:
         # repeated words of one line count once on either side
         rest = np.maximum(0, in_lines - flagged)
-        odds = np.log((flagged + 0.5) / (n + 1)) - np.log((rest + 0.5) / (max(0, n_lines - n) + 1))
+        part = n / max(n_lines, n + 1)  # smoothed towards the share of flagged lines, so a rare word leans to neither side
+        odds = np.log((flagged + part) / part) - np.log((rest + 1 - part) / (1 - part))
         return np.clip(odds, -rules.clip, rules.clip)
 
     for _ in range(rules.rounds - 1):
