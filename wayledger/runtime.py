@@ -87,6 +87,15 @@ def _clean() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work in Python.
+
+    Only an input that comes in fewer splits than cores is moved; larger ones stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; looks at no more than one row beyond the bound."""
     return df.limit(rows + 1).count() <= rows
