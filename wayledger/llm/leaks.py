@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from wayledger.runtime import stage
+from wayledger.runtime import spread, stage
 
 WINDOW = 13
 SHINGLE = 5
@@ -142,10 +142,11 @@ def leaked_items(documents: DataFrame, document: str, text: str, items: DataFram
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(("doc", "item"), fields))
     texts = items.select(F.col(item).alias("item"), F.make_valid_utf8(F.col(item_text)).alias("text")).where("item is not null and text is not null").distinct()
     blocks = max(1, -(-texts.count() // block))
+    corpus = spread(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")))
     found = None
     for b in range(blocks):
         part = texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else texts
-        some = _leaks_of_block(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")), [(r.item, r.text) for r in part.collect()], window, shingle, schema)
+        some = _leaks_of_block(corpus, [(r.item, r.text) for r in part.collect()], window, shingle, schema)
         found = some if found is None else found.unionByName(some)
     return found.distinct().select(F.col("doc").alias(document), F.col("item").alias(item))
 

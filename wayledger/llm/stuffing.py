@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from wayledger.runtime import stage, weighted_join
+from wayledger.runtime import spread, stage, weighted_join
 
 VOCABULARY = 100_000
 PIECE = 1000  # characters after which a long line is cut at the next white space
@@ -187,7 +187,7 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
     in the statistics and comes out once. A corpus without seeds has no cases, an empty table gives no rows.
     """
     spark = documents.sparkSession
-    pages = documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")).where(F.col("text").isNotNull())
+    pages = spread(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")).where(F.col("text").isNotNull()))
     doc_type = pages.schema["doc"].dataType
     result = f"doc {doc_type.simpleString()}, word_share double, char_share double"
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.text import term_column
-from wayledger.runtime import stage
+from wayledger.runtime import spread, stage
 
 CONTAINER = 256  # terms a container holds before it bursts
 CHUNK = 4096  # terms in one emitted subtree
@@ -229,9 +229,10 @@ def term_frequencies(rows: DataFrame, fields: list[str], record: str, route_entr
     distinct non-null values of ``record``. A very long value is a term like any other.
     Empty tables give no rows; other columns of ``rows`` are ignored, whatever their names.
     """
-    spread = rows.select(F.col(record).alias("record"), F.array(*[F.struct(F.lit(f).alias("field"), term_column(F.col(f)).alias("term")) for f in fields]).alias("each"))
+    each = spread(rows.select(F.col(record).alias("record"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]))
+    each = each.select("record", F.array(*[F.struct(F.lit(f).alias("field"), term_column(F.col(f"f{i}")).alias("term")) for i, f in enumerate(fields)]).alias("each"))
     distinct = (
-        spread.select("record", F.inline("each"))
+        each.select("record", F.inline("each"))
         .where(F.col("term").isNotNull())
         .groupBy("field", "term", "record")
         .agg(F.count("*").alias("n"))

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayledger.runtime import spread
+
 #: Fixed value: how byte-level BPE vocabularies split text before merging.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -147,9 +149,9 @@ def encode_corpus(documents: DataFrame, text: str, keep: list[str], vocabulary:
     """The columns ``keep`` of every row and the ids of its whole text.
 
     Null and empty texts get an empty list; blank text is encoded as it is; special tokens' strings are
-    ordinary text; bytes that are no UTF-8 count as U+FFFD. Narrow: no shuffle. Repeated rows stay,
+    ordinary text; bytes that are no UTF-8 count as U+FFFD. No shuffle, but for inputs of few splits. Repeated rows stay,
     an empty table stays empty.
     """
     encode, _ = encoder_of(documents.sparkSession, vocabulary)
     column: Column = F.make_valid_utf8(F.col(text))
-    return documents.select(*keep, encode(column).alias(name))
+    return spread(documents.select(*keep, column.alias(name))).select(*keep, encode(name).alias(name))
