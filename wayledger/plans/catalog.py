@@ -1,6 +1,6 @@
 """All queries of the core library."""
 
-from wayledger.plans import pipeline
+from wayledger.plans import pipeline, relational
 from wayledger.plans.registry import Catalog
 
-CATALOG = Catalog().merge(pipeline.CATALOG)
+CATALOG = Catalog().merge(pipeline.CATALOG, relational.CATALOG)
