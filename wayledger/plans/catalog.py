@@ -1,6 +1,6 @@
 """All queries of the core library."""
 
-from wayledger.plans import annotation, pipeline, relational
+from wayledger.plans import annotation, pipeline, relational, shapes, tracks
 from wayledger.plans.registry import Catalog
 
-CATALOG = Catalog().merge(pipeline.CATALOG, relational.CATALOG, annotation.CATALOG)
+CATALOG = Catalog().merge(pipeline.CATALOG, relational.CATALOG, annotation.CATALOG, tracks.CATALOG, shapes.CATALOG)
