@@ -119,7 +119,7 @@ def time_arithmetic(spark, d):
     return read(spark, d, "events").select("event_id", F.unix_micros(S.add_micros(_c("ts"), F.lit(1500))).alias("later"), S.micros_between(F.lit("2024-01-01").cast("timestamp"), _c("ts")).alias("since"))
 
 
-@q("number_functions", "select c_custkey, sign(c_acctbal)::int as s, least(greatest(c_acctbal, 0), 5000) as c, case when c_acctbal < 100 then -1 when c_acctbal > 100 then 1 else 0 end as cmp, power(2, ceil(log2(c_custkey)))::bigint as p, isfinite(c_acctbal) as f from customer")
+@q("number_functions", "select c_custkey, sign(c_acctbal)::int as s, least(greatest(c_acctbal, 0), 5000) as c, case when c_acctbal < 100 then -1 when c_acctbal > 100 then 1 else 0 end as cmp, power(2, ceil(log2(greatest(c_custkey, 1))))::bigint as p, isfinite(c_acctbal) as f from customer")
 def number_functions(spark, d):
     a = _c("c_acctbal")
     return read(spark, d, "customer").select("c_custkey", F.signum(a).cast("int").alias("s"), S.clamp(a, 0.0, 5000.0).alias("c"), S.compare(a, F.lit(100)).alias("cmp"), S.next_power_of_two(_c("c_custkey")).alias("p"), S.is_finite(a).alias("f"))
