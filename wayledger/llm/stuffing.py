@@ -7,7 +7,7 @@ more than half of its characters.
    (PMI) of each pair.
 2. Seeds are lines made of words that the page repeats all the time and whose neighbours are either
    collocations (high PMI) that the page repeats excessively, or word salad (low mean PMI), and lines
-   that are mostly links. Prose, tables and logs lack one or the other.
+   that are mostly links. Lines of full sentences and of numbers are none.
 3. The words of the seeds, against those of all other lines, train a bag-of-words classifier on
    all lines; it judges all lines again and learns from its own verdicts, a few rounds. So stuffing is found
    that repeats too little to be a seed. Its vocabulary is the VOCABULARY words found in most lines, a
@@ -39,6 +39,7 @@ PIECE = 1000  # characters after which a long line is cut at the next white spac
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]+)+/\S*|\b[a-z][\w-]*\.(?:com|net|org|info|example)\b", re.IGNORECASE)
+_SENTENCE = re.compile(r"[^.!?]+[.!?]+(?=[\s\"'»”)]|$)")
 _NUMBERED = re.compile(r"\s*(?:\[\d+\]|\d+[.)])\s")
 
 
@@ -56,6 +57,8 @@ class Rules:
     salad_length: int = 8  # words a salad has at least
     numbers: float = 0.15  # share of numbers among words that no seed reaches
     link_numbers: float = 0.25
+    sentence: int = 8  # words from which an ended sentence counts as prose
+    prose: float = 0.5  # share of a line's words in such sentences that no seed reaches
     links: float = 0.4  # share of a line's characters in links
     rounds: int = 3
     clip: float = 4.0  # bound of a word's log odds
@@ -85,6 +88,12 @@ def link_share(line: str) -> float:
     return sum(map(len, _LINK.findall(line))) / len(line) if "." in line else 0.0
 
 
+def prose_share(line: str, least: int) -> float:
+    """Share of the words that are in sentences of at least ``least`` words with an end."""
+    lengths = [len(_WORD.findall(x)) for x in _SENTENCE.findall(line)]
+    return sum(n for n in lengths if n >= least) / max(1, len(_WORD.findall(line)))
+
+
 def _pairs(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:]) if a != "0" and b != "0"]
 
@@ -137,7 +146,7 @@ def _coder(held, rules: Rules, schema: pa.Schema):
                     row["known"] += known
                     row["at"] += [i] * len(known)
                     share = sum(n_words[x] >= many_words for x in plain) / len(plain) if plain else 0
-                    if share >= rules.words_repeated and numbers < rules.numbers and not linked and p:
+                    if share >= rules.words_repeated and numbers < rules.numbers and not linked and p and prose_share(line, rules.sentence) < rules.prose:
                         row["seed_at"].append(i)
                         row["seed_share"].append(share)
                         row["seed_known"].append(sorted(set(known)))
