@@ -30,7 +30,8 @@ def segments(points: DataFrame, track: str, t: str, values: tuple[str, ...]) ->
 def interpolate(points: DataFrame, times: DataFrame, track: str = "track_id", t: str = "dt", values: tuple[str, ...] = ("lon", "lat"), query: str = "qt") -> DataFrame:
     """(track, query, values, rate of each value): positions and velocities at the query times.
 
-    Linear between the points around a time; before the first and after the last point the value stays and the rate is 0.
+    Linear between the points around a time, at a point with the rate of the segment that ends there; up to the first
+    and after the last point the value stays and the rate is 0.
     Points have unique times. Both sides are ordered together and swept once, so a query meets the
     nearest points without a range join.
     """
@@ -39,16 +40,15 @@ def interpolate(points: DataFrame, times: DataFrame, track: str = "track_id", t:
         times.select(track, F.col(query).cast("double").alias("_t"), F.lit(1).alias("_q"), *[null.alias(v) for v in values]).distinct()
     )
     at = F.when(F.col("_q") == 0, F.struct("_t", *values))
-    # a point at the very time of a query comes before it, and so counts as the left end
-    before = W.partitionBy(track).orderBy("_t", "_q").rowsBetween(W.unboundedPreceding, 0)
+    # a query lies in the segment that ends at it: points of its very time count to the right
+    before = W.partitionBy(track).orderBy("_t", F.desc("_q")).rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy(track).orderBy(F.desc("_t"), "_q").rowsBetween(W.unboundedPreceding, 0)
     swept = both.select(track, "_t", "_q", F.last(at, ignorenulls=True).over(before).alias("l"), F.last(at, ignorenulls=True).over(after).alias("r")).where("_q = 1")
     left, right = F.col("l"), F.col("r")
-    exact = left["_t"] == F.col("_t")
     share = (F.col("_t") - left["_t"]) / (right["_t"] - left["_t"])
     out = []
     for v in values:
-        inner = F.when(exact | right.isNull(), left[v]).when(left.isNull(), right[v]).otherwise(left[v] + share * (right[v] - left[v]))
+        inner = F.when(right.isNull(), left[v]).when(left.isNull() | (right["_t"] == F.col("_t")), right[v]).otherwise(left[v] + share * (right[v] - left[v]))
         rate = F.when(left.isNull() | right.isNull(), F.lit(0.0)).otherwise((right[v] - left[v]) / (right["_t"] - left["_t"]))
         out += [inner.alias(v), rate.alias(f"{v}_rate")]
     return swept.where("l is not null or r is not null").select(track, F.col("_t").alias(query), *out)

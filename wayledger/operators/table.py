@@ -74,15 +74,16 @@ def with_position(df: DataFrame, order: list[str], name: str = "row_index") -> D
     partitions' sizes are summed on the driver, and positions are counted within each partition.
     """
     keys = [F.col(f"`{_field(df, f)}`").asc_nulls_first() for f in order]
-    parts = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "positions")
-    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}  # one row a partition
+    parts = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "positions")
+    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}  # one row a partition
     starts, at = [], 0
     for p in sorted(sizes):
         starts.append((p, at))
         at += sizes[p]
-    begin = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start bigint"))
-    within = W.partitionBy("_part").orderBy(*keys)
-    return parts.withColumn("_n", F.row_number().over(within)).join(begin, "_part").withColumn(name, F.col("_start") + F.col("_n") - 1).drop("_part", "_start", "_n")
+    begin = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __start bigint"))
+    within = W.partitionBy("__part").orderBy(*keys)
+    numbered = parts.withColumn("__row", F.row_number().over(within)).join(begin, "__part")
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__row") - 1).alias(name))
 
 
 def erase_rows(df: DataFrame, order: list[str], positions: Iterable[int]) -> DataFrame:

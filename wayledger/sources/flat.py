@@ -24,13 +24,10 @@ _WKT = {POINT: "POINT", MULTIPOINT: "MULTIPOINT", POLYLINE: "(MULTI)?LINESTRING"
 
 def sniff_separator(head: str) -> str:
     """The separator that cuts the first lines into equally many columns, the most if several do."""
-    best, most = ",", 0
-    for s in SEPARATORS:
-        rows = [r for r in csv.reader(io.StringIO(head), delimiter=s) if r][:SNIFF_LINES]
-        widths = {len(r) for r in rows}
-        if len(widths) == 1 and max(widths) > most:
-            best, most = s, max(widths)
-    return best
+    tables = {s: [r for r in csv.reader(io.StringIO(head), delimiter=s) if r][:SNIFF_LINES] for s in SEPARATORS}
+    even = [s for s, rows in tables.items() if len({len(r) for r in rows}) == 1 and len(rows[0]) > 1]
+    # with short rows no separator cuts evenly; then the header decides
+    return max(even or [s for s, rows in tables.items() if rows] or [","], key=lambda s: len(tables[s][0]) if tables[s] else 0)
 
 
 def unique_headers(names: list[str]) -> list[str]:
@@ -82,8 +79,12 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None, infer
     head = "\n".join(r.value for r in spark.read.text(path).limit(SNIFF_LINES + 1).collect())
     separator = separator or sniff_separator(head)
     names = unique_headers(next(csv.reader(io.StringIO(head), delimiter=separator), []))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).csv(path, sep=separator, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", nullValue="\x00", emptyValue="", ignoreLeadingWhiteSpace=False)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__short"]])
+    cells = spark.read.schema(schema).csv(path, sep=separator, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__short")
+    # an empty cell is read as null; it is one of a short row only if nothing follows it there
+    later = lambda i: F.coalesce(*[F.col(f"`{n}`") for n in names[i + 1 :]], F.lit(None)).isNotNull()
+    there = lambda i: F.col("__short").isNull() | later(i)
+    raw = cells.select(*[F.when(F.col(f"`{n}`").isNull() & there(i), "").otherwise(F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)])
     if not infer or not names:
         return raw
     masks = column_masks(raw).first().asDict()
