@@ -1,5 +1,6 @@
 import datetime
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,12 @@ def test_retry():
     assert jobs.retry(flaky, wait=waits.append) == "ok" and waits == [1.0, 2.0]
     with pytest.raises(OSError):
         jobs.retry(lambda: (_ for _ in ()).throw(OSError()), attempts=2, wait=waits.append)
+
+
+def test_schema_of_existing_tables(spark):
+    road = S.parse_schema(TEXT).tables["road"]
+    df = spark.createDataFrame([], road.struct())
+    back = S.table_of(df, "road")
+    assert S.equal_tables(replace(road, indexes=()), back) and back.field("label").title == "Label"
+    df.createOrReplaceTempView("road_view")
+    assert list(S.catalog_schema(spark, tables=["road_view"]).tables) == ["road_view"]

@@ -137,3 +137,47 @@ def test_scalar_edges(spark):
     assert rows[0].h is None and rows[2].f == 2166136261 and rows[3].f is None
     q = spark.createDataFrame([("a=1&b=&a=2&&c",)], "q string").select(scalars.query_string(F.col("q")).alias("m")).first().m
     assert q == {"a": "1", "b": "", "c": ""}
+
+
+def test_circles(spark):
+    from wayledger.functions.circles import solve_circle, solve_circles
+
+    rng = np.random.default_rng(2)
+    th = (np.arange(4) + rng.uniform(-0.01, 0.01, 4)) * np.pi / 2
+    clicked = np.column_stack([10 * np.cos(th) - 300, 10 * np.sin(th) - 200])
+    out = solve_circle(clicked)
+    assert len(out) == 15 and np.abs(np.linalg.norm(out - [-300, -200], axis=1) - 10).max() < 0.5
+    h = np.array([[2.0, 0.1, 5], [0.2, 1.5, -3], [0.1, 0.3, 1]])  # a tilted view
+    view = lambda a: (lambda p: p[:, :2] / p[:, 2:])(np.column_stack([np.cos(a), np.sin(a), np.ones(len(a))]) @ h.T)
+    got = solve_circle(view(np.arange(8) * np.pi / 4))
+    assert np.abs(got - view(np.arange(15) * 2 * np.pi / 15)).max() < 1e-3
+    rows = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(clicked)] + [(2, 0, 1.0, 1.0), (2, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "circle_id int, n int, x double, y double")
+    assert {r.circle_id: r["count"] for r in solve_circles(df).groupBy("circle_id").count().collect()} == {1: 15, 2: 1}
+    with pytest.raises(ValueError):
+        solve_circle(clicked[:2])
+
+
+def test_motion_stream_agrees_with_batch(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(t), float(rng.normal(0, 9)), float(20 + rng.normal(0, 9)), float(rng.uniform(5, 40))) for t in range(120) for k in (1, 2)]
+    schema = "track_id int, dt double, dx double, dy double, diff double"
+    for i in range(3):
+        spark.createDataFrame(rows[i * 80 : i * 80 + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        import time
+
+        time.sleep(0.05)
+    from wayledger.streaming.jobs import motion_stream
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = motion_stream(stream, "track_id", "dt", "dx", "dy", "diff").writeStream.format("memory").queryName("motion").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = S.motion_state(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, spark.table("motion").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_xml(spark):
+    df = spark.createDataFrame([('<row id="3"><name>x</name></row>',)], "t string")
+    x = df.select(scalars.xml_parse(F.col("t"), "_id int, name string").alias("x"))
+    assert tuple(x.first().x) == (3, "x")
+    assert "<name>x</name>" in x.select(scalars.xml_text(F.col("x")).alias("t")).first().t

@@ -226,3 +226,23 @@ def test_geometry_columns(spark):
     rows = df.select(wkt.geom_area(F.col("g")).alias("a"), wkt.geom_contains_point(F.col("g"), F.lit(3.0), F.lit(3.0)).alias("i"), wkt.geom_contains_point(F.col("g"), F.lit(1.5), F.lit(1.5)).alias("h"), wkt.geom_intersects_box(F.col("g"), 4, 4, 9, 9).alias("b")).collect()
     assert tuple(rows[0]) == (15.0, True, False, True)
     assert rows[1].i is None and rows[2].i is None
+
+
+@pytest.mark.parametrize(
+    "a, b, meets, covers",
+    [
+        ("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", "POINT(4 2)", True, True),
+        ("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", "LINESTRING(-1 2, 5 2)", True, False),
+        (SQUARE, "POINT(1.5 1.5)", False, False),
+        (SQUARE, "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", True, False),
+        ("POLYGON((0 0, 9 0, 9 9, 5 9, 5 3, 4 3, 4 9, 0 9, 0 0))", "LINESTRING(1 8, 8 8)", True, False),
+        ("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0))", "POLYGON((1 1, 2 1, 2 2, 1 1))", True, True),
+        ("POLYGON((1 1, 2 1, 2 2, 1 1))", "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0))", True, False),
+        ("LINESTRING(0 0, 2 2)", "LINESTRING(0 2, 2 0)", True, False),
+        ("LINESTRING(0 0, 2 2)", "LINESTRING(3 3, 4 4)", False, False),
+        ("MULTIPOINT((1 1), (2 2))", "POINT(2 2)", True, True),
+    ],
+)
+def test_predicates(a, b, meets, covers):
+    x, y = wkt.parse_wkt(a), wkt.parse_wkt(b)
+    assert (wkt.intersects(x, y), wkt.intersects(y, x), wkt.covers(x, y)) == (meets, meets, covers)

@@ -213,6 +213,15 @@ def json_valid(c: Column, schema: str, required: list[str]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def xml_parse(c: Column, schema: str) -> Column:
+    """A struct of the elements (and attributes, as _name) of an XML text; null members where they are missing."""
+    return F.from_xml(c, schema)
+
+
+def xml_text(value: Column, row_tag: str = "row") -> Column:
+    return F.to_xml(value, {"rowTag": row_tag})
+
+
 # --- times --------------------------------------------------------------------------------------------------
 
 

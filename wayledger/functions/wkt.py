@@ -368,7 +368,92 @@ def geom_point_text(x, y):
     return F.format_string("POINT(%.6f %.6f)", x, y)
 
 
-def register(spark) -> None:
-    """The geometry functions under their SQL names."""
-    for name, f in {"st_geomfromtext": geom_from_wkt, "st_geomfromwkb_struct": geom_from_wkb, "st_astext_struct": geom_to_wkt, "st_aswkb_struct": geom_to_wkb}.items():
-        spark.udf.register(name, f)
+def geom_length(geom):
+    """Length of lines, or around rings."""
+
+    def part(p):
+        v, n = p["xy"], F.size(p["xy"])
+        last = F.when(p["closed"], n).otherwise(n - 1)
+        steps = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.sqrt(F.pow(v[(i + 1) % n][0] - v[i][0], 2) + F.pow(v[(i + 1) % n][1] - v[i][1], 2)))
+
+    return F.aggregate(geom["parts"], F.lit(0.0), lambda a, p: a + part(p))
+
+
+# --- predicates of two geometries ------------------------------------------------------------------------------------
+
+
+def _edges(g: dict) -> list[tuple]:
+    return [(a[:2], b[:2]) for p in g["parts"] for a, b in zip(p["xy"], (p["xy"][1:] + p["xy"][:1]) if p["closed"] else p["xy"][1:])]
+
+
+def _side(a, b, c) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def _on(a, b, c) -> bool:
+    return _side(a, b, c) == 0 and min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+
+
+def _cross(e, f) -> bool:
+    """Whether two segments share a point."""
+    (a, b), (c, d) = e, f
+    s = [_side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b)]
+    if s[0] * s[1] < 0 and s[2] * s[3] < 0:
+        return True
+    return _on(a, b, c) or _on(a, b, d) or _on(c, d, a) or _on(c, d, b)
+
+
+def _covers(g: dict, p: list[float]) -> bool:
+    """Whether a point is in or on a geometry."""
+    if g["kind"] == "polygon":
+        return any(_on(a, b, p) for a, b in _edges(g)) or sum(contains(q["xy"], p[0], p[1]) for q in g["parts"]) % 2 == 1
+    return any(_on(a, b, p) for a, b in _edges(g)) or any(v[:2] == p[:2] for q in g["parts"] for v in q["xy"])
+
+
+def intersects(a: dict, b: dict) -> bool:
+    """Whether two geometries share a point."""
+    if any(_cross(e, f) for e in _edges(a) for f in _edges(b)):
+        return True
+    return any(_covers(b, v) for p in a["parts"] for v in p["xy"]) or any(_covers(a, v) for p in b["parts"] for v in p["xy"])
+
+
+def covers(a: dict, b: dict) -> bool:
+    """Whether no point of ``b`` is outside ``a``."""
+    if not b["parts"] or not all(_covers(a, v) for p in b["parts"] for v in p["xy"]):
+        return False
+    for e in _edges(b):
+        cuts = [0.0, 1.0]
+        for f in _edges(a):
+            (x0, y0), (x1, y1) = e
+            (u0, v0), (u1, v1) = f
+            whole = (x1 - x0) * (v1 - v0) - (y1 - y0) * (u1 - u0)
+            if whole:
+                cuts.append(((u0 - x0) * (v1 - v0) - (v0 - y0) * (u1 - u0)) / whole)
+        cuts = sorted(c for c in cuts if 0 <= c <= 1)
+        for s, t in zip(cuts, cuts[1:]):
+            m = (s + t) / 2
+            if t - s > 1e-12 and not _covers(a, [e[0][0] + m * (e[1][0] - e[0][0]), e[0][1] + m * (e[1][1] - e[0][1])]):
+                return False
+    holes = [p["xy"] for p in a["parts"] if p["closed"] and not p["exterior"]]
+    return b["kind"] != "polygon" or not any(sum(contains(q["xy"], *_inner(h)) for q in b["parts"]) % 2 for h in holes)
+
+
+def _inner(ring: Ring) -> tuple[float, float]:
+    """A point inside a ring: between the first two crossings of a level between two of its vertices."""
+    ys = sorted({v[1] for v in ring})
+    y = (ys[0] + ys[1]) / 2 if len(ys) > 1 else ys[0]
+    xs = sorted(a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in zip(ring, ring[1:] + ring[:1]) if (a[1] > y) != (b[1] > y))
+    return ((xs[0] + xs[1]) / 2 if len(xs) > 1 else ring[0][0]), y
+
+
+def _predicate(f: Callable):
+    @F.arrow_udf(T.BooleanType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else f(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+    return run
+
+
+geom_intersects = _predicate(intersects)
+geom_contains = _predicate(covers)

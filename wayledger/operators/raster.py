@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayledger.functions.geometry import box_of, inside
 from wayledger.operators.series import upper_median
 
 
@@ -130,6 +131,16 @@ def kmeans(points: DataFrame, k: int = 5, iterations: int = 10, seed: int = 1) -
     return KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="_xy", predictionCol="cluster").fit(table).transform(table).drop("_xy")
 
 
+def fill_polygons(shapes: DataFrame, name: str, ring: str, width: int, height: int) -> DataFrame:
+    """(name, x, y) of the cells whose centres are in a ring, each ring over its own bounding box only."""
+    b = box_of(F.col(ring))
+    low = lambda v: F.greatest(F.floor(v).cast("int"), F.lit(0))
+    boxed = shapes.where(F.size(ring) >= 3).withColumns({"_x1": low(b["x1"]), "_y1": low(b["y1"]), "_x2": F.least(F.floor(b["x2"]).cast("int"), F.lit(width - 1)), "_y2": F.least(F.floor(b["y2"]).cast("int"), F.lit(height - 1))})
+    rows = boxed.where("_x1 <= _x2 and _y1 <= _y2").withColumn("y", F.explode(F.sequence("_y1", "_y2")))
+    cells = rows.withColumn("x", F.explode(F.sequence("_x1", "_x2")))
+    return cells.where(inside(F.col("x") + 0.5, F.col("y") + 0.5, F.array(ring))).select(name, "x", "y")
+
+
 # --- tile pyramid ---------------------------------------------------------------------------------------------------
 
 

@@ -215,7 +215,9 @@ def emitted_frames(points: DataFrame, track: str = "track_id", t: str = "dt", x:
     return fold_track(points.select(track, t, x, y, speed), track, [t], _Emit, step, f"{track} {points.schema[track].dataType.simpleString()}, {t} double")
 
 
-class _Motion:
+class Motion:
+    """State of the frames of one track so far."""
+
     def __init__(self) -> None:
         self.direction = self.bias = None
         self.diff = 0.0
@@ -225,47 +227,52 @@ class _Motion:
         self.resync = False
 
 
-def motion_state(frames: DataFrame, track: str = "track_id", t: str = "dt", dx: str = "dx", dy: str = "dy", diff: str = "diff", ahead: float = 90.0, window: float = 45.0, interval: int = 100) -> DataFrame:
+def motion_schema(key_type: str, track: str, t: str) -> str:
+    return f"{track} {key_type}, {t} double, bias_x double, bias_y double, dir_x double, dir_y double, avg_diff double, resync boolean"
+
+
+def motion_step(s: Motion, row, t: str, dx: str, dy: str, diff: str, ahead: float = 90.0, window: float = 45.0, interval: int = 100) -> list[tuple]:
+    """The state after one frame, as rows of ``motion_schema`` without the track."""
+    x, y, d = getattr(row, dx), getattr(row, dy), getattr(row, diff)
+    size = math.hypot(x, y) or 0.01
+    unit = (x / size, y / size)
+    stopped, straight = size < 3.0, abs(math.degrees(math.atan2(y, x)) - ahead) < window
+    did = False
+    if s.frame == 0:
+        s.direction, s.bias, s.diff = unit, (x, y), d
+    else:
+        if s.until_check <= 0 or s.resync:
+            s.until_check = interval
+            near = all(math.hypot(x - a, y - b) <= 20 for a, b in s.recent)
+            if math.hypot(x - s.bias[0], y - s.bias[1]) > 20 and d < s.diff:
+                s.resync = True
+            if s.resync and d < s.diff and near and len(s.recent) == 5:
+                s.bias, s.resync, did = (x, y), False, True
+            s.recent = [*s.recent, (x, y)][-5:]
+        else:
+            s.until_check -= 1
+        cross, dot = s.direction[0] * y - s.direction[1] * x, s.direction[0] * x + s.direction[1] * y
+        if abs(math.degrees(math.atan2(cross, dot))) > 10 and not stopped:
+            s.until_check = min(s.until_check, 15)
+        if straight and not stopped:
+            s.direction = tuple(a + 0.005 * (u - a) for a, u in zip(s.direction, unit))
+        if d < 2 * s.diff:
+            s.bias = tuple(a + 0.15 * (v - a) for a, v in zip(s.bias, (x, y)))
+            s.diff += 0.05 * (d - s.diff)
+    s.frame += 1
+    return [(getattr(row, t), *s.bias, *s.direction, s.diff, did)]
+
+
+def motion_state(frames: DataFrame, track: str = "track_id", t: str = "dt", dx: str = "dx", dy: str = "dy", diff: str = "diff", **options) -> DataFrame:
     """(track, t, bias_x, bias_y, dir_x, dir_y, avg_diff, resync) after each frame.
 
     Moving averages of direction (rate 0.005), displacement (0.15) and image difference (0.05); displacement and difference
-    learn only from frames whose difference is below twice the average. Every ``interval`` frames, or 15 after
-    a deviation over 10 degrees, the raw displacement is checked: it replaces the average
-    if the difference is below average and the last five checks agree within 20 pixels.
+    learn only from frames whose difference is below twice the average. Every ``interval`` frames (100), or 15 after
+    a deviation over 10 degrees, the raw displacement is checked. If it is off by more than 20 pixels in a good frame, checks
+    go on until one agrees with the five before it within 20 pixels and replaces the average.
     """
-
-    def step(s: _Motion, row) -> list[tuple]:
-        x, y, d = getattr(row, dx), getattr(row, dy), getattr(row, diff)
-        size = math.hypot(x, y) or 0.01
-        unit = (x / size, y / size)
-        stopped, straight = size < 3.0, abs(math.degrees(math.atan2(y, x)) - ahead) < window
-        did = False
-        if s.frame == 0:
-            s.direction, s.bias, s.diff = unit, (x, y), d
-        else:
-            if s.until_check <= 0:
-                s.until_check = interval
-                near = all(math.hypot(x - a, y - b) <= 20 for a, b in s.recent)
-                if math.hypot(x - s.bias[0], y - s.bias[1]) > 20 and d < s.diff:
-                    s.resync = True
-                if s.resync and d < s.diff and near and len(s.recent) == 5:
-                    s.bias, s.resync, did = (x, y), False, True
-                s.recent = [*s.recent, (x, y)][-5:]
-            else:
-                s.until_check -= 1
-            cross, dot = s.direction[0] * y - s.direction[1] * x, s.direction[0] * x + s.direction[1] * y
-            if abs(math.degrees(math.atan2(cross, dot))) > 10 and not stopped:
-                s.until_check = min(s.until_check, 15)
-            if straight and not stopped:
-                s.direction = tuple(a + 0.005 * (u - a) for a, u in zip(s.direction, unit))
-            if d < 2 * s.diff:
-                s.bias = tuple(a + 0.15 * (v - a) for a, v in zip(s.bias, (x, y)))
-                s.diff += 0.05 * (d - s.diff)
-        s.frame += 1
-        return [(getattr(row, t), *s.bias, *s.direction, s.diff, did)]
-
-    schema = f"{track} {frames.schema[track].dataType.simpleString()}, {t} double, bias_x double, bias_y double, dir_x double, dir_y double, avg_diff double, resync boolean"
-    return fold_track(frames.select(track, t, dx, dy, diff), track, [t], _Motion, step, schema)
+    step = lambda s, row: motion_step(s, row, t, dx, dy, diff, **options)
+    return fold_track(frames.select(track, t, dx, dy, diff), track, [t], Motion, step, motion_schema(frames.schema[track].dataType.simpleString(), track, t))
 
 
 # --- geometry of a track ---------------------------------------------------------------------------------------

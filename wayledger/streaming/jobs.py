@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import time as clock
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayledger.operators.crud import Store, latest
+from wayledger.operators.series import Motion, motion_schema, motion_step
 
 
 def last_edits(edits: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -87,6 +89,27 @@ def expire_sessions(events: DataFrame, user: str, time: str, idle_ms: int = 300_
     return watched.groupBy(user).applyInPandasWithState(step, f"{user} {user_type}, events bigint, last_us bigint", "events bigint, last_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# --- motion ------------------------------------------------------------------------------------------------------
+
+
+def motion_stream(frames: DataFrame, track: str, t: str, dx: str, dy: str, diff: str, **options) -> DataFrame:
+    """``series.motion_state`` over a stream: each batch's frames of a track, in order, continue its state.
+
+    Frames that come later than newer ones of an earlier batch are taken as they come.
+    """
+    names = [track, t, dx, dy, diff]
+    schema = motion_schema(frames.schema[track].dataType.simpleString(), track, t)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        motion = pickle.loads(state.get[0]) if state.exists else Motion()
+        rows = pd.concat(list(batches)).sort_values(t, kind="stable")
+        out = [(key[0], *r) for row in rows.itertuples(index=False) for r in motion_step(motion, row, t, dx, dy, diff, **options)]
+        state.update((pickle.dumps(motion),))
+        yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in schema.split(", ")])
+
+    return frames.select(*names).groupBy(track).applyInPandasWithState(step, schema, "motion binary", "append", GroupStateTimeout.NoTimeout)
+
+
 # --- photo analysis -----------------------------------------------------------------------------------------
 
 
