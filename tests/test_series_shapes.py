@@ -50,13 +50,22 @@ def test_simplified_line_stays_close(points, tolerance):
 
 
 def test_smoothing(spark):
-    t, xy = np.arange(5.0), np.array([[0, 0], [10, 0], [20, 5], [20, 5.5], [30, 9]], float)
-    times, places = S.smooth_track(t, xy, 0.3, 2.0)
-    assert times[0] == 0 and times[-1] == 4 and (np.diff(times) > 0).all()
-    for p in xy:
-        assert np.abs(places - p).sum(axis=1).min() < 1e-9
-    straight, _ = S.smooth_track(t[:2], xy[:2], 0.0, 100.0)
-    assert list(straight) == [0, 1]
+    xy = [(0, 0), (10, 0), (20, 5), (20, 5.5), (30, 9)]
+    df = spark.createDataFrame([(1, float(i), float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(2, 0.0, 1.0, 1.0)], "track_id int, dt double, x double, y double")
+    out = S.smooth(df, 0.3, 2.0).toPandas().sort_values(["track_id", "dt"])
+    one = out[out.track_id == 1]
+    assert one.dt.iloc[0] == 0 and one.dt.iloc[-1] == 4 and (np.diff(one.dt) > 0).all() and len(out[out.track_id == 2]) == 1
+    for a, b in xy:
+        assert (np.abs(one.x - a) + np.abs(one.y - b)).min() < 1e-9
+    assert S.smooth(df, 0.3, 100.0).count() == 6 and S.smooth(df.limit(0), 0.3, 2.0).count() == 0
+    straight = S.smooth(df.where("dt < 2 and track_id = 1"), 0.0, 2.0).toPandas()
+    assert np.abs(straight.y).max() < 1e-9
+
+
+def test_simplify_in_pieces(spark):
+    df = spark.range(100).select(F.lit(1).alias("track_id"), F.col("id").cast("double").alias("dt"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert sorted(r.dt for r in S.simplify(df, 0.5).collect()) == [0.0, 99.0]
+    assert sorted(r.dt for r in S.simplify(df, 0.5, piece=50).collect()) == [0.0, 49.0, 50.0, 99.0]
 
 
 def test_emitted_frames(spark):

@@ -45,17 +45,14 @@ def get_labels(samples: DataFrame, labels: DataFrame, image: str | None = None,
 
 
 def labels_json(flat: DataFrame) -> DataFrame:
-    """One row per image: {"regions": {id: {"region"?, "dims": {dimension: {category, intensity}}}}}.
+    """(image_path, region_id, body): {"region"?, "dims": {dimension: {category, intensity}}} of each region.
 
-    Samples that claim the same region are one; of several labels of a dimension the greatest category counts.
-    An image's labels form one row, as its answer to a caller would; images differ in size but none is large.
+    Samples that claim the same region are one; of several labels of a dimension the greatest category counts. Regions
+    and not images make the rows, for an image may have any number of regions, but a region has one label a dimension.
     """
     each = flat.groupBy("image_path", "region_id", "dimension").agg(F.max(F.struct("category", "intensity")).alias("v"), F.max("region").alias("region"))
     regions = each.groupBy("image_path", "region_id").agg(F.max("region").alias("region"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "v")))).alias("dims"))
-    body = F.struct(F.when(F.col("region") != "", F.col("region")).alias("region"), "dims")
-    images = regions.groupBy("image_path").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col("region_id").cast("string"), F.to_json(body))))).alias("regions"))
-    inner = F.array_join(F.transform(F.map_entries("regions"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", ")
-    return images.select("image_path", F.concat(F.lit('{"regions": {'), inner, F.lit("}}")).alias("body"))
+    return regions.select("image_path", "region_id", F.to_json(F.struct(F.when(F.col("region") != "", F.col("region")).alias("region"), "dims")).alias("body"))
 
 
 def folder_summary(samples: DataFrame, labels: DataFrame, prefix: str | None = None, dimension: str | None = None, distinct: bool = True) -> DataFrame:

@@ -48,7 +48,7 @@ def box_blur(cells: DataFrame, image: str, radius: int = 1) -> DataFrame:
 
 
 def median_filter(cells: DataFrame, image: str, radius: int = 2) -> DataFrame:
-    return _filtered(cells, image, radius, upper_median("v"))
+    return _filtered(cells, image, radius, upper_median("v", cells.schema["v"].dataType.simpleString()))
 
 
 def replace_outliers(cells: DataFrame, image: str, limit: float, radius: int = 2) -> DataFrame:

@@ -79,13 +79,13 @@ def concatenate(points: DataFrame, recordings: DataFrame, track: str = "track_id
     return points.join(offsets, track).withColumn(t, F.col(t) + F.col("_offset")).drop("_offset")
 
 
-def upper_median(column: str | Column) -> Column:
+def upper_median(column: str, kind: str = "double") -> Column:
     """Aggregate: the element at half the count of the sorted values, from 0, so the upper of the two middle ones.
 
-    Of a group, its values are gathered; use it for groups of bounded size, ``upper_median_of`` for whole tables.
+    It is the lower median of the negated values. Counts of distinct values merge map-side; no values are
+    gathered. ``upper_median_of`` is for columns with more distinct values than memory holds.
     """
-    values = F.array_sort(F.collect_list(column))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{column}`)").cast(kind)
 
 
 def upper_median_of(df: DataFrame, column: str, bins: int = 4096) -> DataFrame:
@@ -135,19 +135,29 @@ def deviates(dx: Column, dy: Column, ax: Column, ay: Column, limit: float = 10.0
     return F.abs(F.degrees(F.atan2(cross, dot))) > limit
 
 
-def running_average(track: str, order: Column, value: Column, rate: float, gate: float | None = None) -> Column:
-    """Aggregate: exponential moving average over a track; values of at least ``gate`` times the average do not count.
+def running_average(df: DataFrame, track: str, order: list[str], value: str, rate: float, gate: float | None = None) -> DataFrame:
+    """(track, average): exponential moving average at the end of each track, starting at its first value.
 
-    Folds the sorted points of one track in an array; use ``fold_track`` for tracks of millions of points.
+    Values of at least ``gate`` times the average so far do not count. The rows stream by; only the average is kept.
     """
-    points = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.cast("double").alias("v"))))
 
-    def step(a, p):
-        moved = a + rate * (p["v"] - a)
-        passed = moved if gate is None else F.when(p["v"] < a * gate, moved).otherwise(a)
-        return F.when(a.isNull(), p["v"]).otherwise(passed)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, average, any_yet = None, None, False
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[track].tolist(), batch[value].tolist()):
+                if not any_yet or k != key:
+                    if any_yet:
+                        out.append((key, average))
+                    key, average, any_yet = k, v, True
+                elif gate is None or v < average * gate:
+                    average += rate * (v - average)
+            yield pd.DataFrame(out, columns=[track, "average"])
+        if any_yet:
+            yield pd.DataFrame([(key, average)], columns=[track, "average"])
 
-    return F.aggregate(points, F.lit(None).cast("double"), step)
+    rows = df.where(F.col(value).isNotNull()).select(track, *order, F.col(value).cast("double").alias(value))
+    return rows.repartition(track).sortWithinPartitions(track, *order).select(track, value).mapInPandas(run, f"{track} {df.schema[track].dataType.simpleString()}, average double")
 
 
 def scale_estimate(samples: DataFrame, gps_speed: str, pixels: str, fps: float, minimum_speed: float = 5.0, needed: int = 200) -> DataFrame:
@@ -300,15 +310,19 @@ def _keep_simplified(xy: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(points: DataFrame, tolerance: float, track: str = "track_id", t: str = "dt", x: str = "x", y: str = "y") -> DataFrame:
-    """The points of each track that stay when it is simplified to within ``tolerance``; a track is one group."""
+def simplify(points: DataFrame, tolerance: float, track: str = "track_id", t: str = "dt", x: str = "x", y: str = "y", piece: int = 500_000) -> DataFrame:
+    """The points of each track that stay when it is simplified to within ``tolerance``.
+
+    Of tracks with more than ``piece`` points, pieces of that length are simplified, and their ends stay.
+    """
     points = points.select(track, t, x, y)
+    cut = points.withColumn("_piece", F.floor((F.row_number().over(W.partitionBy(track).orderBy(t)) - 1) / piece))
 
-    def run(track_points: pd.DataFrame) -> pd.DataFrame:
-        p = track_points.sort_values(t, kind="stable")
-        return p[_keep_simplified(p[[x, y]].to_numpy(float), tolerance)]
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        p = part.sort_values(t, kind="stable")
+        return p[_keep_simplified(p[[x, y]].to_numpy(float), tolerance)].drop(columns="_piece")
 
-    return points.groupBy(track).applyInPandas(run, points.schema)
+    return cut.groupBy(track, "_piece").applyInPandas(run, points.schema)
 
 
 def _control_points(p0: np.ndarray, p1: np.ndarray, p2: np.ndarray, smoothness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -319,34 +333,43 @@ def _control_points(p0: np.ndarray, p1: np.ndarray, p2: np.ndarray, smoothness:
     return p1 - smoothness * d01 / whole * (p2 - p0), p1 + smoothness * d12 / whole * (p2 - p0)
 
 
-def smooth_track(t: np.ndarray, xy: np.ndarray, smoothness: float, increment: float) -> tuple[np.ndarray, np.ndarray]:
-    """Points on Bezier curves through the track, about ``increment`` apart, at constant speed within a segment."""
-    times, places = [t[:1]], [xy[:1]]
-    leaving = xy[1] if len(xy) > 1 else xy[0]
-    for i in range(len(xy) - 1):
-        p0, p1, p2 = xy[i], xy[i + 1], xy[min(i + 2, len(xy) - 1)]
-        arriving, following = _control_points(p0, p1, p2, smoothness)
-        length = float(np.linalg.norm(p1 - p0))
-        if length < increment:
-            times.append(t[i + 1 : i + 2])
-            places.append(xy[i + 1 : i + 2])
-        else:
-            u = np.linspace(0, 1, int(max(2.0, length / increment)) + 1)[:, None]
-            curve = (1 - u) ** 3 * p0 + 3 * (1 - u) ** 2 * u * leaving + 3 * (1 - u) * u**2 * arriving + u**3 * p1
-            curve[-1] = p1
-            steps = np.linalg.norm(np.diff(curve, axis=0), axis=1)
-            times.append(t[i] + np.cumsum(steps) / steps.sum() * (t[i + 1] - t[i]))
-            places.append(curve[1:])
-        leaving = following
-    return np.concatenate(times), np.concatenate(places)
+def _curve(before: np.ndarray | None, p0: np.ndarray, p1: np.ndarray, p2: np.ndarray, t0: float, t1: float, smoothness: float, increment: float) -> list[tuple[float, float, float]]:
+    """(t, x, y) of the points after p0 up to p1, on the curve through p0 and p1 among their neighbours."""
+    length = float(np.linalg.norm(p1 - p0))
+    if length < increment:
+        return [(t1, *p1)]
+    leaving = p1 if before is None else _control_points(before, p0, p1, smoothness)[1]
+    arriving = _control_points(p0, p1, p2, smoothness)[0]
+    u = np.linspace(0, 1, int(max(2.0, length / increment)) + 1)[:, None]
+    curve = (1 - u) ** 3 * p0 + 3 * (1 - u) ** 2 * u * leaving + 3 * (1 - u) * u**2 * arriving + u**3 * p1
+    curve[-1] = p1
+    steps = np.linalg.norm(np.diff(curve, axis=0), axis=1)
+    times = t0 + np.cumsum(steps) / steps.sum() * (t1 - t0)
+    return list(zip(times.tolist(), curve[1:, 0].tolist(), curve[1:, 1].tolist()))
 
 
 def smooth(points: DataFrame, smoothness: float, increment: float, track: str = "track_id", t: str = "dt", x: str = "x", y: str = "y") -> DataFrame:
-    schema = f"{track} {points.schema[track].dataType.simpleString()}, {t} double, {x} double, {y} double"
+    """Points on Bezier curves through each track, about ``increment`` apart, at constant speed between two of its points.
 
-    def run(key: tuple, track_points: pd.DataFrame) -> pd.DataFrame:
-        p = track_points.sort_values(t, kind="stable")
-        times, places = smooth_track(p[t].to_numpy(float), p[[x, y]].to_numpy(float), smoothness, increment)
-        return pd.DataFrame({track: key[0], t: times, x: places[:, 0], y: places[:, 1]})
+    A segment's curve depends on the point before it and the one behind it only, so segments are rows and any task can do any.
+    """
+    w = W.partitionBy(track).orderBy(t)
+    near = {f"{n}{i}": F.lead(c, i).over(w) if i > 0 else F.lag(c, -i).over(w) for n, c in (("x", x), ("y", y)) for i in (-1, 1, 2)}
+    rows = points.select(track, F.col(t).cast("double").alias("t0"), F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), F.lead(t).over(w).cast("double").alias("t1"), *[c.cast("double").alias(n.replace("-", "b")) for n, c in near.items()])
+    schema = f"{track} {points.schema[track].dataType.simpleString()}, {t} double, {x} double, {y} double"
 
-    return points.select(track, t, x, y).groupBy(track).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                key, p0 = r[0], np.array([r.x0, r.y0])
+                first = math.isnan(r.xb1)
+                if first:
+                    out.append((key, r.t0, *p0))
+                if not math.isnan(r.t1):
+                    p1 = np.array([r.x1, r.y1])
+                    p2 = p1 if math.isnan(r.x2) else np.array([r.x2, r.y2])
+                    out += [(key, *c) for c in _curve(None if first else np.array([r.xb1, r.yb1]), p0, p1, p2, r.t0, r.t1, smoothness, increment)]
+            yield pd.DataFrame(out, columns=[track, t, x, y])
+
+    return rows.mapInPandas(run, schema)

@@ -113,8 +113,7 @@ r as (select user_id, n, value as a from e where n = 1 union all select e.user_i
 select user_id, round(arg_max(a, n), 4) as average from r group by user_id""",
 )
 def running_average(spark, d):
-    order = F.struct("ts", "event_id")
-    return read(spark, d, "events").groupBy("user_id").agg(F.round(S.running_average("user_id", order, F.col("value"), 0.05, 2.0), 4).alias("average"))
+    return S.running_average(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 0.05, 2.0).select("user_id", F.round("average", 4).alias("average"))
 
 
 @q("scale_estimate", "with r as (select speed / ((3 + track_id % 5) * 30.0) as r from track_point where speed >= 5) select round((select r from r order by r limit 1 offset (select count(*) // 2 from r)), 8) as meters_per_pixel, (select count(*) from r) as n")
