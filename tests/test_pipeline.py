@@ -107,3 +107,21 @@ def test_two_jobs_at_once_commit_once(spark, tmp_path):
     with pytest.raises(RuntimeError, match="committed"):
         job.run(rows, "loaded", slow)
     assert job.output().count() == 1
+
+
+def test_numbered_sequence_and_zones(spark, tmp_path):
+    job = IncrementalJob(spark, str(tmp_path / "numbers"))
+    rows = spark.createDataFrame([(1, 10), (2, 11), (3, None)], "k long, seq long")
+    assert job.run(rows, "seq", lambda r, *_: r)["upper"] == 12 and job.watermark() == 12
+    assert job.run(rows, "seq", lambda r, *_: r) is None and job.output().count() == 3
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Africa/Johannesburg")
+        runs = spark.sql("select timestamp'2024-01-10 00:00:00' as started_at, 'succeeded' as status")
+        since = last_good_start(runs)
+        assert since == dt(2024, 1, 10)
+        log = spark.sql("select 1L as k, timestamp'2024-01-09 23:59:59' as at, 1 as v union all select 2L, timestamp'2024-01-10 00:00:00', 1")
+        assert [r.k for r in changed_records(log, ["k"], "at", "v", since).collect()] == [2]
+        assert [r.k for r in changed_records(log.withColumn("at", F.col("at").cast("timestamp_ntz")), ["k"], "at", "v", since).collect()] == [2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -1,6 +1,6 @@
 """Processing only new or changed records.
 
-The commit sequence is the load time of the log rows. A run reads the watermark of the last
+The commit sequence is the load time of the log rows, or a growing number. A run reads the watermark of the last
 good run, fixes an upper limit when it starts, and handles exactly the rows in
 [watermark, upper). Its output and the new watermark become visible in one step: both are
 named by one manifest file, which a rename puts in place.
@@ -13,8 +13,18 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _literal(value: datetime | int, kind: T.DataType) -> Column:
+    """A value of the commit sequence; times are taken as they read, in the session's zone if the column has zones."""
+    return F.lit(value.isoformat(sep=" ") if isinstance(value, datetime) else value).cast(kind)
+
+
+def _wall(column: Column, kind: T.DataType) -> Column:
+    return column.cast("timestamp_ntz") if isinstance(kind, T.TimestampType) else column
 
 
 def last_good_start(runs: DataFrame) -> datetime | None:
@@ -23,10 +33,10 @@ def last_good_start(runs: DataFrame) -> datetime | None:
     Runs of other states, runs without a start and repeated rows change nothing; the order of
     the rows and the finish times do not matter.
     """
-    return runs.where(F.col("status") == "succeeded").agg(F.max("started_at")).first()[0]
+    return runs.where(F.col("status") == "succeeded").agg(_wall(F.max("started_at"), runs.schema["started_at"].dataType)).first()[0]
 
 
-def changed_records(log: DataFrame, keys: list[str], sequence: str, version: str, since: datetime | None, upper: datetime | None = None) -> DataFrame:
+def changed_records(log: DataFrame, keys: list[str], sequence: str, version: str, since: datetime | int | None, upper: datetime | int | None = None) -> DataFrame:
     """Keys of the records that are new or changed since ``since``, each once.
 
     ``log`` holds delivered versions of records. Rows with ``sequence`` before ``since`` were
@@ -40,9 +50,10 @@ def changed_records(log: DataFrame, keys: list[str], sequence: str, version: str
     One pass and one shuffle: both sides are folded into the same aggregation, which combines
     map-side, so a key with a third of all rows costs no more than another.
     """
+    kind = log.schema[sequence].dataType
     if upper is not None:
-        log = log.where(F.col(sequence).isNull() | (F.col(sequence) < F.lit(upper)))
-    seen = F.coalesce(F.col(sequence) < F.lit(since), F.lit(False)) if since is not None else F.lit(False)
+        log = log.where(F.col(sequence).isNull() | (F.col(sequence) < _literal(upper, kind)))
+    seen = F.coalesce(F.col(sequence) < _literal(since, kind), F.lit(False)) if since is not None else F.lit(False)
     names = [f"k{i}" for i in range(len(keys))]
     folded = (
         log.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(version).alias("version"), seen.alias("seen"))
@@ -91,28 +102,35 @@ class IncrementalJob:
         finally:
             stream.close()
 
-    def watermark(self) -> datetime | None:
+    def watermark(self) -> datetime | int | None:
         """The upper limit of the last committed run."""
         done = self.manifests()
-        return datetime.fromisoformat(done[-1]["upper"]) if done else None
+        return self._value(done[-1]["upper"]) if done else None
+
+    @staticmethod
+    def _value(stored: str | int) -> datetime | int:
+        return datetime.fromisoformat(stored) if isinstance(stored, str) else stored
 
-    def run(self, log: DataFrame, sequence: str, step: Callable[[DataFrame, datetime | None, datetime], DataFrame], upper: datetime | None = None) -> dict | None:
+    def run(self, log: DataFrame, sequence: str, step: Callable[[DataFrame, datetime | int | None, datetime | int], DataFrame], upper: datetime | int | None = None) -> dict | None:
         """Handle the rows of ``log`` in [watermark, upper); None if there are none.
 
         ``step(log up to upper, watermark, upper)`` gives the output. Without ``upper`` the limit is
         just above the greatest sequence value at the start. Rows with a null sequence
         have no place in the order: they count as loaded in the first run only.
         """
-        done = self.manifests()
-        since = datetime.fromisoformat(done[-1]["upper"]) if done else None
+        done, kind = self.manifests(), log.schema[sequence].dataType
+        since = self._value(done[-1]["upper"]) if done else None
+        is_time = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
         if upper is None:
-            upper = log.agg((F.max(sequence) + F.expr("interval 1 microsecond")).alias("upper")).first()[0]
+            above = F.max(sequence) + (F.expr("interval 1 microsecond") if is_time else F.lit(1))
+            upper = log.agg(_wall(above, kind).alias("upper")).first()[0]
         if upper is None or since is not None and upper <= since:
             return None
-        place = F.coalesce(F.col(sequence), F.lit(datetime(1, 1, 1)))
+        place = F.coalesce(F.col(sequence), _literal(datetime(1, 1, 1) if is_time else -(1 << 31), kind))
         output = f"data/{uuid.uuid4().hex}"
-        step(log.where(place < F.lit(upper)), since, upper).write.parquet(f"{self.root}/{output}")
-        manifest = {"run": len(done), "since": since and since.isoformat(), "upper": upper.isoformat(), "output": output}
+        step(log.where(place < _literal(upper, kind)), since, upper).write.parquet(f"{self.root}/{output}")
+        text = lambda v: v.isoformat() if isinstance(v, datetime) else v
+        manifest = {"run": len(done), "since": text(since), "upper": text(upper), "output": output}
         self._commit(manifest)
         return manifest
 
