@@ -24,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ PIECE = 1000  # characters after which a long line is cut at the next white spac
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]+)+/\S*|\b[a-z][\w-]*\.(?:com|net|org|info|example)\b", re.IGNORECASE)
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+(?=[\s\"'»”)]|$)")
+_SENTENCE_END = re.compile(r"[.!?]+(?=[\s\"'»”)]|$)")
 _NUMBERED = re.compile(r"\s*(?:\[\d+\]|\d+[.)])\s")
 
 
@@ -90,8 +91,8 @@ def link_share(line: str) -> float:
 
 def prose_share(line: str, least: int) -> float:
     """Share of the words that are in sentences of at least ``least`` words with an end."""
-    lengths = [len(_WORD.findall(x)) for x in _SENTENCE.findall(line)]
-    return sum(n for n in lengths if n >= least) / max(1, len(_WORD.findall(line)))
+    lengths = [len(_WORD.findall(x)) for x in _SENTENCE_END.split(line)]
+    return sum(n for n in lengths[:-1] if n >= least) / max(1, sum(lengths))
 
 
 def _pairs(words: list[str]) -> list[str]:
@@ -126,16 +127,12 @@ def _coder(held, rules: Rules, schema: pa.Schema):
             for text in batch.column(1).to_pylist():
                 lines = lines_of(text or "")
                 split = [line_words(x) for x in lines]
-                pairs = [_pairs(w) for w in split]
-                n_words, n_pairs = Counter(), Counter()
-                for w, p in zip(split, pairs):
-                    n_words.update(w)
-                    n_pairs.update(p)
+                n_words = Counter(chain.from_iterable(split))
                 many_words = max(rules.repeated, rules.repeated_share * n_words.total())
-                many_pairs = max(rules.repeated, rules.repeated_share * n_pairs.total())
                 row: dict[str, list] = {n: [] for n in rows}
                 row["lines"] = [len(lines)]
-                for i, (line, w, p) in enumerate(zip(lines, split, pairs)):
+                seeds = []
+                for i, (line, w) in enumerate(zip(lines, split)):
                     plain = [x for x in w if x != "0"]
                     numbers = 1 - len(plain) / len(w) if w else 0
                     linked = link_share(line) > rules.links
@@ -146,12 +143,19 @@ def _coder(held, rules: Rules, schema: pa.Schema):
                     row["known"] += known
                     row["at"] += [i] * len(known)
                     share = sum(n_words[x] >= many_words for x in plain) / len(plain) if plain else 0
-                    if share >= rules.words_repeated and numbers < rules.numbers and not linked and p and prose_share(line, rules.sentence) < rules.prose:
-                        row["seed_at"].append(i)
-                        row["seed_share"].append(share)
-                        row["seed_known"].append(sorted(set(known)))
-                        row["seed_pairs"].append(p)
-                        row["seed_repeated"].append([n_pairs[x] >= many_pairs for x in p])
+                    if share >= rules.words_repeated and numbers < rules.numbers and not linked and prose_share(line, rules.sentence) < rules.prose:
+                        seeds.append((i, share, sorted(set(known))))
+                if seeds:
+                    pairs = list(map(_pairs, split))
+                    n_pairs = Counter(chain.from_iterable(pairs))
+                    many_pairs = max(rules.repeated, rules.repeated_share * n_pairs.total())
+                    for i, share, known in seeds:
+                        if pairs[i]:
+                            row["seed_at"].append(i)
+                            row["seed_share"].append(share)
+                            row["seed_known"].append(known)
+                            row["seed_pairs"].append(pairs[i])
+                            row["seed_repeated"].append([n_pairs[x] >= many_pairs for x in pairs[i]])
                 for n, x in row.items():
                     rows[n].append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[n], schema.field(n).type) for n in rows)], names=schema.names)
