@@ -40,6 +40,7 @@ PIECE = 1000  # characters after which a long line is cut at the next white spac
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]+)+/\S*|\b[a-z][\w-]*\.(?:com|net|org|info|example)\b", re.IGNORECASE)
+_LINK_MARKS = ("www.", ".com", ".net", ".org", ".info", ".example")
 _SENTENCE_END = re.compile(r"[.!?]+(?=[\s\"'»”)]|$)")
 _NUMBERED = re.compile(r"\s*(?:\[\d+\]|\d+[.)])\s")
 
@@ -82,11 +83,13 @@ def line_words(line: str) -> list[str]:
     """Runs of letters in lower case, joined names taken apart; '0' for each number."""
     if not line.isascii():
         line = unicodedata.normalize("NFKC", line)
-    return ["0" if w[0].isdigit() else w.lower() for w in _WORD.findall(_CAMEL.sub(" ", line))]
+    return ["0" if w.isdigit() else w for w in _WORD.findall(_CAMEL.sub(" ", line).lower())]
 
 
 def link_share(line: str) -> float:
-    return sum(map(len, _LINK.findall(line))) / len(line) if "." in line else 0.0
+    if "/" not in line and not any(x in line for x in _LINK_MARKS):
+        return 0.0
+    return sum(map(len, _LINK.findall(line))) / len(line)
 
 
 def prose_share(line: str, least: int) -> float:
@@ -129,6 +132,7 @@ def _coder(held, rules: Rules, schema: pa.Schema):
                 split = [line_words(x) for x in lines]
                 n_words = Counter(chain.from_iterable(split))
                 many_words = max(rules.repeated, rules.repeated_share * n_words.total())
+                repeated = {w for w, n in n_words.items() if n >= many_words}
                 row: dict[str, list] = {n: [] for n in rows}
                 row["lines"] = [len(lines)]
                 seeds = []
@@ -139,10 +143,10 @@ def _coder(held, rules: Rules, schema: pa.Schema):
                     row["words"].append(len(w))
                     row["chars"].append(len(line))
                     row["linked"].append(linked and numbers < rules.link_numbers and not _NUMBERED.match(line))
-                    known = [k for x in plain if (k := number(x)) is not None]
+                    known = [k for k in map(number, plain) if k is not None]
                     row["known"] += known
                     row["at"] += [i] * len(known)
-                    share = sum(n_words[x] >= many_words for x in plain) / len(plain) if plain else 0
+                    share = len([x for x in plain if x in repeated]) / len(plain) if plain and repeated else 0
                     if share >= rules.words_repeated and numbers < rules.numbers and not linked and prose_share(line, rules.sentence) < rules.prose:
                         seeds.append((i, share, sorted(set(known))))
                 if seeds:
