@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayledger.operators.crud import latest
 from wayledger.operators.table import with_position
+from wayledger.runtime import stage
 
 EPOCH_MISSING = "2000-01-01 00:00:00"  # edit time of a frame that has none
 
@@ -156,16 +157,16 @@ def set_labels(samples: DataFrame, labels: DataFrame, commands: DataFrame) -> tu
     The commands are one micro-batch, at most one per (image, region_id) besides creating ones. New samples take the
     ids after the greatest. An empty category deletes the label; region modes are as in ``region_mode``.
     """
-    c = commands.withColumn("mode", region_mode(F.col("region_id"), F.col("region"))).withColumn("region_id", F.coalesce("region_id", F.lit(0)))
+    c = stage(commands.withColumn("mode", region_mode(F.col("region_id"), F.col("region"))).withColumn("region_id", F.coalesce("region_id", F.lit(0))), "commands")
     keyed = samples.select(F.col("image_path").alias("image"), F.col("region_id"), F.col("id").alias("sample_id"))
     top = samples.groupBy(F.col("image_path").alias("image")).agg(F.max("region_id").alias("_top"))
     fresh = c.where(F.col("mode") == CREATE).drop("region_id").join(top, "image", "left")
     fresh = fresh.withColumn("region_id", F.coalesce("_top", F.lit(0)) + F.row_number().over(W.partitionBy("image").orderBy("region", "dimension"))).drop("_top")
-    known = c.where(F.col("mode") != CREATE).join(keyed, ["image", "region_id"], "left")
+    known = stage(c.where(F.col("mode") != CREATE).join(keyed, ["image", "region_id"], "left"), "known")
     whole_new = known.where((F.col("mode") == WHOLE_IMAGE) & F.col("sample_id").isNull()).drop("sample_id")
     new = fresh.unionByName(whole_new).withColumn("author", F.when(F.col("mode") == CREATE, F.col("author"))).select("image", "region_id", F.col("region"), "author", "modified_at", "mode").dropDuplicates(["image", "region_id"])
     start = samples.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = new.withColumn("id", F.row_number().over(W.orderBy("image", "region_id")).cast("long") + F.lit(start))  # one micro-batch
+    new = with_position(new, ["image", "region_id"], "id").withColumn("id", F.col("id") + 1 + F.lit(start))
     added = new.select("id", F.col("image").alias("image_path"), "region_id", F.when(F.col("mode") == CREATE, F.col("region")).alias("region"), "author", F.when(F.col("mode") == CREATE, F.col("modified_at")).alias("modified_at"))
 
     updates = known.where((F.col("mode") == UPDATE) & F.col("sample_id").isNotNull()).select(F.col("sample_id").alias("id"), F.col("region").alias("_r"), F.col("author").alias("_a"), F.col("modified_at").alias("_m"), F.lit(True).alias("_u"))

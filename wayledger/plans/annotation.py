@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayledger.operators import labels as L
 from wayledger.plans.registry import Catalog
-from wayledger.runtime import read
+from wayledger.runtime import read, stage
 
 CATALOG = Catalog()
 q = CATALOG.query
@@ -163,8 +164,8 @@ whole as (select image from c where region_id = 0 and region = '' and not exists
   union all select image, region_id, region from created union all select image, 0, null from whole""",
 )
 def set_label_samples(spark, d):
-    s = _samples(spark, d)
-    after, _ = L.set_labels(s, _labels(spark, d), _commands(s))
+    s = stage(_samples(spark, d), "samples")
+    after, _ = L.set_labels(s, stage(_labels(spark, d), "labels"), _commands(s))
     return after.select("image_path", "region_id", "region")
 
 
@@ -178,8 +179,8 @@ select s.image_path, s.region_id, l.dimension, l.category, l.intensity from l le
 union all select image, region_id, dimension, category, intensity from edit where category <> ''""",
 )
 def set_label_labels(spark, d):
-    s = _samples(spark, d)
-    after, labels = L.set_labels(s, _labels(spark, d), _commands(s))
+    s = stage(_samples(spark, d), "samples")
+    after, labels = L.set_labels(s, stage(_labels(spark, d), "labels"), _commands(s))
     named = after.select(F.col("id").alias("sample_id"), "image_path", "region_id")
     return labels.join(named, "sample_id").select("image_path", "region_id", "dimension", "category", "intensity")
 
@@ -193,10 +194,10 @@ union all select image_path, dimension, category from src where image_path not i
 union all select s.image_path, l.dimension, l.category from l join s on s.id = l.sample_id where not (l.dimension = 'lighting' and l.sample_id in (select w.id from whole w join src using (image_path)))""",
 )
 def merge_stores(spark, d):
-    s = _samples(spark, d)
+    s = stage(_samples(spark, d), "samples")
     row = lambda df, path, category: df.select(path.alias("image_path"), F.lit("lighting").alias("dimension"), F.lit(category).alias("category"), F.lit("x").alias("author"), F.lit(None).cast("timestamp_ntz").alias("modified_at")).distinct()
     source = row(read(spark, d, "nation"), F.concat(F.lit("other/"), "n_name", F.lit(".jpg")), "day").unionByName(row(s.where("region_id = 0 and id % 10 = 0"), F.col("image_path"), "night"))
-    every, labels = L.merge_stores(s, _labels(spark, d), source)
+    every, labels = L.merge_stores(s, stage(_labels(spark, d), "labels"), source)
     return labels.join(every.select(F.col("id").alias("sample_id"), "image_path"), "sample_id").select("image_path", "dimension", "category")
 
 
@@ -320,8 +321,6 @@ _TAXONOMY = "x as (select row_number() over (order by dimension, label) as key,
 
 
 def _taxonomy(spark, d):
-    from pyspark.sql import Window as W
-
     x = read(spark, d, "dimension_def")  # a fixed table of a few hundred rows
     return x.select(F.row_number().over(W.orderBy("dimension", "label")).alias("key"), F.col("dimension").alias("group"), F.concat_ws(":", "dimension", "label").alias("class_name"), F.col("has_intensity").alias("has_severity"), (F.col("dimension") < "l").alias("is_polygon"))
 

@@ -61,6 +61,13 @@ def point_wkt(spark, d):
     return read(spark, d, "track_point").where("lon is not null and lat is not null").select("track_id", "dt", wkt.geom_point_text(F.col("lon"), F.col("lat")).alias("wkt")).distinct()
 
 
+def _polygons(spark, d):
+    """(id, region, wkt) of the regions that are polygons, in as many partitions as shuffles have, for work in Python."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = read(spark, d, "sample").select("id", "region").repartition(parts, "id", "region").distinct()
+    return distinct.withColumn("wkt", _polygon_text()).where("wkt is not null")
+
+
 def _polygon_text():
     numbers = F.regexp_extract("region", r"^\s*\[\s*\[\s*\[([-+0-9.eE,\s]*)\]\s*\]\s*\]\s*$", 1)
     n = F.split(numbers, ",")
@@ -70,20 +77,20 @@ def _polygon_text():
 
 @q("wkt_area", r"with p as (select distinct id, region, string_split(nullif(regexp_extract(region, '^\s*\[\s*\[\s*\[([-+0-9.eE,\s]*)\]\s*\]\s*\]\s*$', 1), ''), ',')::double[] as v from sample), e as (select id, region, v, unnest(range(1, len(v) // 2 + 1)) as i from p where len(v) >= 6 and len(v) % 2 = 0) select id, region, round(abs(sum(v[2*i-1] * v[(2*i+1-1) % len(v) + 2] - v[(2*i+1-1) % len(v) + 1] * v[2*i])) / 2, 4) as area from e group by all")
 def wkt_area(spark, d):
-    g = read(spark, d, "sample").select("id", "region").distinct().withColumn("wkt", _polygon_text()).where("wkt is not null")
+    g = _polygons(spark, d)
     return g.withColumn("g", wkt.geom_from_wkt("wkt")).select("id", "region", F.round(wkt.geom_area(F.col("g")), 4).alias("area"))
 
 
 @q("wkb_roundtrip", r"select count(*) as n, true as same from (select distinct id, region from sample where len(string_split(nullif(regexp_extract(region, '^\s*\[\s*\[\s*\[([-+0-9.eE,\s]*)\]\s*\]\s*\]\s*$', 1), ''), ',')) >= 6)")
 def wkb_roundtrip(spark, d):
-    g = read(spark, d, "sample").select("id", "region").distinct().withColumn("wkt", _polygon_text()).where("wkt is not null")
+    g = _polygons(spark, d)
     g = g.withColumn("a", wkt.geom_from_wkt("wkt")).withColumn("b", wkt.geom_from_wkb(wkt.geom_to_wkb("a"))).withColumn("c", wkt.geom_from_json(wkt.geom_to_json("a")))
     return g.agg(F.count("*").alias("n"), F.bool_and(wkt.geom_to_wkt("a") == wkt.geom_to_wkt("b")).alias("same"))
 
 
 @q("coarse_intersect", r"with p as (select distinct id, region, string_split(nullif(regexp_extract(region, '^\s*\[\s*\[\s*\[([-+0-9.eE,\s]*)\]\s*\]\s*\]\s*$', 1), ''), ',')::double[] as v from sample) select id, region, list_min([v[i] for i in range(1, len(v), 2)]) <= 900 and list_max([v[i] for i in range(1, len(v), 2)]) >= 500 and list_min([v[i] for i in range(2, len(v) + 1, 2)]) <= 600 and list_max([v[i] for i in range(2, len(v) + 1, 2)]) >= 300 as hit from p where len(v) >= 6 and len(v) % 2 = 0")
 def coarse_intersect(spark, d):
-    g = read(spark, d, "sample").select("id", "region").distinct().withColumn("wkt", _polygon_text()).where("wkt is not null").withColumn("g", wkt.geom_from_wkt("wkt"))
+    g = _polygons(spark, d).withColumn("g", wkt.geom_from_wkt("wkt"))
     return g.select("id", "region", wkt.geom_intersects_box(F.col("g"), 500, 300, 900, 600).alias("hit"))
 
 
