@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayledger.runtime import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipping(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str, *args, **more) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir, *args, **more)
+
+    return run
+
+
 class Catalog:
     """Queries by name; ``sql`` holds the ones that plain SQL can express."""
 
@@ -20,7 +32,7 @@ class Catalog:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is there already")
-            self.queries[name] = f
+            self.queries[name] = _shipping(f)
             if sql:
                 self.sql[name] = sql
             return f
