@@ -29,7 +29,8 @@ from wayledger.runtime import spread, stage
 
 WINDOW = 13
 SHINGLE = 5
-BLOCK_ITEMS = 20_000  # items matched in one pass; more items take more passes
+BLOCK_ITEMS = 20_000  # items matched in one pass, and
+BLOCK_CHARACTERS = 5_000_000  # characters of theirs, on average; more take more passes
 
 _HIDDEN = re.compile("[\u00ad\u200b-\u200d\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
@@ -68,18 +69,16 @@ class ItemIndex:
             per_level.append(now)
         self.first = np.cumsum([0, len(self.vocabulary), *map(len, self.levels)]).tolist()
         self.keys: list = []
-        self.windows: list[tuple[int, int, np.ndarray]] = []  # item, words, shingles
-        wanted_level = set()
+        self.shingles: list[np.ndarray] = []  # of each item, in a row
+        self.sizes: list[tuple[int, int]] = []  # of each item's windows, in words and in shingles
+        self.least_run: dict[int, int] = {}  # shingles of the smallest window, by level
         for i, (key, numbers) in enumerate(coded):
             self.keys.append(key)
             w = min(window, len(numbers))
             level = min(shingle, w)
-            wanted_level.add(level)
-            all_shingles = per_level[level - 1][i] + self.first[level - 1]
-            for start in range(len(numbers) - w + 1):
-                self.windows.append((i, w, all_shingles[start : start + w - level + 1]))
-        self.wanted_levels = sorted(wanted_level)
-        self.least_run = {level: min(len(s) for _, w, s in self.windows if min(shingle, w) == level) for level in self.wanted_levels}
+            self.shingles.append(per_level[level - 1][i] + self.first[level - 1])
+            self.sizes.append((w, w - level + 1))
+            self.least_run[level] = min(self.least_run.get(level, w), w - level + 1)
 
     def _codes(self, prefix: np.ndarray, numbers: np.ndarray, j: int) -> np.ndarray:
         m = max(0, len(numbers) - j + 1)
@@ -96,27 +95,31 @@ class ItemIndex:
                 codes = np.where((now[:m] >= 0) & (last >= 0), now[:m] * len(self.vocabulary) + last, -1)
                 at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
                 now = np.where(known[at] == codes, at, -1) if len(known) else np.full(m, -1)
-            if j in self.wanted_levels:
+            if j in self.least_run:
                 yield j, np.where(now >= 0, now + self.first[j - 1], -1)
 
     def choose_prefixes(self, counts: dict[int, int]) -> None:
         """The rarest shingle of each window; windows with a shingle that occurs nowhere drop out."""
-        self.prefixes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (_, _, shingles) in enumerate(self.windows):
-            rarity = [counts.get(int(s), 0) for s in shingles]
-            if all(rarity):
-                offset = int(np.argmin(rarity))
-                self.prefixes[int(shingles[offset])].append((n, offset))
+        self.prefixes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # item, place of its window, place in that
+        for item, (own, (_, n)) in enumerate(zip(self.shingles, self.sizes)):
+            rarity = np.array([counts.get(s, 0) for s in own.tolist()])
+            views = np.lib.stride_tricks.sliding_window_view(rarity, n)
+            rarest = views.argmin(axis=1)
+            for start in np.flatnonzero(views.min(axis=1) > 0).tolist():
+                offset = int(rarest[start])
+                self.prefixes[int(own[start + offset])].append((item, start, offset))
 
     def verify(self, total: int, places: list[int], shingles: list[int]) -> set[int]:
         """Items with a window in a text of ``total`` words that has these shingles at these places."""
         there = set(zip(places, shingles))
         found: set[int] = set()
         for place, s in zip(places, shingles):
-            for n, offset in self.prefixes.get(s, ()):
-                item, w, own = self.windows[n]
+            for item, at, offset in self.prefixes.get(s, ()):
+                if item in found:
+                    continue
+                words_in, n = self.sizes[item]
                 start = place - offset
-                if item not in found and start >= 0 and start + w <= total and all((start + k, int(x)) in there for k, x in enumerate(own)):
+                if start >= 0 and start + words_in <= total and all((start + k, x) in there for k, x in enumerate(self.shingles[item][at : at + n].tolist())):
                     found.add(item)
         return found
 
@@ -135,13 +138,14 @@ def _runs(hit: np.ndarray, least: int) -> np.ndarray:
 def leaked_items(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK_ITEMS) -> DataFrame:
     """Distinct (document, item) of all documents that contain a window of an item.
 
-    Items are matched in blocks of at most ``block``, each against all documents. Null, empty and
+    Items are matched in blocks of about ``block`` items, each against all documents. Null, empty and
     wordless texts, of either side, match nothing; repeated rows count once; empty tables give no rows.
     """
     fields = [documents.schema[document], items.schema[item]]
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(("doc", "item"), fields))
     texts = items.select(F.col(item).alias("item"), F.make_valid_utf8(F.col(item_text)).alias("text")).where("item is not null and text is not null").distinct()
-    blocks = max(1, -(-texts.count() // block))
+    size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // block), -(-size[1] // BLOCK_CHARACTERS))
     corpus = spread(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")))
     found = None
     for b in range(blocks):
@@ -154,7 +158,7 @@ def leaked_items(documents: DataFrame, document: str, text: str, items: DataFram
 def _leaks_of_block(documents: DataFrame, items: list[tuple[object, str]], window: int, shingle: int, schema: str) -> DataFrame:
     spark = documents.sparkSession
     index = ItemIndex(items, window, shingle)
-    if not index.windows:
+    if not index.keys:
         return spark.createDataFrame([], schema)
     held = spark.sparkContext.broadcast(index)  # at most a block of items
     doc_type = documents.schema["doc"].dataType.simpleString()
