@@ -80,10 +80,11 @@ def author_report(labels: DataFrame) -> DataFrame:
 def report_json(labels: DataFrame) -> DataFrame:
     """One row: {"dimensions": {d: {category: {"count"}}}, "authors": {a: {"count"}}}; its size is that of the vocabulary."""
     count = lambda c: F.struct(F.col(c).alias("count"))
+    by_key = lambda key: lambda a, b: F.when(a[key] < b[key], -1).otherwise(1)
     dims = label_report(labels).groupBy("dimension").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", count("n"))))).alias("c"))
-    dims = dims.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "c")), lambda a, b: F.when(a["dimension"] < b["dimension"], -1).otherwise(1))).alias("dimensions"))
-    authors = author_report(labels).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("author", count("n"))))).alias("authors"))
-    return dims.join(authors).select(F.to_json(F.struct("dimensions", "authors")).alias("report"))  # one row each
+    dims = dims.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "c")), by_key("dimension")))).alias("d"), F.lit(None).cast("string").alias("a"))
+    authors = author_report(labels).agg(F.lit(None).cast("string").alias("d"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("author", count("n")))))).alias("a"))
+    return dims.unionByName(authors).agg(F.concat(F.lit('{"dimensions":'), F.max("d"), F.lit(',"authors":'), F.max("a"), F.lit("}")).alias("report"))
 
 
 def next_region_id(samples: DataFrame) -> DataFrame:

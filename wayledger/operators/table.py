@@ -68,12 +68,13 @@ def sort_by(df: DataFrame, fields: Iterable[str]) -> DataFrame:
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
-    """Position of each row, from 0, in the order of the given fields (ties in no certain order).
+    """Position of each row, from 0, in the order of the given fields, ties in the order of a hash of the row.
 
-    No single task sorts or numbers the whole table: rows are range-partitioned by the order, the
+    The hash also cuts a hot value of the order into several ranges. No single task sorts or numbers the whole table: rows are range-partitioned by the order, the
     partitions' sizes are summed on the driver, and positions are counted within each partition.
     """
-    keys = [F.col(f"`{_field(df, f)}`").asc_nulls_first() for f in order]
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*[F.col(f"`{_field(df, f)}`").asc_nulls_first() for f in order], F.xxhash64(*hashable)]
     parts = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "positions")
     sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}  # one row a partition
     starts, at = [], 0
