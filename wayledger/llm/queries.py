@@ -12,7 +12,7 @@ from wayledger.llm.terms import marked_terms
 from wayledger.llm.text import photo_column, term_column
 from wayledger.llm.tokens import encode_corpus
 from wayledger.plans.registry import Catalog
-from wayledger.runtime import read
+from wayledger.runtime import read, spread
 
 CATALOG = Catalog()
 TOKENIZERS = "/opt/tokenizers"
@@ -75,11 +75,10 @@ def p3_found(spark, d):
 @CATALOG.query("p3_splits")
 def p3_splits(spark, d):
     """(sample_id, group_id, split): photos whole, samples without a photo each on their own."""
-    sample = read(spark, d, "sample")
-    groups = _groups(spark, d)
-    alone = sample.select(F.col("id").alias("record")).where("record is not null").distinct().join(groups.select("record"), "record", "left_anti")
-    every = groups.unionByName(alone.withColumn("group", F.col("record")))
-    strata = read(spark, d, "label").select(F.col("sample_id").alias("record"), F.concat_ws(":", term_column(F.col("dimension")), term_column(F.col("category"))).alias("stratum")).distinct()
+    ids = read(spark, d, "sample").select(F.col("id").alias("record")).where("record is not null").distinct()
+    every = ids.join(_groups(spark, d), "record", "left").select(F.coalesce("group", "record").alias("group"), "record")
+    label = spread(read(spark, d, "label").select("sample_id", "dimension", "category"))
+    strata = label.select(F.col("sample_id").alias("record"), F.concat_ws(":", term_column(F.col("dimension")), term_column(F.col("category"))).alias("stratum")).distinct()
     placed = split_assignment(every, strata, split_targets(read(spark, d, "split_target")))
     return placed.select(F.col("record").alias("sample_id"), F.col("group").alias("group_id"), "split")
 
@@ -94,7 +93,8 @@ report as (
 
 
 def _sample(spark, d):
-    units = read(spark, d, "label").select(term_column(F.col("dimension")).alias("k0"), term_column(F.col("category")).alias("k1"), F.col("sample_id").alias("record"))
+    label = spread(read(spark, d, "label").select("sample_id", "dimension", "category"))
+    units = label.select(term_column(F.col("dimension")).alias("k0"), term_column(F.col("category")).alias("k1"), F.col("sample_id").alias("record"))
     return ProportionalSample(units, read(spark, d, "category_target"), ["dimension", "category"])
 
 
