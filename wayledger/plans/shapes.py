@@ -163,7 +163,7 @@ def raster_decode(spark, d):
     return R.decode(p, "image", "pixels", 4)
 
 
-@q("sad_rows", f"with {_C} select image, sum(abs(v - (v + 37) % 256)) as sad, count(*) as n, sum(abs(v - (v + 37) % 256)) / count(*) > 4 as moving from c group by image")
+@q("sad_rows", f"with {_C} select image, sum(abs(v - (v + 37) % 256))::bigint as sad, count(*) as n, sum(abs(v - (v + 37) % 256)) / count(*) > 4 as moving from c group by image")
 def sad_rows(spark, d):
     a = _cells(spark, d)
     return R.absolute_difference(a, a.withColumn("v", (F.col("v") + 37) % 256), "image")
