@@ -320,6 +320,15 @@ def test_stuffed_pages(spark):
     assert all(r.word_share > 0.5 and r.char_share > 0.5 for r in rows)
 
 
+def test_seeds_of_ordinary_words_stay_stuffed(spark):
+    docs, stuffed = corpus()
+    rng = random.Random(5)
+    ordinary = ["the", "crew", "closed", "because", "drain", "filled", "nobody", "open", "rain", "year", "morning", "plan"]
+    docs.append((2000, "\n".join(" ".join(rng.choice(ordinary) for _ in range(40)) for _ in range(8))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text").collect()} == stuffed | {2000}
+
+
 def test_no_stuffing(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, prose(rng, 5)) for i in range(50)], "doc_id long, text string")

@@ -10,7 +10,7 @@ more than half of its characters.
    that are mostly links. Lines of full sentences and of numbers are none.
 3. The words of the seeds, against those of all other lines, train a bag-of-words classifier on
    all lines; it judges all lines again and learns from its own verdicts, a few rounds. So stuffing is found
-   that repeats too little to be a seed. Its vocabulary is the VOCABULARY words found in most lines, a
+   that repeats too little to be a seed. A line is stuffed if it is a seed or the last verdict says so. The vocabulary is the VOCABULARY words found in most lines, a
    fixed size at any scale; words beyond it carry no weight.
 
 Nothing but counts is shuffled. Only the pairs of lines that could be seeds meet the PMI table, and
@@ -117,7 +117,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(terms.values(), pa.int64()), pa.array([lines[t] for t in terms], pa.int64())], names=["term", "n", "lines"])
 
 
-_CODED = "lines array<int>, words array<int>, chars array<int>, known array<int>, at array<int>, linked array<boolean>, seed_at array<int>, seed_share array<double>, seed_known array<array<int>>, seed_pairs array<array<string>>, seed_repeated array<array<boolean>>"
+_CODED = "lines array<int>, words array<int>, chars array<int>, known array<int>, at array<int>, linked array<boolean>, seed_at array<int>, seed_share array<double>, seed_pairs array<array<string>>, seed_repeated array<array<boolean>>"
 
 
 def _coder(held, rules: Rules, schema: pa.Schema):
@@ -148,16 +148,15 @@ def _coder(held, rules: Rules, schema: pa.Schema):
                     row["at"] += [i] * len(known)
                     share = len([x for x in plain if x in repeated]) / len(plain) if plain and repeated else 0
                     if share >= rules.words_repeated and numbers < rules.numbers and not linked and prose_share(line, rules.sentence) < rules.prose:
-                        seeds.append((i, share, sorted(set(known))))
+                        seeds.append((i, share))
                 if seeds:
                     pairs = list(map(_pairs, split))
                     n_pairs = Counter(chain.from_iterable(pairs))
                     many_pairs = max(rules.repeated, rules.repeated_share * n_pairs.total())
-                    for i, share, known in seeds:
+                    for i, share in seeds:
                         if pairs[i]:
                             row["seed_at"].append(i)
                             row["seed_share"].append(share)
-                            row["seed_known"].append(known)
                             row["seed_pairs"].append(pairs[i])
                             row["seed_repeated"].append([n_pairs[x] >= many_pairs for x in pairs[i]])
                 for n, x in row.items():
@@ -215,9 +214,11 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
     held = spark.sparkContext.broadcast({r.term: i for i, r in enumerate(top)})  # at most ``vocabulary`` words
 
     empty = spark.createDataFrame([], f"doc {doc_type.simpleString()}, {_CODED}")
-    coded = stage(pages.mapInArrow(_coder(held, rules, to_arrow_schema(empty.schema)), empty.schema), "coded")
+    coded = pages.mapInArrow(_coder(held, rules, to_arrow_schema(empty.schema)), empty.schema)
+    coded = stage(coded.withColumn("page", F.monotonically_increasing_id()), "coded")
     n_lines = coded.agg(F.sum(F.element_at("lines", 1))).first()[0] or 0
-    seeds, n_seeds = _seed_words(coded, counts, words, rules, len(top))
+    marked = stage(_with_seeds(coded, _seed_lines(coded, counts, words, rules)), "marked")
+    seeds, n_seeds = _summed(marked.mapInArrow(_flagged_words(_seeded), "word bigint, n bigint"), len(top))
     if not n_seeds:
         return spark.createDataFrame([], result).withColumnRenamed("doc", document)
 
@@ -231,13 +232,14 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
     for _ in range(rules.rounds - 1):
         w = spark.sparkContext.broadcast(weights(seeds, n_seeds))
         flagged = _flagged_words(lambda batch, w=w: _verdicts(batch, w.value, rules.verdict))
-        seeds, n_seeds = _summed(coded.select("words", "known", "at").mapInArrow(flagged, "word bigint, n bigint"), len(top))
+        seeds, n_seeds = _summed(marked.select("words", "known", "at").mapInArrow(flagged, "word bigint, n bigint"), len(top))
     w = spark.sparkContext.broadcast(weights(seeds, n_seeds))
     arrow_doc = to_arrow_type(doc_type)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flag, _, _, first = _verdicts(batch, w.value, rules.verdict)
+            flag |= _seeded(batch)[0]
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             shares = []
             for name in ("words", "chars"):
@@ -247,7 +249,7 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
             at = pa.array(np.flatnonzero((shares[0] > 0.5) & (shares[1] > 0.5)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc").cast(arrow_doc).take(at), *(pa.array(s).take(at) for s in shares)], names=["doc", "word_share", "char_share"])
 
-    found = coded.select("doc", "words", "chars", "known", "at").mapInArrow(judge, result)
+    found = marked.mapInArrow(judge, result)
     return found.dropDuplicates(["doc"]).withColumnRenamed("doc", document)
 
 
@@ -259,14 +261,11 @@ def _summed(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _seed_words(coded: DataFrame, counts: DataFrame, words: DataFrame, rules: Rules, size: int) -> tuple[np.ndarray, int]:
-    """In how many seeds each word of the vocabulary is, and the number of seeds."""
+def _seed_lines(coded: DataFrame, counts: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
+    """(page, seed_at) of the lines whose collocations or mean PMI make them seeds."""
     total = counts.where(F.col("term").contains(" ")).agg(F.sum("n")).first()[0] or 1
-    lines = coded.select(
-        F.xxhash64(F.monotonically_increasing_id()).alias("page"),
-        F.inline(F.arrays_zip("seed_at", "seed_share", "seed_known", "seed_pairs", "seed_repeated")),
-    )
-    lines = stage(lines.select("page", "seed_at", "seed_share", "seed_known", F.arrays_zip("seed_pairs", "seed_repeated").alias("pairs")), "seeds")
+    lines = coded.select("page", F.inline(F.arrays_zip("seed_at", "seed_share", "seed_pairs", "seed_repeated")))
+    lines = stage(lines.select("page", "seed_at", "seed_share", F.arrays_zip("seed_pairs", "seed_repeated").alias("pairs")), "seeds")
     pairs = lines.select("page", "seed_at", F.inline("pairs")).groupBy("page", "seed_at", F.col("seed_pairs").alias("term"), "seed_repeated").agg(F.count("*").alias("times"))
     distinct = pairs.groupBy("term").agg(F.count("*").alias("weight"))
     a, b = F.split_part("term", F.lit(" "), F.lit(1)), F.split_part("term", F.lit(" "), F.lit(2))
@@ -286,12 +285,22 @@ def _seed_words(coded: DataFrame, counts: DataFrame, words: DataFrame, rules: Ru
     )
     stuffed = F.col("collocations") >= rules.collocations
     salad = (F.col("mean_pmi") < rules.salad_pmi) & (F.col("seed_share") >= rules.salad_words_repeated) & (F.col("n_pairs") + 1 >= rules.salad_length)
-    seeds = lines.join(measured, ["page", "seed_at"]).where(stuffed | salad)
-    by_word = seeds.select(F.explode(F.concat(F.col("seed_known").cast("array<bigint>"), F.array(F.lit(-1).cast("bigint")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    linked = coded.select("words", "known", "at", "linked").mapInArrow(_flagged_words(_linked), "word bigint, n bigint")
-    return _summed(by_word.unionByName(linked), size)
+    return lines.join(measured, ["page", "seed_at"]).where(stuffed | salad).select("page", "seed_at")
+
+
+def _with_seeds(coded: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``coded`` with the lines that are seeds by their pairs; only pages with candidates are shuffled."""
+    kept = ["doc", "words", "chars", "known", "at", "linked"]
+    none = F.array().cast("array<int>")
+    by_page = seeds.groupBy("page").agg(F.collect_list("seed_at").alias("seeds"))  # at most the page's lines
+    could = coded.where(F.size("seed_at") > 0).join(by_page, "page", "left").select(*kept, F.coalesce("seeds", none).alias("seeds"))
+    return could.unionByName(coded.where(F.size("seed_at") == 0).select(*kept, none.alias("seeds")))
 
 
-def _linked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _seeded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each line is a seed, by its pairs or its links."""
     line, word, _, first = _line_words(batch)
-    return batch.column("linked").flatten().to_numpy(zero_copy_only=False), line, word, first
+    seeds = batch.column("seeds")
+    flag = batch.column("linked").flatten().to_numpy(zero_copy_only=False).copy()
+    flag[seeds.flatten().to_numpy().astype(np.int64) + np.repeat(first[:-1], np.diff(seeds.offsets.to_numpy()))] = True
+    return flag, line, word, first
