@@ -329,6 +329,14 @@ def test_seeds_of_ordinary_words_stay_stuffed(spark):
     assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text").collect()} == stuffed | {2000}
 
 
+def test_words_beyond_the_vocabulary_count(spark):
+    docs, stuffed = corpus()
+    docs.append((2001, ", ".join(GOODS)))  # repeats nothing, so only the words' weights can tell
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [sorted((r.doc_id, r.word_share, r.char_share) for r in stuffing.stuffed_pages(df, "doc_id", "text", vocabulary=n).collect()) for n in (stuffing.VOCABULARY, 6)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[1]} == stuffed | {2001}
+
+
 def test_no_stuffing(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, prose(rng, 5)) for i in range(50)], "doc_id long, text string")

@@ -10,10 +10,11 @@ more than half of its characters.
    that are mostly links. Lines of full sentences and of numbers are none.
 3. The words of the seeds, against those of all other lines, train a bag-of-words classifier on
    all lines; it judges all lines again and learns from its own verdicts, a few rounds. So stuffing is found
-   that repeats too little to be a seed. A line is stuffed if it is a seed or the last verdict says so. The vocabulary is the VOCABULARY words found in most lines, a
-   fixed size at any scale; words beyond it carry no weight.
+   that repeats too little to be a seed. A line is stuffed if it is a seed or the last verdict says so. The weights of the VOCABULARY
+   words found in most lines are broadcast, those of all other words are joined to the lines that have them, so
+   the number changes the cost only.
 
-Nothing but counts is shuffled. Only the pairs of lines that could be seeds meet the PMI table, and
+Nothing but counts is shuffled while a corpus has at most VOCABULARY words; beyond, the lines' other words and the coded pages are. Only the pairs of lines that could be seeds meet the PMI table, and
 pairs that many of them share stay out of that shuffle.
 """
 
@@ -117,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(terms.values(), pa.int64()), pa.array([lines[t] for t in terms], pa.int64())], names=["term", "n", "lines"])
 
 
-_CODED = "lines array<int>, words array<int>, chars array<int>, known array<int>, at array<int>, linked array<boolean>, seed_at array<int>, seed_share array<double>, seed_pairs array<array<string>>, seed_repeated array<array<boolean>>"
+_CODED = "lines array<int>, words array<int>, chars array<int>, known array<int>, at array<int>, tail array<string>, tail_at array<int>, linked array<boolean>, seed_at array<int>, seed_share array<double>, seed_pairs array<array<string>>, seed_repeated array<array<boolean>>"
 
 
 def _coder(held, rules: Rules, schema: pa.Schema):
@@ -143,9 +144,14 @@ def _coder(held, rules: Rules, schema: pa.Schema):
                     row["words"].append(len(w))
                     row["chars"].append(len(line))
                     row["linked"].append(linked and numbers < rules.link_numbers and not _NUMBERED.match(line))
-                    known = [k for k in map(number, plain) if k is not None]
+                    codes = list(map(number, plain))
+                    known = [k for k in codes if k is not None]
                     row["known"] += known
                     row["at"] += [i] * len(known)
+                    if len(known) < len(plain):
+                        tail = [x for x, k in zip(plain, codes) if k is None]
+                        row["tail"] += tail
+                        row["tail_at"] += [i] * len(tail)
                     share = len([x for x in plain if x in repeated]) / len(plain) if plain and repeated else 0
                     if share >= rules.words_repeated and numbers < rules.numbers and not linked and prose_share(line, rules.sentence) < rules.prose:
                         seeds.append((i, share))
@@ -170,28 +176,42 @@ def _line_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(line of each known word, numbered through the batch; the words; lines per row; first line of each row)."""
     sizes = np.array([len(x) for x in batch.column("words").to_pylist()], np.int64)
     first = np.concatenate(([0], np.cumsum(sizes)))
-    per_row = np.diff(batch.column("known").offsets.to_numpy())
-    line = batch.column("at").flatten().to_numpy().astype(np.int64) + np.repeat(first[:-1], per_row)
-    return line, batch.column("known").flatten().to_numpy().astype(np.int64), sizes, first
+    return _lines_at(batch, "at", first), batch.column("known").flatten().to_numpy().astype(np.int64), sizes, first
+
+
+def _lines_at(batch: pa.RecordBatch, name: str, first: np.ndarray) -> np.ndarray:
+    """The lines that a column of line numbers names, numbered through the batch."""
+    column = batch.column(name)
+    return column.flatten().to_numpy().astype(np.int64) + np.repeat(first[:-1], np.diff(column.offsets.to_numpy()))
 
 
 def _verdicts(batch: pa.RecordBatch, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each line is stuffed; lines without a known word are not."""
+    """Whether each line is stuffed; lines without a word are not."""
     line, word, sizes, first = _line_words(batch)
     n = int(first[-1])
     total, count = np.bincount(line, weights[word], n), np.bincount(line, minlength=n)
+    if "tail_odds" in batch.schema.names:
+        total = total + np.bincount(_lines_at(batch, "tail_line", first), batch.column("tail_odds").flatten().to_numpy(), n)
+        count = count + np.bincount(_lines_at(batch, "tail_at", first), minlength=n)
     return (count > 0) & (total > threshold * count), line, word, first
 
 
+_FLAGGED = "word bigint, term string, n bigint"
+
+
 def _flagged_words(verdict):
-    """(word, lines) of the flagged lines of each batch, and the number of these lines as word -1."""
+    """(word, term, lines) of the flagged lines of each batch, and the number of these lines as word -1; words without a number come as terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flag, line, word, _ = verdict(batch)
+            flag, line, word, first = verdict(batch)
             seen = np.unique(np.stack([line[flag[line]], word[flag[line]]]), axis=1)
             words, n = np.unique(seen[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(words, -1), pa.int64()), pa.array(np.append(n, flag.sum()), pa.int64())], names=["word", "n"])
+            tail = zip(_lines_at(batch, "tail_at", first).tolist(), batch.column("tail").flatten().to_pylist())
+            terms = Counter(t for _, t in {(i, t) for i, t in tail if flag[i]})
+            numbers = [*words.tolist(), -1]
+            columns = {"word": [*numbers, *[None] * len(terms)], "term": [*[None] * len(numbers), *terms], "n": [*n.tolist(), int(flag.sum()), *terms.values()]}
+            yield pa.RecordBatch.from_arrays([pa.array(columns["word"], pa.int64()), pa.array(columns["term"], pa.string()), pa.array(columns["n"], pa.int64())], names=list(columns))
 
     return count
 
@@ -211,6 +231,10 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
     words = counts.where(~F.col("term").contains(" "))
     top = words.orderBy(F.desc("lines"), "term").limit(vocabulary).collect()
     in_lines = np.array([r.lines for r in top], float)
+    tail = None
+    if len(top) == vocabulary:
+        beyond = (F.col("lines") < top[-1].lines) | ((F.col("lines") == top[-1].lines) & (F.col("term") > top[-1].term)) if top else F.lit(True)
+        tail = None if words.where(beyond).isEmpty() else words.where(beyond)
     held = spark.sparkContext.broadcast({r.term: i for i, r in enumerate(top)})  # at most ``vocabulary`` words
 
     empty = spark.createDataFrame([], f"doc {doc_type.simpleString()}, {_CODED}")
@@ -218,21 +242,42 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
     coded = stage(coded.withColumn("page", F.monotonically_increasing_id()), "coded")
     n_lines = coded.agg(F.sum(F.element_at("lines", 1))).first()[0] or 0
     marked = stage(_with_seeds(coded, _seed_lines(coded, counts, words, rules)), "marked")
-    seeds, n_seeds = _summed(marked.mapInArrow(_flagged_words(_seeded), "word bigint, n bigint"), len(top))
+    seeds, n_seeds, seed_tail = _summed(marked.drop("doc", "chars").mapInArrow(_flagged_words(_seeded), _FLAGGED), len(top), tail)
     if not n_seeds:
         return spark.createDataFrame([], result).withColumnRenamed("doc", document)
 
     def weights(flagged: np.ndarray, n: float) -> np.ndarray:
+        if not n:  # no line is flagged, so no word speaks for it
+            return np.full(len(in_lines), -rules.clip)
         # repeated words of one line count once on either side
         rest = np.maximum(0, in_lines - flagged)
         part = n / max(n_lines, n + 1)  # smoothed towards the share of flagged lines, so a rare word leans to neither side
         odds = np.log((flagged + part) / part) - np.log((rest + 1 - part) / (1 - part))
         return np.clip(odds, -rules.clip, rules.clip)
 
+    if tail is not None:
+        tail_words = stage(marked.select("page", F.inline(F.arrays_zip("tail_at", "tail"))).withColumnRenamed("tail", "term"), "tail")
+        n_tail = tail_words.count()
+
+    def scored(flagged: DataFrame, n: float) -> DataFrame:
+        """The pages with the sum of log odds of the words beyond the vocabulary, for each line that has any."""
+        if tail is None:
+            return marked
+        odds = F.lit(-rules.clip)
+        if n:  # as in weights
+            part, have = n / max(n_lines, n + 1), F.coalesce("flagged", F.lit(0)).cast("double")
+            odds = F.log((have + part) / part) - F.log((F.greatest(F.lit(0.0), F.col("lines") - have) + 1 - part) / (1 - part))
+            odds = F.greatest(F.lit(-rules.clip), F.least(F.lit(rules.clip), odds))
+        weighed = stage(tail.join(flagged.withColumnRenamed("n", "flagged"), "term", "left").select("term", "n", odds.alias("odds")), "odds")
+        by_line = weighted_join(tail_words, weighed, "term", "n", n_tail).groupBy("page", "tail_at").agg(F.sum("odds").alias("odds"))
+        by_page = by_line.groupBy("page").agg(F.collect_list(F.struct("tail_at", "odds")).alias("s"))  # at most the page's lines
+        lists = {"tail_line": F.coalesce("s.tail_at", F.array().cast("array<int>")), "tail_odds": F.coalesce("s.odds", F.array().cast("array<double>"))}
+        return marked.join(by_page, "page", "left").withColumns(lists).drop("s")
+
     for _ in range(rules.rounds - 1):
         w = spark.sparkContext.broadcast(weights(seeds, n_seeds))
         flagged = _flagged_words(lambda batch, w=w: _verdicts(batch, w.value, rules.verdict))
-        seeds, n_seeds = _summed(marked.select("words", "known", "at").mapInArrow(flagged, "word bigint, n bigint"), len(top))
+        seeds, n_seeds, seed_tail = _summed(scored(seed_tail, n_seeds).drop("doc", "chars").mapInArrow(flagged, _FLAGGED), len(top), tail)
     w = spark.sparkContext.broadcast(weights(seeds, n_seeds))
     arrow_doc = to_arrow_type(doc_type)
 
@@ -249,16 +294,19 @@ def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules =
             at = pa.array(np.flatnonzero((shares[0] > 0.5) & (shares[1] > 0.5)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc").cast(arrow_doc).take(at), *(pa.array(s).take(at) for s in shares)], names=["doc", "word_share", "char_share"])
 
-    found = marked.mapInArrow(judge, result)
+    found = scored(seed_tail, n_seeds).mapInArrow(judge, result)
     return found.dropDuplicates(["doc"]).withColumnRenamed("doc", document)
 
 
-def _summed(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Counts per word as an array, at most the vocabulary, and the one of word -1."""
+def _summed(counted: DataFrame, size: int, tail: DataFrame | None) -> tuple[np.ndarray, int, DataFrame]:
+    """Counts per word as an array, at most the vocabulary, the one of word -1, and (term, n) of the words beyond."""
+    counted = counted.groupBy("word", "term").agg(F.sum("n").alias("n"))
+    if tail is not None:
+        counted = stage(counted, "flagged")
     out = np.zeros(size + 1)
-    for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in counted.where("word is not null").collect():
         out[r.word] = r.n
-    return out[:-1], int(out[-1])
+    return out[:-1], int(out[-1]), counted.where("term is not null").select("term", "n")
 
 
 def _seed_lines(coded: DataFrame, counts: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
@@ -290,7 +338,7 @@ def _seed_lines(coded: DataFrame, counts: DataFrame, words: DataFrame, rules: Ru
 
 def _with_seeds(coded: DataFrame, seeds: DataFrame) -> DataFrame:
     """``coded`` with the lines that are seeds by their pairs; only pages with candidates are shuffled."""
-    kept = ["doc", "words", "chars", "known", "at", "linked"]
+    kept = ["page", "doc", "words", "chars", "known", "at", "tail", "tail_at", "linked"]
     none = F.array().cast("array<int>")
     by_page = seeds.groupBy("page").agg(F.collect_list("seed_at").alias("seeds"))  # at most the page's lines
     could = coded.where(F.size("seed_at") > 0).join(by_page, "page", "left").select(*kept, F.coalesce("seeds", none).alias("seeds"))
@@ -300,7 +348,6 @@ def _with_seeds(coded: DataFrame, seeds: DataFrame) -> DataFrame:
 def _seeded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Whether each line is a seed, by its pairs or its links."""
     line, word, _, first = _line_words(batch)
-    seeds = batch.column("seeds")
     flag = batch.column("linked").flatten().to_numpy(zero_copy_only=False).copy()
-    flag[seeds.flatten().to_numpy().astype(np.int64) + np.repeat(first[:-1], np.diff(seeds.offsets.to_numpy()))] = True
+    flag[_lines_at(batch, "seeds", first)] = True
     return flag, line, word, first
