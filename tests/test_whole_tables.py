@@ -12,3 +12,9 @@ def test_heading_of_every_step(spark, data):
     points = _metric(spark, data)
     assert steps.count() == points.count() - points.select("track_id").distinct().count()
     assert steps.where("angle is null and not stopped").isEmpty() and not steps.where("angle is null").isEmpty()
+
+
+def test_url_codec_of_every_path(spark, data):
+    coded = CATALOG.queries["url_codec_all"](spark, data)
+    assert coded.count() == read(spark, data, "sample").select("image_path").distinct().count()
+    assert not coded.where(F.col("image_path").contains("%")).isEmpty() and coded.where("not image_path <=> back").isEmpty()

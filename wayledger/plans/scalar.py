@@ -54,6 +54,13 @@ def url_codec(spark, d):
     return read(spark, d, "sample").where(~_c("image_path").contains("%")).select("image_path", e.alias("encoded"), S.url_decode(e).alias("back")).distinct()
 
 
+@q("url_codec_all", "select distinct image_path, url_encode(image_path) as encoded, image_path as back from sample")
+def url_codec_all(spark, d):
+    """Every path, also those with a '%'."""
+    e = S.url_encode(_c("image_path"))
+    return read(spark, d, "sample").select("image_path", e.alias("encoded"), S.url_decode(e).alias("back")).distinct()
+
+
 _URL = "u as (select doc_id, 'https://' || coalesce(source, 'none') || ':8080/d/' || doc_id || '?lang=' || coalesce(lang, '') || '&n=' || n_chars || '#top' as url from documents)"
 
 
