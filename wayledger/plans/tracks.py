@@ -155,6 +155,12 @@ def track_bounds(spark, d):
     return _track(spark, d).where(F.col("lon") == F.round("lon", 6)).groupBy("track_id").agg(F.min("lon").alias("x1"), F.min("lat").alias("y1"), F.max("lon").alias("x2"), F.max("lat").alias("y2"))
 
 
+@q("track_bounds_all", f"with {_T} select track_id, round(min(lon), 8) as x1, round(min(lat), 8) as y1, round(max(lon), 8) as x2, round(max(lat), 8) as y2 from t group by all")
+def track_bounds_all(spark, d):
+    """Bounds over all points, also those averaged from a repeated time."""
+    return _track(spark, d).groupBy("track_id").agg(*[F.round(f(n), 8).alias(a) for a, f, n in (("x1", F.min, "lon"), ("y1", F.min, "lat"), ("x2", F.max, "lon"), ("y2", F.max, "lat"))])
+
+
 @q(
     "cluster_stats",
     """with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings), c as (select label, avg(x) as cx, avg(y) as cy, count(*) as n from p group by label),
