@@ -141,6 +141,14 @@ def test_split_shares_and_strata(spark):
 # --- 5: samples ------------------------------------------------------------------------------------------------
 
 
+def test_split_pools_rare_strata(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_STRATA", 1)
+    groups = spark.createDataFrame([(i, i) for i in range(2000)], "group long, record long")
+    strata = spark.createDataFrame([(i, "often") for i in range(300)] + [(i, f"rare {i}") for i in range(300, 400)], "record long, stratum string")
+    placed = {r.record: r.split for r in splits.split_assignment(groups, strata, {"a": 0.5, "b": 0.5}).collect()}
+    assert len(placed) == 2000 and abs(sum(placed[i] == "a" for i in range(300, 400)) - 50) <= 2
+
+
 def units(spark, rows):
     return spark.createDataFrame(rows, "k0 string, k1 string, record long")
 

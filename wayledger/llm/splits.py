@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayledger.runtime import fits_broadcast, stage, unstage, weighted_join
 
-MAX_STRATA = 200  # the most frequent label values that make strata of their own
+MAX_STRATA = 200  # the most frequent label values that make strata of their own; the others share one for each power of two of their frequency
 BINS = 64  # bins of groups per stratum; strata * bins units are assigned on the driver
 LARGE = 2000  # a group with more than 1/LARGE of all records is a unit of its own
 
@@ -61,7 +61,7 @@ def split_assignment(groups: DataFrame, strata: DataFrame, wanted: dict[str, flo
 
     ``groups`` is (group, record), each record once; ``strata`` is (record, stratum), any number of rows a
     record. A group belongs to the stratum of its rarest label value, so rare values are spread
-    first. Within a stratum, groups fall by hash into bins; a group with more than 1/LARGE of all
+    first; the values beyond the MAX_STRATA most frequent share strata by frequency. Within a stratum, groups fall by hash into bins; a group with more than 1/LARGE of all
     records is a unit alone. The units (at most LARGE + strata * BINS, whatever the data's size) are
     assigned on the driver, rarest stratum and largest unit first, each to the split whose
     counts of the unit's own stratum and of the records assigned so far fall furthest short.
@@ -70,10 +70,14 @@ def split_assignment(groups: DataFrame, strata: DataFrame, wanted: dict[str, flo
     if not wanted or min(wanted.values()) < 0 or not sum(wanted.values()):
         raise ValueError("wanted shares must be positive")
     groups, strata = stage(groups, "groups"), stage(strata, "strata")
-    frequent = strata.where(F.col("stratum").isNotNull()).groupBy("stratum").agg(F.count("*").alias("n"))
-    ranked = frequent.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    known = strata.join(F.broadcast(ranked), "stratum")  # at most MAX_STRATA rows
-    rarest = known.groupBy("record").agg(F.min(F.struct("n", "stratum")).alias("best"))
+    strata = strata.where(F.col("stratum").isNotNull())
+    frequent = stage(strata.groupBy("stratum").agg(F.count("*").alias("n")), "frequent")
+    ranked = frequent.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).collect()
+    own = (F.col("n") > ranked[-1].n) | ((F.col("n") == ranked[-1].n) & (F.col("stratum") <= ranked[-1].stratum)) if ranked else F.lit(False)
+    pool = F.concat(F.lit("n"), F.length(F.bin("n")).cast("string"))  # at most 64 pools
+    named = frequent.withColumn("name", F.when(own, F.concat(F.lit("v"), "stratum")).otherwise(pool))
+    known = weighted_join(strata.select("record", "stratum"), named, "stratum", "n", strata.count())
+    rarest = known.groupBy("record").agg(F.min(F.struct("n", F.col("name").alias("stratum"))).alias("best"))
     sized = (
         groups.join(rarest, "record", "left")
         .groupBy("group")
