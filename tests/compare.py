@@ -13,7 +13,7 @@ def normal(v):
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, (float, decimal.Decimal)):
-        return "nan" if math.isnan(v) else float(f"{float(v):.9g}")
+        return object() if math.isnan(v) else float(f"{float(v):.9g}")  # NaN equals nothing, as for the driver
     if isinstance(v, (list, tuple)):
         return tuple(map(normal, v))
     if isinstance(v, datetime.datetime):

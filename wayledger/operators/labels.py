@@ -27,7 +27,11 @@ def current_samples(log: DataFrame, deletes: DataFrame | None = None) -> DataFra
 
 
 def current_labels(log: DataFrame) -> DataFrame:
-    """The last version of each (sample_id, dimension); blank categories delete the label."""
+    """The last version of each (sample_id, dimension); blank categories delete the label.
+
+    A NaN intensity is null: a label database has no NaN, it stores null instead.
+    """
+    log = log.withColumn("intensity", F.nanvl("intensity", F.lit(None).cast("double")))
     last = latest(log, ["sample_id", "dimension"], [F.col(c) for c in ("modified_at", "loaded_at", "category", "intensity", "author")])
     return last.where(F.trim("category") != "")
 

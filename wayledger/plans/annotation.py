@@ -18,7 +18,7 @@ s as (select id, image_path, region_id, region, author, modified_at from (
     max(loaded_at) over (partition by id) as last_loaded from sample)
   where n = 1 and id not in (select d.id from (select id, max(deleted_at) as gone from sample_delete group by id) d join (select id, max(loaded_at) as loaded from sample group by id) x on x.id = d.id where gone > loaded)),
 l as (select sample_id, dimension, category, intensity, author, modified_at from (
-  select *, row_number() over (partition by sample_id, dimension order by modified_at desc nulls last, loaded_at desc nulls last, category desc nulls last, intensity desc nulls last, author desc nulls last) as n from label)
+  select *, row_number() over (partition by sample_id, dimension order by modified_at desc nulls last, loaded_at desc nulls last, category desc nulls last, intensity desc nulls last, author desc nulls last) as n from (select * replace (case when not isnan(intensity) then intensity end as intensity) from label))
   where n = 1 and trim(category, ' ') <> '')
 """
 

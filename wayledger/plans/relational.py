@@ -230,9 +230,9 @@ def exists_keys(spark, d):
     return crud.exists(read(spark, d, "label").select("sample_id").distinct(), read(spark, d, "sample"), "sample_id", "id")
 
 
-@q("latest_version", "select sample_id, dimension, category, intensity, author from (select *, row_number() over (partition by sample_id, dimension order by modified_at desc nulls last, loaded_at desc, category desc nulls last, intensity desc nulls last, author desc nulls last) as n from label) where n = 1")
+@q("latest_version", "select sample_id, dimension, category, intensity, author from (select *, row_number() over (partition by sample_id, dimension order by modified_at desc nulls last, loaded_at desc, category desc nulls last, intensity desc nulls last, author desc nulls last) as n from (select * replace (case when not isnan(intensity) then intensity end as intensity) from label)) where n = 1")
 def latest_version(spark, d):
-    x = read(spark, d, "label")
+    x = read(spark, d, "label").withColumn("intensity", F.nanvl("intensity", F.lit(None).cast("double")))  # a store has no NaN
     return crud.latest(x, ["sample_id", "dimension"], [F.col(c) for c in ("modified_at", "loaded_at", "category", "intensity", "author")]).select("sample_id", "dimension", "category", "intensity", "author")
 
 
