@@ -1,36 +1,41 @@
 """Evaluation texts that leak into training text.
 
-A document leaks an item if it contains 13 successive words of it (all words of a shorter item).
-Every such window is a set of five-word shingles, all of which the document must contain; so it is
-enough to look where its rarest shingle occurs. That is a set join with a prefix of one token:
-
-1. Documents are matched against the shingles of all items, exactly, by word numbers. Only runs
-   of matches long enough to hold a window stay (length bound).
-2. Shingles are ordered by their number of occurrences in the corpus; the rarest of each window is its prefix.
-3. Where a prefix occurs, the window can only start at one place (positional bound); there its
-   shingles are compared one by one, which proves all of its words in a row.
+A document leaks an item if it contains 13 successive words of it (all words of a shorter item), a
+window. All five-word shingles of a window are in such a document, so it is enough to look where one of
+them occurs: a set join with a prefix of one token.
+
+1. Shingles of all items are ordered by rarity, their number of occurrences in the whole corpus. The rarest
+   of each window is its prefix; a window with a shingle that occurs nowhere drops out.
+2. Documents give only the places of prefixes, with the words around them. These are joined
+   with the windows by the prefix.
+3. Where they meet, the window can start at one place only (positional bound), which must leave room
+   for all of its words (length bound); its words are compared with those there.
+
+Shingles are 64-bit hashes. Two that collide cost a comparison or a worse prefix, never a result.
+Documents drop shingles that no item has by a bit map of fixed size, so the number of passes over the
+corpus is two for any number of items; what passes the map is joined, by broadcast only if Spark
+finds the windows small enough.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
 from wayledger.runtime import spread, stage
 
 WINDOW = 13
 SHINGLE = 5
-BLOCK_ITEMS = 20_000  # items matched in one pass, and
-BLOCK_CHARACTERS = 5_000_000  # characters of theirs, on average; more take more passes
+MAP_BITS = 25  # the bit map holds 2**25 bits: 4 MB, whatever the number of items
+CHUNK_WORDS = 200_000  # words numbered at once; a longer text is one chunk
 
 _HIDDEN = re.compile("[\u00ad\u200b-\u200d\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
@@ -45,169 +50,150 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class ItemIndex:
-    """Shingles and windows of a block of items.
+class Chunk:
+    """The words of some texts in one row, with their hashes."""
+
+    def __init__(self, split: list[list[str]]) -> None:
+        self.words = [w for ws in split for w in ws]
+        self.sizes = np.array([len(ws) for ws in split], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        coded = pa.array(self.words, pa.string()).dictionary_encode()
+        each = hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
+        self._hashes = each[coded.indices.to_numpy()] if self.words else np.zeros(0, np.uint64)
+        self.text = np.repeat(np.arange(len(split)), self.sizes)  # of each word
+
+    def shingles(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the runs of ``level`` words that stay in one text."""
+        n = max(0, len(self.words) - level + 1)
+        h = np.full(n, np.uint64(level))
+        for k in range(level):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + self._hashes[k : k + n]
+            h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)  # the map takes the upper bits
+        at = np.arange(n)
+        inside = at + level <= self.ends[self.text[:n]]
+        return at[inside], h[inside]
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, Chunk]]:
+    """(row of the first text, chunk) of a column of texts."""
+    first, split, n = 0, [], 0
+    for value in column:
+        split.append(words(value.as_py()))
+        n += len(split[-1])
+        if n >= CHUNK_WORDS:
+            yield first, Chunk(split)
+            first, split, n = first + len(split), [], 0
+    if split:
+        yield first, Chunk(split)
+
+
+def _windows(window: int, shingle: int):
+    """(item, text) rows to (item, words, level, shingles) of each window; the words are joined by spaces."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, chunk in _chunks(batch.column(1)):
+                rows: dict[str, list] = {"at": [], "words": [], "level": [], "shingles": []}
+                hashes = {level: dict(zip(*(x.tolist() for x in chunk.shingles(level)))) for level in {min(shingle, int(n)) for n in chunk.sizes} - {0}}
+                for i, (size, end) in enumerate(zip(chunk.sizes.tolist(), chunk.ends.tolist())):
+                    n = min(window, size)
+                    level = min(shingle, n)
+                    for at in range(end - size, end - n + 1) if n else ():
+                        rows["at"].append(first + i)
+                        rows["words"].append(" ".join(chunk.words[at : at + n]))
+                        rows["level"].append(level)
+                        rows["shingles"].append([hashes[level][at + k] for k in range(n - level + 1)])
+                values = [pa.array(rows["words"], pa.string()), pa.array(rows["level"], pa.int32()), pa.array([np.array(s, np.uint64).view(np.int64) for s in rows["shingles"]], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows["at"], pa.int64())), *values], names=["item", "words", "level", "shingles"])
+
+    return split
+
+
+def _bit_map(hashes: DataFrame) -> np.ndarray:
+    """2**MAP_BITS bits, those of the upper bits of the ``shingle`` hashes set. They are set on the executors; the driver gets 64 a row."""
+    bit = F.shiftrightunsigned("shingle", 64 - MAP_BITS)
+    found = hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << MAP_BITS - 6, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _mapped(hashes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the bit map has."""
+    bit = hashes >> np.uint64(65 - (len(held) * 64).bit_length())
+    return np.flatnonzero(held[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+
+
+def _count(held: Broadcast, levels: list[int]):
+    """Texts to (shingle, n) of the shingles that the map has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, chunk in _chunks(batch.column(0)):
+                for level in levels:
+                    _, h = chunk.shingles(level)
+                    found, n = np.unique(h[_mapped(h, held.value)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    return count
+
 
-    Words and word sequences are numbered level by level: a sequence of j words is the pair (number
-    of its first j-1 words, number of its last word), so equal numbers mean equal words.
+def _places(held: Broadcast, levels: list[int], window: int, shingle: int):
+    """(doc, text) rows to the places of prefixes: (doc, shingle, place, size, from, around).
+
+    ``around`` holds the words that any window with this shingle could cover, from the word numbered ``from``.
+    Shingles shorter than ``shingle`` are whole windows, so their first place in a text will do.
     """
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> None:
-        texts = [(key, words(text)) for key, text in items]
-        texts = [(key, w) for key, w in texts if w]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
-        self.levels: list[np.ndarray] = []
-        self.shingle = shingle
-        coded = [(key, np.array([self.vocabulary[w] for w in ws], np.int64)) for key, ws in texts]
-        now = [numbers for _, numbers in coded]
-        self.first: list[int] = [0]
-        per_level = [now]
-        for j in range(2, shingle + 1):
-            codes = [self._codes(n, numbers, j) for n, (_, numbers) in zip(now, coded)]
-            self.levels.append(np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64))
-            now = [np.searchsorted(self.levels[-1], c) for c in codes]
-            per_level.append(now)
-        self.first = np.cumsum([0, len(self.vocabulary), *map(len, self.levels)]).tolist()
-        self.keys: list = []
-        self.shingles: list[np.ndarray] = []  # of each item, in a row
-        self.sizes: list[tuple[int, int]] = []  # of each item's windows, in words and in shingles
-        self.least_run: dict[int, int] = {}  # shingles of the smallest window, by level
-        for i, (key, numbers) in enumerate(coded):
-            self.keys.append(key)
-            w = min(window, len(numbers))
-            level = min(shingle, w)
-            self.shingles.append(per_level[level - 1][i] + self.first[level - 1])
-            self.sizes.append((w, w - level + 1))
-            self.least_run[level] = min(self.least_run.get(level, w), w - level + 1)
-
-    def _codes(self, prefix: np.ndarray, numbers: np.ndarray, j: int) -> np.ndarray:
-        m = max(0, len(numbers) - j + 1)
-        return prefix[:m] * len(self.vocabulary) + numbers[j - 1 : j - 1 + m]
-
-    def match(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(level, shingle number or -1 at each place) of texts whose words are numbered, -1 if unknown."""
-        now = numbers
-        for j in range(1, self.shingle + 1):
-            if j > 1:
-                m = max(0, len(numbers) - j + 1)
-                known = self.levels[j - 2]
-                last = numbers[j - 1 : j - 1 + m]
-                codes = np.where((now[:m] >= 0) & (last >= 0), now[:m] * len(self.vocabulary) + last, -1)
-                at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
-                now = np.where(known[at] == codes, at, -1) if len(known) else np.full(m, -1)
-            if j in self.least_run:
-                yield j, np.where(now >= 0, now + self.first[j - 1], -1)
-
-    def choose_prefixes(self, counts: dict[int, int]) -> None:
-        """The rarest shingle of each window; windows with a shingle that occurs nowhere drop out."""
-        self.prefixes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # item, place of its window, place in that
-        for item, (own, (_, n)) in enumerate(zip(self.shingles, self.sizes)):
-            rarity = np.array([counts.get(s, 0) for s in own.tolist()])
-            views = np.lib.stride_tricks.sliding_window_view(rarity, n)
-            rarest = views.argmin(axis=1)
-            for start in np.flatnonzero(views.min(axis=1) > 0).tolist():
-                offset = int(rarest[start])
-                self.prefixes[int(own[start + offset])].append((item, start, offset))
-
-    def verify(self, total: int, places: list[int], shingles: list[int]) -> set[int]:
-        """Items with a window in a text of ``total`` words that has these shingles at these places."""
-        there = set(zip(places, shingles))
-        found: set[int] = set()
-        for place, s in zip(places, shingles):
-            for item, at, offset in self.prefixes.get(s, ()):
-                if item in found:
-                    continue
-                words_in, n = self.sizes[item]
-                start = place - offset
-                if start >= 0 and start + words_in <= total and all((start + k, x) in there for k, x in enumerate(self.shingles[item][at : at + n].tolist())):
-                    found.add(item)
-        return found
-
-
-def _runs(hit: np.ndarray, least: int) -> np.ndarray:
-    """Places of ``hit`` in runs of at least ``least`` successive places."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= least
-    keep = np.zeros(len(hit) + 1, np.int32)
-    np.add.at(keep, starts[long], 1)
-    np.add.at(keep, ends[long], -1)
-    return np.flatnonzero(np.cumsum(keep[:-1]))
-
-
-def leaked_items(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK_ITEMS) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, chunk in _chunks(batch.column(1)):
+                for level in levels:
+                    at, h = chunk.shingles(level)
+                    kept = _mapped(h, held.value)
+                    if level < shingle:
+                        kept = kept[np.unique(np.stack([chunk.text[at[kept]].view(np.uint64), h[kept]]), axis=1, return_index=True)[1]]
+                    place, text = at[kept], chunk.text[at[kept]]
+                    start = (chunk.ends - chunk.sizes)[text]
+                    low, high = np.maximum(start, place - (window - level)), np.minimum(chunk.ends[text], place + window)
+                    around = [" ".join(chunk.words[a:b]) for a, b in zip(low.tolist(), high.tolist())]
+                    columns = [batch.column(0).take(pa.array(text + first)), pa.array(h[kept].view(np.int64)), pa.array(place - start), pa.array(chunk.sizes[text]), pa.array(low - start), pa.array(around, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "shingle", "place", "size", "from", "around"])
+
+    return find
+
+
+def leaked_items(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Distinct (document, item) of all documents that contain a window of an item.
 
-    Items are matched in blocks of about ``block`` items, each against all documents. Null, empty and
-    wordless texts, of either side, match nothing; repeated rows count once; empty tables give no rows.
+    Null, empty and wordless texts, of either side, match nothing; null items do not come out; repeated rows count
+    once; empty tables give no rows. Texts are whole however long they are, and other columns of the tables are ignored.
     """
-    fields = [documents.schema[document], items.schema[item]]
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(("doc", "item"), fields))
+    item_type, doc_type = (t.schema[c].dataType.simpleString() for t, c in ((items, item), (documents, document)))
     texts = items.select(F.col(item).alias("item"), F.make_valid_utf8(F.col(item_text)).alias("text")).where("item is not null and text is not null").distinct()
-    size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // block), -(-size[1] // BLOCK_CHARACTERS))
-    corpus = spread(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")))
-    found = None
-    for b in range(blocks):
-        part = texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else texts
-        some = _leaks_of_block(corpus, [(r.item, r.text) for r in part.collect()], window, shingle, schema)
-        found = some if found is None else found.unionByName(some)
-    return found.distinct().select(F.col("doc").alias(document), F.col("item").alias(item))
-
-
-def _leaks_of_block(documents: DataFrame, items: list[tuple[object, str]], window: int, shingle: int, schema: str) -> DataFrame:
-    spark = documents.sparkSession
-    index = ItemIndex(items, window, shingle)
-    if not index.keys:
-        return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(index)  # at most a block of items
-    doc_type = documents.schema["doc"].dataType.simpleString()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = held.value
-        number = ix.vocabulary.get
-        for batch in batches:
-            keys = batch.column(0)
-            rows: dict[str, list] = {"at": [], "words": [], "places": [], "shingles": []}
-            counts: dict[int, int] = defaultdict(int)
-            for i, value in enumerate(batch.column(1)):
-                numbers = np.array([number(w, -1) for w in words(value.as_py())], np.int64)
-                if not len(numbers):
-                    continue
-                places, shingles = [], []
-                for level, found in ix.match(numbers):
-                    hit = found >= 0
-                    if not hit.any():
-                        continue
-                    for s, n in zip(*np.unique(found[hit], return_counts=True)):
-                        counts[int(s)] += int(n)
-                    at = _runs(hit, ix.least_run[level])
-                    places += at.tolist()
-                    shingles += found[at].tolist()
-                if places:
-                    for name, x in (("at", i), ("words", len(numbers)), ("places", places), ("shingles", shingles)):
-                        rows[name].append(x)
-            for name, x in (("at", None), ("words", 0), ("places", list(counts.values())), ("shingles", list(counts))):
-                rows[name].append(x)  # the row without a document holds the batch's counts
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(rows["at"], pa.int64())), pa.array([a is None for a in rows["at"]]), pa.array(rows["words"], pa.int64()), pa.array(rows["places"], pa.list_(pa.int64())), pa.array(rows["shingles"], pa.list_(pa.int64()))],
-                names=["doc", "counts", "words", "places", "shingles"],
-            )
-
-    hits = stage(documents.mapInArrow(match, f"doc {doc_type}, counts boolean, words bigint, places array<bigint>, shingles array<bigint>"), "hits")
-    counted = hits.where("counts").select(F.inline(F.arrays_zip("shingles", "places"))).groupBy("shingles").agg(F.sum("places").alias("n"))
-    index.choose_prefixes({r.shingles: r.n for r in counted.collect()})  # no more than the block has shingles
-    chosen = spark.sparkContext.broadcast(index)
-    item_type = to_arrow_type(StructType.fromDDL(schema)["item"].dataType)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = chosen.value
-        for batch in batches:
-            at, item = [], []
-            for i, (total, places, shingles) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
-                for found in ix.verify(total, places, shingles):
-                    at.append(i)
-                    item.append(ix.keys[found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_type)], names=["doc", "item"])
-
-    return hits.where("not counts").select("doc", "words", "places", "shingles").mapInArrow(verify, schema)
+    corpus = spread(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")).where("text is not null"))
+
+    every = stage(texts.mapInArrow(_windows(window, shingle), f"item {item_type}, words string, level int, shingles array<bigint>"), "item-windows")
+    windows = every.groupBy("words").agg(F.first("level").alias("level"), F.first("shingles").alias("shingles"))  # equal words have equal shingles
+    windows = stage(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
+    levels = sorted(r.level for r in windows.select("level").distinct().collect())  # at most ``shingle``
+
+    sc = documents.sparkSession.sparkContext
+    of_items = sc.broadcast(_bit_map(windows.select(F.explode("shingles").alias("shingle"))))
+    counts = corpus.select("text").mapInArrow(_count(of_items, levels), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    tokens = windows.select("window", F.size("shingles").alias("tokens"), F.posexplode("shingles").alias("offset", "shingle"))
+    rarest = tokens.join(counts, "shingle").groupBy("window").agg(F.min(F.struct("n", "offset", "shingle")).alias("rarest"), F.count("*").alias("found"), F.first("tokens").alias("tokens"))
+    rarest = rarest.where("found = tokens").select("window", "rarest.offset", "rarest.shingle")
+    prefixes = stage(rarest.join(windows.select("window", "words", F.size(F.split("words", " ")).alias("length")), "window"), "prefixes")
+    of_items.destroy()
+
+    of_prefixes = sc.broadcast(_bit_map(prefixes))
+    places = corpus.mapInArrow(_places(of_prefixes, levels, window, shingle), f"doc {doc_type}, shingle bigint, place bigint, size bigint, `from` bigint, around string")
+    start = F.col("place") - F.col("offset")
+    bounds = (start >= 0) & (start + F.col("length") <= F.col("size"))
+    here = F.array_join(F.slice(F.split("around", " "), (start - F.col("from") + 1).cast("int"), F.col("length")), " ")
+    proven = F.when(bounds, here == F.col("words"))
+    found = places.join(prefixes, "shingle").where(proven).select("doc", "window").distinct()
+    owners = every.join(windows.select("window", "words"), "words").select("window", "item").distinct()
+    return found.join(owners, "window").select(F.col("doc").alias(document), F.col("item").alias(item)).distinct()
