@@ -1,8 +1,9 @@
 """The training-data operators against brute force, on clean and dirty little tables."""
 
+import math
 import random
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -338,12 +339,67 @@ def test_seeds_of_ordinary_words_stay_stuffed(spark):
     assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text").collect()} == stuffed | {2000}
 
 
-def test_words_beyond_the_vocabulary_count(spark):
+def test_joined_collocations_give_the_same(spark):
     docs, stuffed = corpus()
-    docs.append((2001, ", ".join(GOODS)))  # repeats nothing, so only the words' weights can tell
+    docs += [(2001, ", ".join(GOODS)), (0, docs[0][1]), (2002, docs[0][1])]  # one repeats nothing, so only other pages can tell
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = [sorted((r.doc_id, r.word_share, r.char_share) for r in stuffing.stuffed_pages(df, "doc_id", "text", vocabulary=n).collect()) for n in (stuffing.VOCABULARY, 6)]
-    assert rows[0] == rows[1] and {r[0] for r in rows[1]} == stuffed | {2001}
+    rows = [sorted(map(tuple, stuffing.stuffed_pages(df, "doc_id", "text", broadcast=n).collect())) for n in (stuffing.COLLOCATIONS, 0)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[1]} == stuffed | {2001, 2002}
+
+
+def brute_stuffed(docs, rules):
+    """Pages by the same rules, one word at a time; lines of up to a piece only, and no salad."""
+    n_words, n_pairs, excess, read = Counter(), Counter(), Counter(), []
+    for doc, text in docs:
+        lines = stuffing.lines_of(text or "")
+        stream, kept = [], []
+        for k, line in enumerate(lines):
+            tokens = stuffing.tokens_of([line])[:-1]
+            counted = [t for t in tokens if t[0] not in ".!?"]
+            numbers = sum(t[0].isdigit() for t in counted) / max(1, len(counted))
+            prose = run = 0
+            for t in tokens:
+                if t[0] not in ".!?":
+                    run += 1
+                else:
+                    prose, run = prose + (run if run >= rules.sentence else 0), 0
+            linked = numbers < rules.numbers and stuffing.link_share(line) > rules.links
+            kept.append((len(counted), len(line), linked))
+            plain = numbers < rules.numbers and prose / max(1, len(counted)) < rules.prose and not linked
+            stream += [(k, t.lower(), plain) for t in counted if not t[0].isdigit()]
+        pairs = [(a[1], b[1]) for a, b in zip(stream, stream[1:])]
+        here = Counter(pairs)
+        n_words.update(w for _, w, _ in stream)
+        n_pairs.update(pairs)
+        many = max(rules.repeated, rules.repeated_share * len(pairs))
+        excess.update(p for p, a, b in zip(pairs, stream, stream[1:]) if a[2] and b[2] and here[p] >= many)
+        read.append((doc, kept, stream, pairs))
+    total = n_pairs.total()
+    bad = {p for p, n in n_pairs.items() if excess[p] and excess[p] >= rules.excess * n and math.log(n * total / (n_words[p[0]] * n_words[p[1]])) >= rules.pmi}
+    out = set()
+    for doc, kept, stream, pairs in read:
+        hit = {i + k for i, p in enumerate(pairs) if p in bad for k in (0, 1)}
+        stuffed = [0, 0]
+        for k, (words, chars, linked) in enumerate(kept):
+            own = [i for i, (at, _, _) in enumerate(stream) if at == k]
+            if linked or own and len(hit.intersection(own)) >= rules.covered * len(own):
+                stuffed = [stuffed[0] + words, stuffed[1] + chars]
+        if kept and stuffed[0] > sum(x[0] for x in kept) / 2 and stuffed[1] > sum(x[1] for x in kept) / 2:
+            out.add(doc)
+    return out
+
+
+def test_stuffed_pages_against_brute_force(spark):
+    docs, _ = corpus(8)
+    rng = random.Random(2)
+    for d in range(3000, 3100):  # pages that are stuffed in part
+        lines = [rng.choice([prose(rng, 1), ", ".join(rng.choice(GOODS) for _ in range(6)), f"RoadCone {rng.randrange(99)} tow_bar! cheap. Gravel?", "see www.a.example/x", "1) the rut", "Éa ß"]) for _ in range(8)]
+        docs.append((d, "\r\n".join(lines)))
+    rules = stuffing.Rules(salad_length=10**6, piece=10**6)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_stuffed(docs, rules)
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text", rules).collect()} == want
+    assert 0 < len([d for d in want if d >= 3000]) < 100
 
 
 def test_no_stuffing(spark):
@@ -354,7 +410,14 @@ def test_no_stuffing(spark):
 
 
 def test_lines():
-    assert stuffing.line_words("#RoadCone tow_bar 12 G7") == ["road", "cone", "tow", "bar", "0", "g", "0"]
-    assert "".join(stuffing.lines_of("a b " * 3000)).split() == ["a", "b"] * 3000
-    assert stuffing.lines_of("x\n\n \r\ny") == ["x", "y"]
+    assert stuffing.tokens_of(["#RoadCone tow_bar 12 G7! ÉtéÀ e.g. x.", "GPStracker"]) == ["Road", "Cone", "tow", "bar", "12", "G", "7", "!", "Été", "À", "e", "g", ".", "x", ".", "\n", "GPStracker", "\n"]
+    assert stuffing.lines_of("x\n\n \r\ny") == ["x", "y"] and stuffing.tokens_of([]) == []
     assert stuffing.link_share("see https://a.example/b") > 0.5 and stuffing.link_share("3.5 of 7/9") == 0
+
+
+def test_long_lines_are_judged_in_pieces(spark):
+    docs, stuffed = corpus()
+    rng = random.Random(4)
+    many, few = (" ".join([prose(rng, n), *(rng.choice(GOODS) for _ in range(400))]) for n in (10, 200))
+    df = spark.createDataFrame([*docs, (3000, many), (3001, few)], "doc_id long, text string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, "doc_id", "text").collect()} == stuffed | {3000}

@@ -1,353 +1,310 @@
 """Keyword-stuffed and link-list pages.
 
-Texts are judged line by line; a page is stuffed if its stuffed lines hold more than half of its words and
-more than half of its characters.
-
-1. Counts of all words and all neighbouring word pairs of the corpus give the pointwise mutual information
-   (PMI) of each pair.
-2. Seeds are lines made of words that the page repeats all the time and whose neighbours are either
-   collocations (high PMI) that the page repeats excessively, or word salad (low mean PMI), and lines
-   that are mostly links. Lines of full sentences and of numbers are none.
-3. The words of the seeds, against those of all other lines, train a bag-of-words classifier on
-   all lines; it judges all lines again and learns from its own verdicts, a few rounds. So stuffing is found
-   that repeats too little to be a seed. A line is stuffed if it is a seed or the last verdict says so. The weights of the VOCABULARY
-   words found in most lines are broadcast, those of all other words are joined to the lines that have them, so
-   the number changes the cost only.
-
-Nothing but counts is shuffled while a corpus has at most VOCABULARY words; beyond, the lines' other words and the coded pages are. Only the pairs of lines that could be seeds meet the PMI table, and
-pairs that many of them share stay out of that shuffle.
+A page is stuffed if more than half of its words and more than half of its characters lie in stuffed pieces. A piece is
+a line, or a part of a long one. All verdicts come from neighbouring words:
+
+1. Counts of all words and all neighbouring word pairs of the corpus, also across line ends, give the pointwise mutual
+   information (PMI) of each pair. Along with it goes the pair's excess: its occurrences on pages that repeat it all
+   the time, outside of sentences and of lines full of numbers.
+2. A pair whose words attract each other and of whose occurrences more than a small share is excess is an excessively
+   repeated collocation. A piece is stuffed if many of its words are in such pairs.
+3. So is a piece of word salad: the page repeats its words all the time, but the mean PMI of its neighbours is low.
+4. So is a line that is mostly links.
+
+The corpus is split into words twice, once for the counts and once for the verdicts; only counts are shuffled.
+Words and pairs are 64-bit hashes there: of a billion different pairs, one in thousands of corpora would be
+taken for another. Only pairs with an excess are candidates, and only pieces that may be salad need the PMI
+of all their pairs, so neither the verdicts nor their texts meet the table of all pairs.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from wayledger.runtime import spread, stage, weighted_join
+from wayledger.runtime import spread, stage
 
-VOCABULARY = 100_000
-PIECE = 1000  # characters after which a long line is cut at the next white space
+COLLOCATIONS = 4_000_000  # excessively repeated collocations a broadcast may hold, 8 bytes each; more are joined
+CHUNK_WORDS = 200_000  # words numbered at once; a longer text is one chunk
 
-_WORD = re.compile(r"[^\W\d_]+|\d+")
-_CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]+)+/\S*|\b[a-z][\w-]*\.(?:com|net|org|info|example)\b", re.IGNORECASE)
-_LINK_MARKS = ("www.", ".com", ".net", ".org", ".info", ".example")
-_SENTENCE_END = re.compile(r"[.!?]+(?=[\s\"'»”)]|$)")
+_UPPER = "A-ZÀ-ÖØ-Þ"
+# words, joined names taken apart; numbers; ends of sentences; ends of lines
+_TOKEN = re.compile(rf"[{_UPPER}]*[^\W\d_{_UPPER}]+|[{_UPPER}]+|\d+|[.!?]+(?=[\s\"'»”)])|\n")
+_LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]+)+/\S*", re.IGNORECASE)
 _NUMBERED = re.compile(r"\s*(?:\[\d+\]|\d+[.)])\s")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of seeds and verdicts."""
+    """Thresholds of the verdicts."""
 
-    repeated: int = 3  # times a page must have a word or pair, at least, for it to be repeated
+    repeated: int = 3  # times a page must have a word or pair, at least, to repeat it all the time
     repeated_share: float = 0.02  # and of the page's words or pairs
-    words_repeated: float = 0.7  # share of a seed's words that are repeated
-    collocations: float = 0.4  # share of a seed's pairs that are repeated collocations
-    collocation_pmi: float = 3.0
-    salad_words_repeated: float = 0.85
-    salad_pmi: float = 1.5  # mean PMI below which a line is salad
-    salad_length: int = 8  # words a salad has at least
-    numbers: float = 0.15  # share of numbers among words that no seed reaches
-    link_numbers: float = 0.25
+    numbers: float = 0.25  # share of numbers from which a line is a table, a log or a list of references
     sentence: int = 8  # words from which an ended sentence counts as prose
-    prose: float = 0.5  # share of a line's words in such sentences that no seed reaches
-    links: float = 0.4  # share of a line's characters in links
-    rounds: int = 3
-    clip: float = 4.0  # bound of a word's log odds
-    verdict: float = -0.3  # mean log odds above which a line is stuffed
+    prose: float = 0.5  # share of a line's words in such sentences from which it is prose
+    links: float = 0.4  # share of a line's characters in links beyond which it is a link
+    excess: float = 0.05  # share of a pair's occurrences that are excess
+    pmi: float = 1.0  # PMI from which a pair is a collocation
+    covered: float = 0.35  # share of a stuffed piece's words in excessively repeated collocations
+    salad_repeated: float = 0.5  # share of a salad's words that the page repeats all the time
+    salad_pmi: float = 2.5  # mean PMI below which it is salad
+    salad_length: int = 8  # words a salad has at least
+    piece: int = 64  # words after which a line goes on in another piece
 
 
 def lines_of(text: str) -> list[str]:
-    """Lines that are not blank, long ones in pieces."""
-    out = []
-    for line in text.splitlines():
-        while len(line) > 2 * PIECE:
-            cut = PIECE + next((i for i, c in enumerate(line[PIECE : 2 * PIECE]) if c.isspace()), PIECE)
-            out.append(line[:cut])
-            line = line[cut:]
-        out.append(line)
-    return [x for x in out if x.strip()]
+    """The lines that are not blank, in NFKC."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return [x for x in text.splitlines() if x and not x.isspace()]
 
 
-def line_words(line: str) -> list[str]:
-    """Runs of letters in lower case, joined names taken apart; '0' for each number."""
-    if not line.isascii():
-        line = unicodedata.normalize("NFKC", line)
-    return ["0" if w.isdigit() else w for w in _WORD.findall(_CAMEL.sub(" ", line).lower())]
+def tokens_of(lines: list[str]) -> list[str]:
+    """Words, numbers, ends of sentences and of lines."""
+    return _TOKEN.findall("\n".join(lines) + "\n") if lines else []
 
 
 def link_share(line: str) -> float:
-    if "/" not in line and not any(x in line for x in _LINK_MARKS):
+    if "/" not in line and "www." not in line:
         return 0.0
     return sum(map(len, _LINK.findall(line))) / len(line)
 
 
-def prose_share(line: str, least: int) -> float:
-    """Share of the words that are in sentences of at least ``least`` words with an end."""
-    lengths = [len(_WORD.findall(x)) for x in _SENTENCE_END.split(line)]
-    return sum(n for n in lengths[:-1] if n >= least) / max(1, sum(lengths))
-
+class Chunk:
+    """The words of some texts in one row, with their lines, pieces and pairs."""
+
+    def __init__(self, texts: list[str | None], rules: Rules) -> None:
+        lines = [lines_of(t or "") for t in texts]
+        tokens = [tokens_of(x) for x in lines]
+        flat = [x for t in tokens for x in t]
+        coded = pa.array(" ".join(flat).lower().split(" ") if flat else [], pa.string()).dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.hashes = hash_array(np.array(names, object), categorize=False) if names else np.zeros(0, np.uint64)
+        kind = np.array(["\n" if x == "\n" else "." if x[0] in ".!?" else "0" if x[0].isdigit() else "a" for x in names], "U1")[code] if names else np.zeros(0, "U1")
+        length = np.array(list(map(len, names)), np.int64)[code] if names else np.zeros(0, np.int64)
+
+        # lines
+        every = [x for t in lines for x in t]
+        self.n_texts, n_lines = len(texts), len(every)
+        text_of_line = np.repeat(np.arange(len(texts)), [len(x) for x in lines])
+        chars = np.array(list(map(len, every)), np.int64)
+        line = np.cumsum(kind == "\n") - (kind == "\n")
+        is_word, is_counted = kind == "a", (kind == "a") | (kind == "0")
+        words = np.bincount(line[is_counted], minlength=n_lines)
+        numbers = np.bincount(line[kind == "0"], minlength=n_lines) / np.maximum(words, 1)
+        ends = np.flatnonzero((kind == ".") | (kind == "\n"))
+        sentence = np.diff(np.cumsum(is_counted)[ends], prepend=0)
+        in_prose = (kind[ends] == ".") & (sentence >= rules.sentence)
+        prose = np.bincount(line[ends], sentence * in_prose, n_lines) / np.maximum(words, 1)
+        few_numbers = numbers < rules.numbers
+        self.linked = few_numbers & np.array([link_share(x) > rules.links and not _NUMBERED.match(x) for x in every], bool)
+        self.plain_line = few_numbers & (prose < rules.prose) & ~self.linked
+        self.words = np.bincount(text_of_line, words, self.n_texts)
+        self.chars = np.bincount(text_of_line, chars, self.n_texts)
+
+        # pieces: a line's words and numbers, at most so many at a time
+        line_of = line[is_counted]
+        within = np.arange(len(line_of)) - (np.cumsum(words) - words)[line_of]
+        piece = np.cumsum(within % rules.piece == 0) - 1
+        n_pieces = int(piece[-1]) + 1 if len(piece) else 0
+        self.line_of_piece = np.zeros(n_pieces, np.int64)
+        self.line_of_piece[piece] = line_of
+        self.text_of_piece = text_of_line[self.line_of_piece]
+        self.piece_words = np.bincount(piece, minlength=n_pieces)
+        letters = np.bincount(piece, length[is_counted], n_pieces)
+        self.piece_chars = letters / np.maximum(np.bincount(self.line_of_piece, letters, n_lines), 1)[self.line_of_piece] * chars[self.line_of_piece]
+
+        # words without numbers, and the pairs of those next to each other in a text
+        self.word = code[is_word].astype(np.int64)
+        self.piece = piece[is_word[is_counted]]
+        text = self.text_of_piece[self.piece]
+        self.first = np.flatnonzero(text[:-1] == text[1:]) if len(text) else np.zeros(0, np.int64)
+        self.pair = self.word[self.first] * len(names) + self.word[self.first + 1]
+        self.repeated_word = self._repeated(text, self.word, len(names), rules)
+        self.repeated_pair = self._repeated(text[self.first], self.pair, len(names) ** 2, rules)
+
+    def _repeated(self, text: np.ndarray, codes: np.ndarray, n: int, rules: Rules) -> np.ndarray:
+        """Whether the text of each occurrence has its code all the time."""
+        _, back, times = np.unique(text * n + codes, return_inverse=True, return_counts=True)
+        many = np.maximum(rules.repeated, rules.repeated_share * np.bincount(text, minlength=self.n_texts))
+        return times[back] >= many[text]
+
+    def keys(self) -> np.ndarray:
+        """A hash of each pair."""
+        n = max(1, len(self.hashes))
+        return pair_key(self.hashes[self.pair // n], self.hashes[self.pair % n])
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two; the order counts."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h = (h + b) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _chunks(column: pa.Array, rules: Rules) -> Iterator[tuple[int, Chunk]]:
+    """(row of the first text, chunk) of a column of texts."""
+    first, texts, size = 0, [], 0
+    for value in column.to_pylist():
+        texts.append(value)
+        size += len(value or "")
+        if size >= 6 * CHUNK_WORDS:
+            yield first, Chunk(texts, rules)
+            first, texts, size = first + len(texts), [], 0
+    if texts:
+        yield first, Chunk(texts, rules)
+
+
+_COUNTS = "a bigint, b bigint, key bigint, n bigint, excess bigint"
+
+
+def _count(rules: Rules):
+    """Texts to the words (a, and no b) and pairs (a, b) of each chunk, with their numbers."""
 
-def _pairs(words: list[str]) -> list[str]:
-    return [f"{a} {b}" for a, b in zip(words, words[1:]) if a != "0" and b != "0"]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, c in _chunks(batch.column(0), rules):
+                n = len(c.hashes)
+                of_word = np.bincount(c.word, minlength=n)
+                seen = np.flatnonzero(of_word)
+                pairs, back = np.unique(c.pair, return_inverse=True)
+                plain = c.plain_line[c.line_of_piece][c.piece]
+                over = c.repeated_pair & plain[c.first] & plain[c.first + 1]
+                a, b = c.hashes[pairs // max(1, n)], c.hashes[pairs % max(1, n)]
+                signed = lambda x: pa.array(x.view(np.int64))
+                none, zero = pa.nulls(len(seen), pa.int64()), pa.array(np.zeros(len(seen), np.int64))
+                for columns in ([signed(c.hashes[seen]), none, none, pa.array(of_word[seen]), zero], [signed(a), signed(b), signed(pair_key(a, b)), pa.array(np.bincount(back, minlength=len(pairs))), pa.array(np.bincount(back, over, len(pairs)).astype(np.int64))]):
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "n", "excess"])
 
+    return count
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n, lines) of the words and pairs of each batch."""
-    for batch in batches:
-        terms: Counter = Counter()
-        lines: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            for line in lines_of(text or ""):
-                words = line_words(line)
-                terms.update(w for w in words if w != "0")
-                terms.update(_pairs(words))
-                lines.update(set(words))
-        del lines["0"]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(terms.values(), pa.int64()), pa.array([lines[t] for t in terms], pa.int64())], names=["term", "n", "lines"])
 
+_JUDGED = "words double, chars double, stuffed_words double, stuffed_chars double, salad array<struct<words: double, chars: double, a: array<bigint>, b: array<bigint>>>"
+_SALAD = pa.list_(pa.struct([("words", pa.float64()), ("chars", pa.float64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))]))
 
-_CODED = "lines array<int>, words array<int>, chars array<int>, known array<int>, at array<int>, tail array<string>, tail_at array<int>, linked array<boolean>, seed_at array<int>, seed_share array<double>, seed_pairs array<array<string>>, seed_repeated array<array<boolean>>"
 
+def _judge(held, rules: Rules):
+    """(doc, text) rows to the sizes of pages and of their stuffed pieces, and the pieces that may be salad.
 
-def _coder(held, rules: Rules, schema: pa.Schema):
-    """Texts to rows of word numbers, with the lines that could be seeds."""
+    Pages that are not stuffed, with salad or without, do not come out. Without ``held`` each row brings the collocations of its text.
+    """
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value.get
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in schema.names[1:]}
-            for text in batch.column(1).to_pylist():
-                lines = lines_of(text or "")
-                split = [line_words(x) for x in lines]
-                n_words = Counter(chain.from_iterable(split))
-                many_words = max(rules.repeated, rules.repeated_share * n_words.total())
-                repeated = {w for w, n in n_words.items() if n >= many_words}
-                row: dict[str, list] = {n: [] for n in rows}
-                row["lines"] = [len(lines)]
-                seeds = []
-                for i, (line, w) in enumerate(zip(lines, split)):
-                    plain = [x for x in w if x != "0"]
-                    numbers = 1 - len(plain) / len(w) if w else 0
-                    linked = link_share(line) > rules.links
-                    row["words"].append(len(w))
-                    row["chars"].append(len(line))
-                    row["linked"].append(linked and numbers < rules.link_numbers and not _NUMBERED.match(line))
-                    codes = list(map(number, plain))
-                    known = [k for k in codes if k is not None]
-                    row["known"] += known
-                    row["at"] += [i] * len(known)
-                    if len(known) < len(plain):
-                        tail = [x for x, k in zip(plain, codes) if k is None]
-                        row["tail"] += tail
-                        row["tail_at"] += [i] * len(tail)
-                    share = len([x for x in plain if x in repeated]) / len(plain) if plain and repeated else 0
-                    if share >= rules.words_repeated and numbers < rules.numbers and not linked and prose_share(line, rules.sentence) < rules.prose:
-                        seeds.append((i, share))
-                if seeds:
-                    pairs = list(map(_pairs, split))
-                    n_pairs = Counter(chain.from_iterable(pairs))
-                    many_pairs = max(rules.repeated, rules.repeated_share * n_pairs.total())
-                    for i, share in seeds:
-                        if pairs[i]:
-                            row["seed_at"].append(i)
-                            row["seed_share"].append(share)
-                            row["seed_pairs"].append(pairs[i])
-                            row["seed_repeated"].append([n_pairs[x] >= many_pairs for x in pairs[i]])
-                for n, x in row.items():
-                    rows[n].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[n], schema.field(n).type) for n in rows)], names=schema.names)
-
-    return code
-
-
-def _line_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line of each known word, numbered through the batch; the words; lines per row; first line of each row)."""
-    sizes = np.array([len(x) for x in batch.column("words").to_pylist()], np.int64)
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    return _lines_at(batch, "at", first), batch.column("known").flatten().to_numpy().astype(np.int64), sizes, first
-
-
-def _lines_at(batch: pa.RecordBatch, name: str, first: np.ndarray) -> np.ndarray:
-    """The lines that a column of line numbers names, numbered through the batch."""
-    column = batch.column(name)
-    return column.flatten().to_numpy().astype(np.int64) + np.repeat(first[:-1], np.diff(column.offsets.to_numpy()))
-
-
-def _verdicts(batch: pa.RecordBatch, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each line is stuffed; lines without a word are not."""
-    line, word, sizes, first = _line_words(batch)
-    n = int(first[-1])
-    total, count = np.bincount(line, weights[word], n), np.bincount(line, minlength=n)
-    if "tail_odds" in batch.schema.names:
-        total = total + np.bincount(_lines_at(batch, "tail_line", first), batch.column("tail_odds").flatten().to_numpy(), n)
-        count = count + np.bincount(_lines_at(batch, "tail_at", first), minlength=n)
-    return (count > 0) & (total > threshold * count), line, word, first
-
-
-_FLAGGED = "word bigint, term string, n bigint"
-
-
-def _flagged_words(verdict):
-    """(word, term, lines) of the flagged lines of each batch, and the number of these lines as word -1; words without a number come as terms."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first, c in _chunks(batch.column(1), rules):
+                keys = c.keys()
+                if held is not None:
+                    known = held.value
+                    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                    bad = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                else:
+                    known = [set(x or ()) for x in batch.column(2).slice(first, c.n_texts).to_pylist()]
+                    bad = np.array([k in known[t] for k, t in zip(keys.view(np.int64).tolist(), c.text_of_piece[c.piece[c.first]].tolist())], bool)
+                in_pair = np.zeros(len(c.word), bool)
+                in_pair[c.first[bad]] = in_pair[c.first[bad] + 1] = True
+                n = len(c.piece_words)
+                plain = np.bincount(c.piece, minlength=n)
+                stuffed = c.linked[c.line_of_piece] | (plain > 0) & (np.bincount(c.piece, in_pair, n) >= rules.covered * plain)
+                salad = c.plain_line[c.line_of_piece] & ~stuffed & (plain >= rules.salad_length) & (np.bincount(c.piece, c.repeated_word, n) >= rules.salad_repeated * plain)
+                sizes = [np.bincount(c.text_of_piece, size * flag, c.n_texts) for flag in (stuffed, salad) for size in (c.piece_words, c.piece_chars)]
+                half = (sizes[0] + sizes[2] > c.words / 2) & (sizes[1] + sizes[3] > c.chars / 2)
+                pages = np.flatnonzero(half)
+                out: dict[int, list] = {p: [] for p in pages.tolist()}
+                if salad[half[c.text_of_piece]].any():
+                    piece = c.piece[c.first]
+                    inside = piece == c.piece[c.first + 1]
+                    by_piece = np.argsort(piece[inside], kind="stable")
+                    ordered, pairs = piece[inside][by_piece], c.pair[inside][by_piece]
+                    for p in np.flatnonzero(salad & half[c.text_of_piece]).tolist():
+                        own = pairs[np.searchsorted(ordered, p) : np.searchsorted(ordered, p, "right")]
+                        a, b = c.hashes[own // len(c.hashes)].view(np.int64), c.hashes[own % len(c.hashes)].view(np.int64)
+                        out[int(c.text_of_piece[p])].append({"words": float(c.piece_words[p]), "chars": float(c.piece_chars[p]), "a": a, "b": b})
+                columns = [pa.array(x[pages].astype(float)) for x in (c.words, c.chars, sizes[0], sizes[1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pages + first)), *columns, pa.array(list(out.values()), _SALAD)], names=["doc", "words", "chars", "stuffed_words", "stuffed_chars", "salad"])
+
+    return judge
+
+
+def _keys(rules: Rules):
+    """(k1, k2, text) rows to the distinct pairs of each text."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flag, line, word, first = verdict(batch)
-            seen = np.unique(np.stack([line[flag[line]], word[flag[line]]]), axis=1)
-            words, n = np.unique(seen[1], return_counts=True)
-            tail = zip(_lines_at(batch, "tail_at", first).tolist(), batch.column("tail").flatten().to_pylist())
-            terms = Counter(t for _, t in {(i, t) for i, t in tail if flag[i]})
-            numbers = [*words.tolist(), -1]
-            columns = {"word": [*numbers, *[None] * len(terms)], "term": [*[None] * len(numbers), *terms], "n": [*n.tolist(), int(flag.sum()), *terms.values()]}
-            yield pa.RecordBatch.from_arrays([pa.array(columns["word"], pa.int64()), pa.array(columns["term"], pa.string()), pa.array(columns["n"], pa.int64())], names=list(columns))
+            for first, c in _chunks(batch.column(2), rules):
+                text = c.text_of_piece[c.piece[c.first]].astype(np.uint64)
+                found = np.unique(np.stack([text, c.keys()]), axis=1)
+                rows = pa.array(found[0].astype(np.int64) + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found[1].view(np.int64))], names=["k1", "k2", "key"])
+
+    return keys
+
+
+def excess_collocations(counts: DataFrame, rules: Rules) -> DataFrame:
+    """(key) of the excessively repeated collocations among all pairs."""
+    total = counts.where("b is not null").agg(F.sum("n")).first()[0] or 1
+    words = counts.where("b is null")
+    pairs = counts.where(F.col("b").isNotNull() & (F.col("excess") > 0) & (F.col("excess") >= F.lit(rules.excess) * F.col("n")))
+    return _with_pmi(pairs, words, total).where(F.col("pmi") >= rules.pmi).select("key")
 
-    return count
 
+def _with_pmi(pairs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    of = lambda c: words.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"))
+    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_a").cast("double") * F.col("n_b")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").withColumn("pmi", pmi)
 
-def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules = Rules(), vocabulary: int = VOCABULARY) -> DataFrame:
-    """(document, word_share, char_share) of the pages whose stuffed lines hold more than half of words and characters.
+
+def stuffed_pages(documents: DataFrame, document: str, text: str, rules: Rules = Rules(), broadcast: int = COLLOCATIONS) -> DataFrame:
+    """(document, word_share, char_share) of the pages whose stuffed pieces hold more than half of words and characters.
 
     Null, empty, blank and wordless texts are no cases. A repeated row counts as another page
-    in the statistics and comes out once. A corpus without seeds has no cases, an empty table gives no rows.
+    in the statistics and comes out once, and so does a null document. An empty table gives no rows.
+    Texts are whole, however long they are. More than ``broadcast`` collocations are joined to the pages, with the same result.
     """
     spark = documents.sparkSession
     pages = spread(documents.select(F.col(document).alias("doc"), F.make_valid_utf8(F.col(text)).alias("text")).where(F.col("text").isNotNull()))
-    doc_type = pages.schema["doc"].dataType
-    result = f"doc {doc_type.simpleString()}, word_share double, char_share double"
-
-    counts = stage(pages.select("text").mapInArrow(_count, "term string, n bigint, lines bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines")), "counts")
-    words = counts.where(~F.col("term").contains(" "))
-    top = words.orderBy(F.desc("lines"), "term").limit(vocabulary).collect()
-    in_lines = np.array([r.lines for r in top], float)
-    tail = None
-    if len(top) == vocabulary:
-        beyond = (F.col("lines") < top[-1].lines) | ((F.col("lines") == top[-1].lines) & (F.col("term") > top[-1].term)) if top else F.lit(True)
-        tail = None if words.where(beyond).isEmpty() else words.where(beyond)
-    held = spark.sparkContext.broadcast({r.term: i for i, r in enumerate(top)})  # at most ``vocabulary`` words
-
-    empty = spark.createDataFrame([], f"doc {doc_type.simpleString()}, {_CODED}")
-    coded = pages.mapInArrow(_coder(held, rules, to_arrow_schema(empty.schema)), empty.schema)
-    coded = stage(coded.withColumn("page", F.monotonically_increasing_id()), "coded")
-    n_lines = coded.agg(F.sum(F.element_at("lines", 1))).first()[0] or 0
-    marked = stage(_with_seeds(coded, _seed_lines(coded, counts, words, rules)), "marked")
-    seeds, n_seeds, seed_tail = _summed(marked.drop("doc", "chars").mapInArrow(_flagged_words(_seeded), _FLAGGED), len(top), tail)
-    if not n_seeds:
-        return spark.createDataFrame([], result).withColumnRenamed("doc", document)
-
-    def weights(flagged: np.ndarray, n: float) -> np.ndarray:
-        if not n:  # no line is flagged, so no word speaks for it
-            return np.full(len(in_lines), -rules.clip)
-        # repeated words of one line count once on either side
-        rest = np.maximum(0, in_lines - flagged)
-        part = n / max(n_lines, n + 1)  # smoothed towards the share of flagged lines, so a rare word leans to neither side
-        odds = np.log((flagged + part) / part) - np.log((rest + 1 - part) / (1 - part))
-        return np.clip(odds, -rules.clip, rules.clip)
-
-    if tail is not None:
-        tail_words = stage(marked.select("page", F.inline(F.arrays_zip("tail_at", "tail"))).withColumnRenamed("tail", "term"), "tail")
-        n_tail = tail_words.count()
-
-    def scored(flagged: DataFrame, n: float) -> DataFrame:
-        """The pages with the sum of log odds of the words beyond the vocabulary, for each line that has any."""
-        if tail is None:
-            return marked
-        odds = F.lit(-rules.clip)
-        if n:  # as in weights
-            part, have = n / max(n_lines, n + 1), F.coalesce("flagged", F.lit(0)).cast("double")
-            odds = F.log((have + part) / part) - F.log((F.greatest(F.lit(0.0), F.col("lines") - have) + 1 - part) / (1 - part))
-            odds = F.greatest(F.lit(-rules.clip), F.least(F.lit(rules.clip), odds))
-        weighed = stage(tail.join(flagged.withColumnRenamed("n", "flagged"), "term", "left").select("term", "n", odds.alias("odds")), "odds")
-        by_line = weighted_join(tail_words, weighed, "term", "n", n_tail).groupBy("page", "tail_at").agg(F.sum("odds").alias("odds"))
-        by_page = by_line.groupBy("page").agg(F.collect_list(F.struct("tail_at", "odds")).alias("s"))  # at most the page's lines
-        lists = {"tail_line": F.coalesce("s.tail_at", F.array().cast("array<int>")), "tail_odds": F.coalesce("s.odds", F.array().cast("array<double>"))}
-        return marked.join(by_page, "page", "left").withColumns(lists).drop("s")
-
-    for _ in range(rules.rounds - 1):
-        w = spark.sparkContext.broadcast(weights(seeds, n_seeds))
-        flagged = _flagged_words(lambda batch, w=w: _verdicts(batch, w.value, rules.verdict))
-        seeds, n_seeds, seed_tail = _summed(scored(seed_tail, n_seeds).drop("doc", "chars").mapInArrow(flagged, _FLAGGED), len(top), tail)
-    w = spark.sparkContext.broadcast(weights(seeds, n_seeds))
-    arrow_doc = to_arrow_type(doc_type)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flag, _, _, first = _verdicts(batch, w.value, rules.verdict)
-            flag |= _seeded(batch)[0]
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            shares = []
-            for name in ("words", "chars"):
-                size = batch.column(name).flatten().to_numpy().astype(float)
-                whole = np.bincount(row, size, len(first) - 1)
-                shares.append(np.bincount(row, size * flag, len(first) - 1) / np.maximum(whole, 1))
-            at = pa.array(np.flatnonzero((shares[0] > 0.5) & (shares[1] > 0.5)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc").cast(arrow_doc).take(at), *(pa.array(s).take(at) for s in shares)], names=["doc", "word_share", "char_share"])
-
-    found = scored(seed_tail, n_seeds).mapInArrow(judge, result)
-    return found.dropDuplicates(["doc"]).withColumnRenamed("doc", document)
-
-
-def _summed(counted: DataFrame, size: int, tail: DataFrame | None) -> tuple[np.ndarray, int, DataFrame]:
-    """Counts per word as an array, at most the vocabulary, the one of word -1, and (term, n) of the words beyond."""
-    counted = counted.groupBy("word", "term").agg(F.sum("n").alias("n"))
-    if tail is not None:
-        counted = stage(counted, "flagged")
-    out = np.zeros(size + 1)
-    for r in counted.where("word is not null").collect():
-        out[r.word] = r.n
-    return out[:-1], int(out[-1]), counted.where("term is not null").select("term", "n")
-
-
-def _seed_lines(coded: DataFrame, counts: DataFrame, words: DataFrame, rules: Rules) -> DataFrame:
-    """(page, seed_at) of the lines whose collocations or mean PMI make them seeds."""
-    total = counts.where(F.col("term").contains(" ")).agg(F.sum("n")).first()[0] or 1
-    lines = coded.select("page", F.inline(F.arrays_zip("seed_at", "seed_share", "seed_pairs", "seed_repeated")))
-    lines = stage(lines.select("page", "seed_at", "seed_share", F.arrays_zip("seed_pairs", "seed_repeated").alias("pairs")), "seeds")
-    pairs = lines.select("page", "seed_at", F.inline("pairs")).groupBy("page", "seed_at", F.col("seed_pairs").alias("term"), "seed_repeated").agg(F.count("*").alias("times"))
-    distinct = pairs.groupBy("term").agg(F.count("*").alias("weight"))
-    a, b = F.split_part("term", F.lit(" "), F.lit(1)), F.split_part("term", F.lit(" "), F.lit(2))
-    known_pairs = distinct.join(counts.select("term", "n"), "term").withColumns({"a": a, "b": b})
-    pmi = (
-        known_pairs.join(words.select(F.col("term").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(words.select(F.col("term").alias("b"), F.col("n").alias("n_b")), "b")
-        .select("term", "weight", F.log(F.col("n") * F.lit(float(total)) / (F.col("n_a").cast("double") * F.col("n_b"))).alias("pmi"))
-    )
-    pmi = stage(pmi, "pmi")
-    measured = weighted_join(pairs, pmi, "term", "weight", int(pmi.agg(F.sum("weight")).first()[0] or 0))
-    is_repeated = F.col("seed_repeated") & (F.col("pmi") >= rules.collocation_pmi)
-    measured = measured.groupBy("page", "seed_at").agg(
-        (F.sum(F.col("pmi") * F.col("times")) / F.sum("times")).alias("mean_pmi"),
-        (F.sum(F.when(is_repeated, F.col("times")).otherwise(0)) / F.sum("times")).alias("collocations"),
-        F.sum("times").alias("n_pairs"),
-    )
-    stuffed = F.col("collocations") >= rules.collocations
-    salad = (F.col("mean_pmi") < rules.salad_pmi) & (F.col("seed_share") >= rules.salad_words_repeated) & (F.col("n_pairs") + 1 >= rules.salad_length)
-    return lines.join(measured, ["page", "seed_at"]).where(stuffed | salad).select("page", "seed_at")
-
-
-def _with_seeds(coded: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``coded`` with the lines that are seeds by their pairs; only pages with candidates are shuffled."""
-    kept = ["page", "doc", "words", "chars", "known", "at", "tail", "tail_at", "linked"]
-    none = F.array().cast("array<int>")
-    by_page = seeds.groupBy("page").agg(F.collect_list("seed_at").alias("seeds"))  # at most the page's lines
-    could = coded.where(F.size("seed_at") > 0).join(by_page, "page", "left").select(*kept, F.coalesce("seeds", none).alias("seeds"))
-    return could.unionByName(coded.where(F.size("seed_at") == 0).select(*kept, none.alias("seeds")))
-
-
-def _seeded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each line is a seed, by its pairs or its links."""
-    line, word, _, first = _line_words(batch)
-    flag = batch.column("linked").flatten().to_numpy(zero_copy_only=False).copy()
-    flag[_lines_at(batch, "seeds", first)] = True
-    return flag, line, word, first
+    counted = pages.select("text").mapInArrow(_count(rules), _COUNTS)
+    counts = stage(counted.groupBy("a", "b", "key").agg(F.sum("n").alias("n"), F.sum("excess").alias("excess")), "counts")
+    bad = stage(excess_collocations(counts, rules), "collocations")
+    schema = f"doc {pages.schema['doc'].dataType.simpleString()}, {_JUDGED}"
+    if bad.count() <= broadcast:
+        found = np.sort(bad.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+        judged = pages.mapInArrow(_judge(spark.sparkContext.broadcast(found), rules), schema)
+    else:
+        keyed = pages.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})  # 128 bits name a text
+        own = keyed.select("k1", "k2", "text").mapInArrow(_keys(rules), "k1 bigint, k2 bigint, key bigint").join(bad, "key")
+        own = own.groupBy("k1", "k2").agg(F.collect_set("key").alias("bad"))  # at most the text's pairs
+        judged = keyed.join(own, ["k1", "k2"], "left").select("doc", "text", "bad").mapInArrow(_judge(None, rules), schema)
+    judged = stage(judged.withColumn("page", F.monotonically_increasing_id()), "judged")
+
+    salad = _salad(judged, counts, rules)
+    if salad is not None:
+        judged = judged.join(salad, "page", "left")
+        more = lambda c: F.col(f"stuffed_{c}") + F.coalesce(f"salad_{c}", F.lit(0.0))
+    else:
+        more = lambda c: F.col(f"stuffed_{c}")
+    shares = judged.select("doc", (more("words") / F.col("words")).alias("word_share"), (more("chars") / F.col("chars")).alias("char_share"))
+    return shares.where("word_share > 0.5 and char_share > 0.5").dropDuplicates(["doc"]).withColumnRenamed("doc", document)
+
+
+def _salad(judged: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame | None:
+    """(page, salad_words, salad_chars) of the pages with pieces of low mean PMI; None if no piece may be salad."""
+    pieces = judged.where(F.size("salad") > 0).select("page", F.posexplode("salad").alias("at", "piece"))
+    if pieces.isEmpty():
+        return None
+    pairs = pieces.select("page", "at", "piece.words", "piece.chars", F.inline(F.arrays_zip("piece.a", "piece.b"))).toDF("page", "at", "words", "chars", "a", "b")
+    pairs = pairs.groupBy("page", "at", "words", "chars", "a", "b").agg(F.count("*").alias("times"))
+    total = counts.where("b is not null").agg(F.sum("n")).first()[0] or 1
+    known = counts.where("b is not null").select("a", "b", "n").join(pairs.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    known = _with_pmi(known, counts.where("b is null"), total).select("a", "b", "pmi")
+    means = pairs.join(known, ["a", "b"]).groupBy("page", "at", "words", "chars").agg((F.sum(F.col("pmi") * F.col("times")) / F.sum("times")).alias("pmi"))
+    return means.where(F.col("pmi") < rules.salad_pmi).groupBy("page").agg(F.sum("words").alias("salad_words"), F.sum("chars").alias("salad_chars"))
