@@ -5,7 +5,7 @@ from datetime import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from wayledger.operators.incremental import IncrementalJob, changed_records, last_good_start
+from wayledger.operators.incremental import IncrementalJob, changed_records, last_good_start, newer_records
 from wayledger.operators.references import month_of, orphan_references, orphan_report
 
 D = [dt(2024, 1, d) for d in range(1, 29)]
@@ -80,40 +80,71 @@ def test_last_good_run(spark):
 def test_job_survives_failure_and_repeats_nothing(spark, tmp_path):
     log = lambda n: spark.createDataFrame([(i, D[i], D[i], "") for i in range(n)], LOG)
     job = IncrementalJob(spark, str(tmp_path / "job"))
-    new_rows = lambda rows, since, upper: rows if since is None else rows.where(F.col("loaded") >= F.lit(since))
-    assert job.run(log(5), "loaded", new_rows)["run"] == 0
-
-    def broken(rows, since, upper):
-        return new_rows(rows, since, upper).withColumn("x", F.raise_error(F.lit("lost")))
-
+    assert job.run(log(5), "loaded", lambda b: b.new)["run"] == 0
     with pytest.raises(Exception, match="lost"):
-        job.run(log(9), "loaded", broken)
+        job.run(log(9), "loaded", lambda b: b.new.withColumn("x", F.raise_error(F.lit("lost"))))
     assert job.watermark() < D[5] and job.output().count() == 5
-    assert job.run(log(9), "loaded", new_rows)["run"] == 1
+    assert job.run(log(9), "loaded", lambda b: b.new)["run"] == 1
     assert sorted(r.k for r in job.output().collect()) == list(range(9))
-    assert job.run(log(9), "loaded", new_rows) is None
-    assert job.run(log(20), "loaded", new_rows, upper=D[12])["run"] == 2
+    assert job.run(log(9), "loaded", lambda b: b.new) is None
+    assert job.run(log(20), "loaded", lambda b: b.new, upper=D[12])["run"] == 2
     assert job.output().count() == 12
+    job.clean()
+    assert job.output().count() == 12 and len(list((tmp_path / "job/data").iterdir())) == 3 and not list((tmp_path / "job/drafts").iterdir())
 
 
 def test_two_jobs_at_once_commit_once(spark, tmp_path):
     job = IncrementalJob(spark, str(tmp_path / "race"))
     rows = spark.createDataFrame([(1, D[1], D[1], "")], LOG)
 
-    def slow(r, since, upper):
-        IncrementalJob(spark, str(tmp_path / "race")).run(rows, "loaded", lambda x, *_: x)
-        return r
+    def slow(b):
+        IncrementalJob(spark, str(tmp_path / "race")).run(rows, "loaded", lambda x: x.new)
+        return b.new
 
     with pytest.raises(RuntimeError, match="committed"):
         job.run(rows, "loaded", slow)
     assert job.output().count() == 1
 
 
+def test_rows_in_flight_are_neither_lost_nor_repeated(spark, tmp_path):
+    rows = lambda *at: spark.createDataFrame([(n, n) for n in at], "k long, seq long")
+    job = IncrementalJob(spark, str(tmp_path / "flight"))
+    assert job.run(rows(9, 10, 12), "seq", lambda b: b.new, in_flight=11)["upper"] == 11
+    assert job.run(rows(9, 10, 12), "seq", lambda b: b.new, in_flight=11) is None
+    assert job.run(rows(9, 10, 11, 12), "seq", lambda b: b.new)["upper"] == 13
+    assert sorted(r.k for r in job.output().collect()) == [9, 10, 11, 12]
+    late = IncrementalJob(spark, str(tmp_path / "late"))
+    assert late.run(rows(9, 10, 12), "seq", lambda b: b.new, delay=2)["upper"] == 11
+    assert late.run(rows(9, 10, 11, 12), "seq", lambda b: b.new, delay=0)["since"] == 11
+    assert sorted(r.k for r in late.output().collect()) == [9, 10, 11, 12]
+
+
+def test_batches_and_rows_without_a_sequence(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 4), ("b", 1, None), ("c", 1, 5), ("c", 1, 2), (None, 1, 4)], "k string, v int, seq long")
+    step = lambda b: newer_records(b.new, b.seen, ["k"], "v")
+    for broadcast in (100, 0):
+        got = newer_records(rows.where("seq >= 4"), rows.where("seq < 4"), ["k"], "v", broadcast)
+        assert {r.k for r in got.collect()} == {"a", None}
+    job = IncrementalJob(spark, str(tmp_path / "steps"))
+    job.start_at(4)
+    job.start_at(4)
+    seen = []
+    assert job.run(rows, "seq", lambda b: seen.append((b.new.count(), b.seen.count(), b.since, b.upper)) or step(b))["run"] == 1
+    assert seen == [(4, 2, 4, 6)] and sorted(str(r.k) for r in job.output().collect()) == ["None", "a", "b"]
+    more = rows.union(spark.createDataFrame([("d", 1, 7)], rows.schema))
+    job.start_at(1)
+    job.run(more, "seq", step)
+    assert sorted(str(r.k) for r in job.output().collect()) == ["None", "a", "b", "d"]
+    two = IncrementalJob(spark, str(tmp_path / "two"))
+    two.run({"x": rows, "y": rows.limit(0)}, "seq", lambda b: b["x"].new.select("k").union(b["y"].new.select("k")))
+    assert two.output().count() == 6 and IncrementalJob(spark, str(tmp_path / "none")).run(rows.limit(0), "seq", step) is None
+
+
 def test_numbered_sequence_and_zones(spark, tmp_path):
     job = IncrementalJob(spark, str(tmp_path / "numbers"))
     rows = spark.createDataFrame([(1, 10), (2, 11), (3, None)], "k long, seq long")
-    assert job.run(rows, "seq", lambda r, *_: r)["upper"] == 12 and job.watermark() == 12
-    assert job.run(rows, "seq", lambda r, *_: r) is None and job.output().count() == 3
+    assert job.run(rows, "seq", lambda b: b.new)["upper"] == 12 and job.watermark() == 12
+    assert job.run(rows, "seq", lambda b: b.new) is None and job.output().count() == 3
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "Africa/Johannesburg")

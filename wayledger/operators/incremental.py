@@ -1,22 +1,33 @@
 """Processing only new or changed records.
 
-The commit sequence is the load time of the log rows, or a growing number. A run reads the watermark of the last
-good run, fixes an upper limit when it starts, and handles exactly the rows in
-[watermark, upper). Its output and the new watermark become visible in one step: both are
-named by one manifest file, which a rename puts in place.
+The commit sequence is a number or time that grows with every row that becomes visible. A run reads the watermark of the
+last good run, fixes an upper limit when it starts, and handles exactly the rows in [watermark, upper). Its output and
+the new watermark become visible in one step: both are named by one manifest file, which is put in place under a
+name that may not exist yet.
+
+A row must not become visible below a limit that is committed. Sequences that a database hands out at commit
+keep this by themselves. Where writers take their number or time before they commit, name the least one of those in flight
+(``in_flight``), or how late a row may come (``delay``); the limit is held below it.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayledger.runtime import fits_broadcast, stage
+
 
 def _literal(value: datetime | int, kind: T.DataType) -> Column:
     """A value of the commit sequence; times are taken as they read, in the session's zone if the column has zones."""
@@ -36,7 +47,10 @@ def last_good_start(runs: DataFrame) -> datetime | None:
     return runs.where(F.col("status") == "succeeded").agg(_wall(F.max("started_at"), runs.schema["started_at"].dataType)).first()[0]
 
 
-def changed_records(log: DataFrame, keys: list[str], sequence: str, version: str, since: datetime | int | None, upper: datetime | int | None = None) -> DataFrame:
+CANDIDATES = 200_000  # records with new rows up to which their keys are broadcast against the rows seen
+
+
+def changed_records(log: DataFrame, keys: list[str], sequence: str, version: str, since: datetime | int | None, upper: datetime | int | None = None, broadcast: int = CANDIDATES) -> DataFrame:
     """Keys of the records that are new or changed since ``since``, each once.
 
     ``log`` holds delivered versions of records. Rows with ``sequence`` before ``since`` were
@@ -44,45 +58,69 @@ def changed_records(log: DataFrame, keys: list[str], sequence: str, version: str
     comes out if it has new rows and their greatest ``version`` is greater than the greatest
     seen one, or no row was seen. A null version is lower than any other and equal to null.
 
-    A null ``sequence`` counts as new, for it was never proven seen. Without ``since`` every record
-    comes out. A null in ``keys`` is a key value of its own. An empty log gives no rows.
-
-    One pass and one shuffle: both sides are folded into the same aggregation, which combines
-    map-side, so a key with a third of all rows costs no more than another.
+    A null ``sequence`` counts as new, for it was never proven seen; ``IncrementalJob`` gives such rows a place. Without
+    ``since`` every record comes out. A null in ``keys`` is a key value of its own. An empty log gives no rows.
     """
     kind = log.schema[sequence].dataType
     if upper is not None:
         log = log.where(F.col(sequence).isNull() | (F.col(sequence) < _literal(upper, kind)))
-    seen = F.coalesce(F.col(sequence) < _literal(since, kind), F.lit(False)) if since is not None else F.lit(False)
+    if since is None:
+        return log.select(*keys).distinct()
+    new = log.where(F.col(sequence).isNull() | (F.col(sequence) >= _literal(since, kind)))
+    return newer_records(new, log.where(F.col(sequence) < _literal(since, kind)), keys, version, broadcast)
+
+
+def newer_records(new: DataFrame, seen: DataFrame, keys: list[str], version: str, broadcast: int = CANDIDATES) -> DataFrame:
+    """Keys of ``new`` that ``seen`` lacks or has only with lower versions, each once.
+
+    Only the new rows are shuffled, and of the rows seen those of the same keys: these keys are broadcast, or
+    joined if there are more than ``broadcast`` of them. Either side is aggregated map-side first, so a key with
+    a third of all rows costs no more than another.
+    """
     names = [f"k{i}" for i in range(len(keys))]
-    folded = (
-        log.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(version).alias("version"), seen.alias("seen"))
-        .groupBy(*names)
-        .agg(
-            F.max(F.when(~F.col("seen"), F.col("version"))).alias("new_version"),
-            F.max(F.when(F.col("seen"), F.col("version"))).alias("seen_version"),
-            F.bool_or(~F.col("seen")).alias("has_new"),
-            F.bool_or("seen").alias("has_seen"),
-        )
-    )
-    newer = F.col("new_version").isNotNull() & (F.col("seen_version").isNull() | (F.col("new_version") > F.col("seen_version")))
-    return folded.where(F.col("has_new") & (~F.col("has_seen") | newer)).select(*[F.col(n).alias(k) for k, n in zip(keys, names)])
+    rows = lambda df: df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(version).alias("version"))
+    found = stage(rows(new).groupBy(*names).agg(F.max("version").alias("version")), "new-records")
+    held = found.select(*[F.col(n).alias(f"n{i}") for i, n in enumerate(names)])
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"n{i}")) for i, n in enumerate(names)])
+    if fits_broadcast(held, broadcast):
+        known = rows(seen).join(F.broadcast(held), same, "left_semi").groupBy(*names).agg(F.max("version").alias("version"))
+    else:
+        known = rows(seen).groupBy(*names).agg(F.max("version").alias("version")).join(held, same, "left_semi")
+    folded = found.select(*names, F.col("version").alias("new"), F.lit(None).cast(found.schema["version"].dataType).alias("old"), F.lit(False).alias("was_seen"))
+    folded = folded.unionByName(known.select(*names, F.lit(None).cast(found.schema["version"].dataType).alias("new"), F.col("version").alias("old"), F.lit(True).alias("was_seen")))
+    folded = folded.groupBy(*names).agg(F.max("new").alias("new"), F.max("old").alias("old"), F.bool_or("was_seen").alias("was_seen"))
+    newer = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") > F.col("old")))
+    return folded.where(~F.col("was_seen") | newer).select(*[F.col(n).alias(k) for k, n in zip(keys, names)])
+
+
+@dataclass(frozen=True)
+class Batch:
+    """What a run is to handle: rows ``new`` in [since, upper), and ``seen``, those before ``since``."""
+
+    new: DataFrame
+    seen: DataFrame
+    since: datetime | int | None
+    upper: datetime | int
 
 
 class IncrementalJob:
-    """Runs a step over the new rows of a log and commits output and watermark together.
+    """Runs a step over the new rows of one or several logs and commits output and watermark together.
 
     ``root`` is a folder on a shared file system: ``data/<run>`` holds the outputs and
     ``commits/<n>.json`` the manifests, in order. Only outputs that a manifest names exist for
-    readers. A run that dies before its rename leaves no trace but files nobody reads; the next
+    readers. A run that dies before its commit leaves no trace but files nobody reads (``clean`` removes them); the next
     run starts from the same watermark. Two runs at once race for the same manifest name and
     one of them fails.
+
+    The commit is atomic and exclusive on HDFS and file systems like it (a rename that may not overwrite) and on local and
+    network disks (a hard link). Object stores without either need a committer of their own; this class must not be used on them.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._conf)
 
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.root}/{name}" if name else self.root)
@@ -111,40 +149,96 @@ class IncrementalJob:
     def _value(stored: str | int) -> datetime | int:
         return datetime.fromisoformat(stored) if isinstance(stored, str) else stored
 
-    def run(self, log: DataFrame, sequence: str, step: Callable[[DataFrame, datetime | int | None, datetime | int], DataFrame], upper: datetime | int | None = None) -> dict | None:
-        """Handle the rows of ``log`` in [watermark, upper); None if there are none.
-
-        ``step(log up to upper, watermark, upper)`` gives the output. Without ``upper`` the limit is
-        just above the greatest sequence value at the start. Rows with a null sequence
-        have no place in the order: they count as loaded in the first run only.
+    @staticmethod
+    def _text(value: datetime | int | None) -> str | int | None:
+        return value.isoformat() if isinstance(value, datetime) else value
+
+    def start_at(self, watermark: datetime | int) -> None:
+        """Take over from another scheduler: the first run begins at its watermark. Once there is a run, nothing happens."""
+        if not self.manifests():
+            self._commit({"run": 0, "since": None, "upper": self._text(watermark), "output": None})
+
+    def run(
+        self,
+        logs: DataFrame | dict[str, DataFrame],
+        sequence: str,
+        step: Callable[..., DataFrame],
+        upper: datetime | int | None = None,
+        in_flight: datetime | int | None = None,
+        delay: timedelta | int | None = None,
+    ) -> dict | None:
+        """Handle the rows of the logs in [watermark, upper); None if the limit is not above the watermark.
+
+        ``step`` gets a ``Batch`` (a dict of them, if ``logs`` is one) and gives the output. Without ``upper`` the limit is
+        just above the greatest sequence value at the start, less ``delay``. It is never above ``in_flight``.
+        Rows with a null sequence have no place in the order: they come before all others, so the first run handles them and no other.
         """
-        done, kind = self.manifests(), log.schema[sequence].dataType
+        done = self.manifests()
         since = self._value(done[-1]["upper"]) if done else None
-        is_time = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+        named = logs if isinstance(logs, dict) else {"": logs}
+        kinds = {n: df.schema[sequence].dataType for n, df in named.items()}
         if upper is None:
-            above = F.max(sequence) + (F.expr("interval 1 microsecond") if is_time else F.lit(1))
-            upper = log.agg(_wall(above, kind).alias("upper")).first()[0]
+            upper = self._top(named, sequence, kinds, delay)
+        if in_flight is not None and upper is not None:
+            upper = min(upper, in_flight)
         if upper is None or since is not None and upper <= since:
             return None
-        place = F.coalesce(F.col(sequence), _literal(datetime(1, 1, 1) if is_time else -(1 << 31), kind))
+        first = not any(m["output"] for m in done)
+        batches = {n: self._batch(df, sequence, kinds[n], since, upper, first) for n, df in named.items()}
         output = f"data/{uuid.uuid4().hex}"
-        step(log.where(place < _literal(upper, kind)), since, upper).write.parquet(f"{self.root}/{output}")
-        text = lambda v: v.isoformat() if isinstance(v, datetime) else v
-        manifest = {"run": len(done), "since": text(since), "upper": text(upper), "output": output}
+        step(batches if isinstance(logs, dict) else batches[""]).write.parquet(f"{self.root}/{output}")
+        manifest = {"run": len(done), "since": self._text(since), "upper": self._text(upper), "output": output}
         self._commit(manifest)
         return manifest
 
+    @staticmethod
+    def _top(logs: dict[str, DataFrame], sequence: str, kinds: dict[str, T.DataType], delay: timedelta | int | None) -> datetime | int | None:
+        tops = [df.agg(_wall(F.max(sequence), kinds[n])).first()[0] for n, df in logs.items()]
+        tops = [t for t in tops if t is not None]
+        if not tops:
+            return None
+        one = timedelta(microseconds=1) if isinstance(tops[0], datetime) else 1
+        return max(tops) + one - (delay or 0 * one)
+
+    @staticmethod
+    def _batch(log: DataFrame, sequence: str, kind: T.DataType, since: datetime | int | None, upper: datetime | int, first: bool) -> Batch:
+        at = F.col(sequence)
+        lost = at.isNull() if first else F.lit(False)
+        old = F.lit(False) if first else at.isNull()
+        if since is not None:
+            lost, old = lost | (at >= _literal(since, kind)), old | (at < _literal(since, kind))
+        else:
+            lost = lost | at.isNotNull()
+        return Batch(log.where(lost & (at.isNull() | (at < _literal(upper, kind)))), log.where(old), since, upper)
+
     def _commit(self, manifest: dict) -> None:
         self._fs.mkdirs(self._path("commits"))
-        draft = self._path(f"drafts/{uuid.uuid4().hex}")
+        draft, final = self._path(f"drafts/{uuid.uuid4().hex}"), self._path(f"commits/{manifest['run']:09d}.json")
         stream = self._fs.create(draft)
         stream.write(json.dumps(manifest).encode())
         stream.close()
-        final = self._path(f"commits/{manifest['run']:09d}.json")
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"run {manifest['run']} was committed by another job")
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+            else:
+                jvm = self.spark.sparkContext._jvm
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(draft, final, options)
+        except (FileExistsError, Py4JJavaError) as e:
+            if self._fs.exists(final):
+                raise RuntimeError(f"run {manifest['run']} was committed by another job") from e
+            raise
 
     def output(self) -> DataFrame | None:
-        """All committed outputs."""
-        paths = [f"{self.root}/{m['output']}" for m in self.manifests()]
+        """All committed outputs; None if there is none."""
+        paths = [f"{self.root}/{m['output']}" for m in self.manifests() if m["output"]]
         return self.spark.read.parquet(*paths) if paths else None
+
+    def clean(self) -> None:
+        """Remove outputs and drafts that no manifest names; only while no run is under way."""
+        named = {(m["output"] or "").rsplit("/", 1)[-1] for m in self.manifests()}
+        for folder in ("data", "drafts"):
+            if self._fs.exists(self._path(folder)):
+                for s in self._fs.listStatus(self._path(folder)):
+                    if s.getPath().getName() not in named:
+                        self._fs.delete(s.getPath(), True)

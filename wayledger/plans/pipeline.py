@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayledger.operators.incremental import changed_records, last_good_start
+from wayledger.operators.incremental import IncrementalJob, last_good_start, newer_records
 from wayledger.operators.references import month_of, orphan_references, orphan_report
 from wayledger.plans.registry import Catalog
-from wayledger.runtime import read
+from wayledger.runtime import read, scratch
 
 CATALOG = Catalog()
 
@@ -66,9 +69,17 @@ where has_new and (not has_seen or (new_version is not null and (seen_version is
 """,
 )
 def p4_found(spark, d):
+    """One run of a job that takes over from the last good run: its limits are fixed first, then output and watermark are committed together."""
+    logs = {"sample": read(spark, d, "sample").withColumnRenamed("id", "sample_id").withColumn("dimension", F.lit("")), "label": read(spark, d, "label")}
+    columns = ["sample_id", "dimension"]
+
+    def step(batches):
+        return reduce(DataFrame.unionByName, [newer_records(b.new, b.seen, columns, "modified_at").select(F.lit(n).alias("source_table"), *columns) for n, b in batches.items()])
+
+    job = IncrementalJob(spark, scratch(spark, "changed"))
     since = last_good_start(read(spark, d, "ingest_run"))
-    sample = changed_records(read(spark, d, "sample"), ["id"], "loaded_at", "modified_at", since)
-    label = changed_records(read(spark, d, "label"), ["sample_id", "dimension"], "loaded_at", "modified_at", since)
-    return sample.select(F.lit("sample").alias("source_table"), F.col("id").alias("sample_id"), F.lit("").alias("dimension")).unionByName(
-        label.select(F.lit("label").alias("source_table"), "sample_id", "dimension")
-    )
+    if since is not None:
+        job.start_at(since)
+    job.run({n: df.select(*columns, "modified_at", "loaded_at") for n, df in logs.items()}, "loaded_at", step)
+    found = job.output()
+    return spark.createDataFrame([], "source_table string, sample_id bigint, dimension string") if found is None else found

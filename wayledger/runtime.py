@@ -57,17 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}-{name}"
+    _staged[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage like a checkpoint, but the copy is columnar, compressed and
     survives the loss of any executor. The files go when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}-{name}"
-    _staged[path] = spark
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
