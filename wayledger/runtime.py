@@ -89,25 +89,41 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-HOT_KEYS = 50_000  # keys a broadcast of hot keys may hold
+HOT_KEYS = 50_000  # a key with more than this part of all rows is hot, so there are no more hot keys than that
 HOT_ROWS = 10_000  # rows below which no key is hot
+HOT_BYTES = 64 << 20  # bytes of rows that a broadcast of hot keys may hold
+SALTS = 64  # tasks that share a hot key where its row is too long for a broadcast
 
 
 def weighted_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, one row per key, whose ``weight`` is the key's rows in ``rows``.
 
-    Keys with more than total / HOT_KEYS rows are hot. There can be no more than HOT_KEYS of them,
-    so they are broadcast; the rest is shuffled by key, and no key of it is large.
+    Keys with more than total / HOT_KEYS rows are hot. There can be no more than HOT_KEYS of them. Their rows
+    are broadcast if they take at most HOT_BYTES, and all others are shuffled by key, so no key of theirs is large.
+    Longer rows are not broadcast: then hot keys are salted, and only 8 bytes a key tell them apart.
     """
     hot = F.col(weight) > F.lit(max(HOT_ROWS, total // HOT_KEYS))
-    found = keyed.where(hot).collect()
-    if not found:
+    held = stage(keyed.where(hot), "hot")
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if not n:
         return rows.join(keyed, key)
-    held = rows.sparkSession.createDataFrame(found, keyed.schema)
+    if size > HOT_BYTES:
+        return _salted_join(rows, keyed, key, held)
     cold = rows.join(F.broadcast(held.select(key)), key, "left_anti").join(keyed.where(~hot), key)
     return rows.join(F.broadcast(held), key).select(*cold.columns).unionByName(cold)
 
 
+def _salted_join(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join in which each row of a key in ``hot`` meets one of SALTS copies of the key's row."""
+    marks = hot.select(F.xxhash64(key).alias("_mark")).distinct().withColumn("_hot", F.lit(True))
+    marked = lambda df: df.withColumn("_mark", F.xxhash64(key)).join(F.broadcast(marks), "_mark", "left").drop("_mark")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = marked(rows).withColumn("_salt", salt).drop("_hot")
+    right = marked(keyed).withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in list(_staged.items()):
