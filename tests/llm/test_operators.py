@@ -161,7 +161,7 @@ def test_sample_and_deficits(spark):
     assert {tuple(r) for r in s.deficits().collect()} == {("d", "small", 5, 3), ("d", "absent", 2, 0), ("d", None, 4, 0)}
     drawn = s.draw().collect()
     assert len(drawn) == len(set(drawn)) == 703 and {r.category for r in drawn} == {"big", "small"}
-    assert s.probabilities()["d", "big"] < 0.2
+    assert {r.k1: r.p < 0.2 for r in s.probabilities().collect()} == {"big": True, "small": False}
     again = ProportionalSample(units(spark, rows[::-1]), targets, ["dimension", "category"]).draw().collect()
     assert set(again) == set(drawn)
 

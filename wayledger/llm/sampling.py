@@ -3,23 +3,23 @@
 Each (category, record) pair gets a uniform hash. A category's acceptance probability is its
 wanted over its observed number, slightly raised; pairs with a hash below it are accepted
 independently, wherever they are. Then counts are corrected exactly: the accepted pairs with the
-largest hashes are dropped. For that only a histogram of hashes per category is gathered; ranks
-are computed in one bin of each category, never over a whole category.
+largest hashes are dropped. For that only a histogram of hashes per category is made; ranks
+are computed in one bin of each category, never over a whole category. The report of shortfalls compares the drawn
+sample with the wanted one.
+
+Targets are a table like any other: nothing here depends on their number but the kind of join Spark picks.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayledger.llm.text import plain_term
+from wayledger.llm.text import term_column
 from wayledger.runtime import stage
 
-MAX_CATEGORIES = 20_000  # rows the table of targets may have; it is held on the driver
-BINS = 1024
+BINS = 1024  # bins of a category's histogram, at least; the square root of the wanted rows if that is more
 
 
 def wanted_rows(targets: DataFrame, keys: list[str], share: str = "wanted_share", minimum: str = "min_rows", rows: str = "sample_rows") -> DataFrame:
@@ -31,68 +31,52 @@ def wanted_rows(targets: DataFrame, keys: list[str], share: str = "wanted_share"
 class ProportionalSample:
     """A sample of records per category and the report of its shortfalls.
 
-    ``units`` is (k0, k1, ..., record) with normalised keys; the targets are few (checked) and their keys are
+    ``units`` is (k0, k1, ..., record) with normalised keys; the keys of the targets are
     normalised in the same way. Several targets of one normalised key take the largest want. Units with a null in a
     key or the record count nowhere, repeated units once. A want of null or below 1 wants nothing.
     """
 
     def __init__(self, units: DataFrame, targets: DataFrame, keys: list[str], want: str = "want_rows", seed: int = 42, slack: float = 4.0) -> None:
-        found = targets.select(*keys, want).limit(MAX_CATEGORIES + 1).collect()
-        if len(found) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} targets")
-        self.spark, self.keys, self.slack = units.sparkSession, keys, slack
+        self.keys, self.slack = keys, slack
         self._names = [f"k{i}" for i in range(len(keys))]
-        self._targets = [(tuple(plain_term(r[k]) for k in keys), [r[k] for k in keys], max(0, r[want] or 0)) for r in found]
-        self.want: dict[tuple, int] = defaultdict(int)
-        for norm, _, n in self._targets:
-            if None not in norm:
-                self.want[norm] = max(self.want[norm], n)
-        self._record = units.schema["record"].dataType.simpleString()
-        wanted = self._frame([(*k,) for k in self.want], "")
-        # F.broadcast: at most MAX_CATEGORIES rows
-        hashed = units.join(F.broadcast(wanted), self._names, "left_semi").where(F.col("record").isNotNull()).groupBy(*self._names, "record").agg(F.lit(1).alias("one"))
+        spelled = targets.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)], F.greatest(F.lit(0), F.coalesce(want, F.lit(0))).cast("bigint").alias("want"), *[term_column(F.col(k)).alias(n) for k, n in zip(keys, self._names)])
+        self._targets = stage(spelled.distinct(), "targets")
+        self.wanted = stage(self._targets.dropna(subset=self._names).where("want > 0").groupBy(*self._names).agg(F.max("want").alias("want")), "wanted")
+        found = units.where(F.col("record").isNotNull()).join(self.wanted.select(*self._names), self._names, "left_semi").select(*self._names, "record").distinct()
         u = F.pmod(F.xxhash64(*self._names, "record", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-        self.pairs = stage(hashed.select(*self._names, "record", u.alias("u")), "pairs")
-        self.observed: dict[tuple, int] = {tuple(r[n] for n in self._names): r["count"] for r in self.pairs.groupBy(*self._names).count().collect()}
-
-    def _frame(self, rows: list[tuple], more: str) -> DataFrame:
-        schema = ", ".join(f"{n} string" for n in self._names) + more
-        return self.spark.createDataFrame(rows, schema)
-
-    def deficits(self) -> DataFrame:
-        """(keys, want_rows, have_rows) of the targets, as spelled in their table, with fewer records than wanted."""
-        rows = {(*spelled, n, self.observed.get(norm, 0)) for norm, spelled, n in self._targets if self.observed.get(norm, 0) < n}
-        return self.spark.createDataFrame(sorted(rows, key=str), ", ".join(f"{k} string" for k in self.keys) + ", want_rows bigint, have_rows bigint")
+        self.pairs = stage(found.withColumn("u", u), "pairs")
 
-    def probabilities(self) -> dict[tuple, float]:
-        """Acceptance probability per category: the wanted rows and some standard deviations more, over the observed."""
-        return {k: min(1.0, (n + self.slack * n**0.5 + 1) / self.observed[k]) for k, n in self.want.items() if n and self.observed.get(k)}
+    def probabilities(self) -> DataFrame:
+        """(keys, want, p, bins): acceptance probability of each category, its wanted rows and some standard deviations more, over the observed."""
+        observed = self.pairs.groupBy(*self._names).agg(F.count("*").alias("have"))
+        p = F.least(F.lit(1.0), (F.col("want") + F.lit(self.slack) * F.sqrt("want") + 1) / F.col("have"))
+        return self.wanted.join(observed, self._names).select(*self._names, "want", p.alias("p"), F.greatest(F.lit(BINS), F.ceil(F.sqrt("want"))).alias("bins"))
 
     def draw(self) -> DataFrame:
         """(keys normalised, record): exactly min(want, observed) records of each category."""
-        p = self.probabilities()
+        drawn = self._drawn()
+        return drawn.select(*[F.col(n).alias(k) for n, k in zip(self._names, self.keys)], "record")
+
+    def _drawn(self) -> DataFrame:
+        offered = stage(self.probabilities(), "offered")
         while True:
-            offered = self._frame([(*k, v) for k, v in p.items()], ", p double")
-            accepted = self.pairs.join(F.broadcast(offered), self._names).where(F.col("u") < F.col("p")).withColumn("bin", F.floor(F.col("u") / F.col("p") * BINS).cast("int"))
-            bins: dict[tuple, dict[int, int]] = defaultdict(dict)
-            for r in accepted.groupBy(*self._names, "bin").count().collect():
-                bins[tuple(r[n] for n in self._names)][r["bin"]] = r["count"]
-            short = [k for k in p if p[k] < 1 and sum(bins[k].values()) < self.want[k]]
-            if not short:
+            accepted = self.pairs.join(offered, self._names).where(F.col("u") < F.col("p")).withColumn("bin", F.floor(F.col("u") / F.col("p") * F.col("bins")))
+            histogram = stage(accepted.groupBy(*self._names, "bin", "want").agg(F.count("*").alias("n")), "histogram")
+            short = offered.join(histogram.groupBy(*self._names).agg(F.sum("n").alias("n")), self._names, "left")
+            short = short.where((F.col("p") < 1) & (F.coalesce("n", F.lit(0)) < F.col("want"))).select(*self._names, F.lit(True).alias("short"))
+            if short.isEmpty():
                 break
-            p |= {k: min(1.0, 2 * p[k]) for k in short}  # chance left a category short: offer it more
-        cuts = []
-        for k in p:
-            left = self.want[k]
-            for b in range(BINS + 1):
-                here = bins[k].get(b, 0)
-                if here >= left:
-                    break
-                left -= here
-            cuts.append((*k, b, left))
-        cut = self._frame(cuts, ", cut int, rest bigint")
-        judged = accepted.join(F.broadcast(cut), self._names)
-        below = judged.where(F.col("bin") < F.col("cut"))
+            # chance left a category short: offer it more
+            offered = stage(offered.join(stage(short, "short"), self._names, "left").withColumn("p", F.when(F.col("short"), F.least(F.lit(1.0), F.greatest(2 * F.col("p"), 1 / F.col("bins")))).otherwise(F.col("p"))).drop("short"), "offered")
+        before = F.sum("n").over(W.partitionBy(*self._names).orderBy("bin")) - F.col("n")  # a category has no more rows than bins
+        cuts = histogram.withColumn("rest", F.col("want") - before).where((F.col("rest") > 0) & (F.col("n") >= F.col("rest"))).select(*self._names, F.col("bin").alias("cut"), "rest")
+        judged = accepted.join(stage(cuts, "cuts"), self._names, "left")
+        below = judged.where(F.col("cut").isNull() | (F.col("bin") < F.col("cut"))).select(*self._names, "record")
         last = judged.where(F.col("bin") == F.col("cut")).withColumn("rank", F.row_number().over(W.partitionBy(*self._names).orderBy("u", "record")))
-        names = [F.col(n).alias(k) for n, k in zip(self._names, self.keys)]
-        return below.select(*names, "record").unionByName(last.where(F.col("rank") <= F.col("rest")).select(*names, "record"))
+        return below.unionByName(last.where(F.col("rank") <= F.col("rest")).select(*self._names, "record"))
+
+    def deficits(self) -> DataFrame:
+        """(keys, want_rows, have_rows) of the targets, as spelled in their table, of which the drawn sample has fewer records than wanted."""
+        have = self._drawn().groupBy(*self._names).agg(F.count("*").alias("have"))
+        report = self._targets.join(have, self._names, "left").withColumn("have_rows", F.coalesce("have", F.lit(0)).cast("bigint"))
+        return report.where(F.col("have_rows") < F.col("want")).select(*[F.col(f"t{i}").alias(k) for i, k in enumerate(self.keys)], F.col("want").alias("want_rows"), "have_rows").distinct()
