@@ -103,10 +103,10 @@ def weighted_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, tota
     Longer rows are not broadcast: then hot keys are salted, and only 8 bytes a key tell them apart.
     """
     hot = F.col(weight) > F.lit(max(HOT_ROWS, total // HOT_KEYS))
-    held = stage(keyed.where(hot), "hot")
-    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
-    if not n:
+    if total <= HOT_ROWS or keyed.where(hot).isEmpty():
         return rows.join(keyed, key)
+    held = stage(keyed.where(hot), "hot")
+    size = held.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
     if size > HOT_BYTES:
         return _salted_join(rows, keyed, key, held)
     cold = rows.join(F.broadcast(held.select(key)), key, "left_anti").join(keyed.where(~hot), key)
