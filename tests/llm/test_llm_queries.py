@@ -1,7 +1,12 @@
+from collections import defaultdict
+
 import pytest
 from compare import assert_same, database
+from pyspark.sql import functions as F
 
 from wayledger.llm.queries import CATALOG
+from wayledger.llm.text import photo_column
+from wayledger.operators.labels import region_points
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +27,27 @@ def test_splits_hold_photos_together(spark, data):
     assert abs(shares["train"] - 0.8) < 0.03 and abs(shares["test"] - 0.1) < 0.03
 
 
+def test_linked_samples_against_union_find(spark, data):
+    rows = spark.read.parquet(f"{data}/sample.parquet").select("id", photo_column(F.col("image_path")).alias("photo"), F.trim("region").alias("region"), region_points("region").isNotNull().alias("good")).collect()
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in rows:
+        for entity in [("photo", r.photo)] * (r.photo is not None) + [("region", r.region)] * r.good:
+            if r.id is not None:
+                parent[root(r.id)] = root(entity)
+    groups = defaultdict(set)
+    for i in [x for x in parent if isinstance(x, int)]:
+        groups[root(i)].add(i)
+    want = {(min(g), i) for g in groups.values() for i in g if i > min(g)}
+    got = [(r.first_id, r.id) for r in CATALOG.queries["p3_linked"](spark, data).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(groups) < len({r.photo for r in rows})
+
+
 def test_sample_has_exact_counts(spark, data):
     drawn = CATALOG.queries["p5_sample"](spark, data)
     assert drawn.count() == drawn.distinct().count()

@@ -108,6 +108,7 @@ def brute_groups(edges):
         [(i, f"e{i // 3}") for i in range(30)],
         [(i, f"e{i}") for i in range(60)] + [(i, f"e{i + 1}") for i in range(59)],  # a long chain
         [(60 - i, f"e{i}") for i in range(40)] + [(60 - i, f"e{i + 1}") for i in range(39)] + [(99, "e5"), (98, "x"), (98, "x")],
+        [(k, f"e{k}") for k in range(80)] + [(100 + k, f"e{k}") for k in range(80)] + [(100 + k, f"e{k + 1}") for k in range(79)],  # a chain whose labels are no links
         [(r, f"e{e}") for r, e in np.random.default_rng(5).integers(0, 60, (70, 2)).tolist()],
     ],
 )
@@ -117,6 +118,15 @@ def test_groups(spark, edges):
     assert len(got) == len(set(got)) and set(got) == brute_groups(edges)
 
 
+def test_rounds_follow_the_logarithm(spark, monkeypatch):
+    staged = []
+    stage = splits.stage
+    monkeypatch.setattr(splits, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    edges = [(k, f"e{k}") for k in range(80)] + [(100 + k, f"e{k}") for k in range(80)] + [(100 + k, f"e{k + 1}") for k in range(79)]
+    splits.record_groups(spark.createDataFrame(edges, "id long, path string"), "id", F.col("path"))
+    assert staged.count("step") <= 12
+
+
 def test_groups_of_nothing_and_of_a_hot_entity(spark, monkeypatch):
     assert splits.record_groups(spark.createDataFrame([], "id long, path string"), "id", F.col("path")).count() == 0
     monkeypatch.setattr("wayledger.runtime.HOT_ROWS", 10)
@@ -142,8 +152,32 @@ def test_split_shares_and_strata(spark):
 # --- 5: samples ------------------------------------------------------------------------------------------------
 
 
+def test_groups_of_hot_links(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    edges = [(i, "hot") for i in range(0, 400, 2)] + [(i, f"e{rng.integers(0, 200)}") for i in range(400)] + [(7, f"e{k}") for k in range(0, 200, 5)]
+    want = brute_groups(edges)
+    df = spark.createDataFrame(edges, "id long, path string")
+    monkeypatch.setattr("wayledger.runtime.HOT_ROWS", 20)
+    for size in (1 << 20, 0):  # broadcast, salted
+        monkeypatch.setattr("wayledger.runtime.HOT_BYTES", size)
+        got = [(r.group, r.record) for r in splits.record_groups(df, "id", F.col("path")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_label_value_is_spread(spark):
+    rng = random.Random(6)
+    groups = spark.createDataFrame([(i - i % 3, i) for i in range(6000)], "group long, record long")
+    labels = [(i, f"often {i // 30 % 8}") for i in range(6000)] + [(i, f"some {rng.randrange(25)}") for i in range(0, 6000, 2)] + [(i, f"few {rng.randrange(20)}") for i in range(0, 6000, 12)]
+    out = splits.split_assignment(groups, spark.createDataFrame(labels, "record long, stratum string"), {"train": 0.8, "test": 0.1, "validation": 0.1})
+    placed = {r.record: r.split for r in out.collect()}
+    assert abs(sum(s == "train" for s in placed.values()) / 6000 - 0.8) < 0.005
+    for value in {v for _, v in labels}:
+        own = [placed[i] for i, v in labels if v == value]
+        assert abs(sum(s == "train" for s in own) / len(own) - 0.8) < 0.09 and abs(sum(s == "test" for s in own) / len(own) - 0.1) < 0.09
+
+
 def test_split_pools_rare_strata(spark, monkeypatch):
-    monkeypatch.setattr(splits, "MAX_STRATA", 1)
+    monkeypatch.setattr(splits, "STRATA", 1)
     groups = spark.createDataFrame([(i, i) for i in range(2000)], "group long, record long")
     strata = spark.createDataFrame([(i, "often") for i in range(300)] + [(i, f"rare {i}") for i in range(300, 400)], "record long, stratum string")
     placed = {r.record: r.split for r in splits.split_assignment(groups, strata, {"a": 0.5, "b": 0.5}).collect()}

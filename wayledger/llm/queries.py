@@ -11,6 +11,7 @@ from wayledger.llm.stuffing import stuffed_pages
 from wayledger.llm.terms import marked_terms
 from wayledger.llm.text import photo_column, term_column
 from wayledger.llm.tokens import encode_corpus
+from wayledger.operators.labels import region_points
 from wayledger.plans.registry import Catalog
 from wayledger.runtime import read, spread
 
@@ -72,6 +73,15 @@ def p3_found(spark, d):
     return groups.where(F.col("record") > F.col("group")).select(F.col("group").alias("first_id"), F.col("record").alias("id"))
 
 
+@CATALOG.query("p3_linked")
+def p3_linked(spark, d):
+    """(first_id, id): samples linked by their photo or by the very same region, also through others."""
+    entity = F.concat(F.lit("region "), F.trim("region"))
+    every = read(spark, d, "sample").select("id", F.concat(F.lit("photo "), photo_column(F.col("image_path"))).alias("photo"), F.when(region_points("region").isNotNull(), entity).alias("region"))
+    groups = record_groups(every.select("id", F.explode(F.array("photo", "region")).alias("entity")), "id", F.col("entity"))
+    return groups.where(F.col("record") > F.col("group")).select(F.col("group").alias("first_id"), F.col("record").alias("id"))
+
+
 @CATALOG.query("p3_splits")
 def p3_splits(spark, d):
     """(sample_id, group_id, split): photos whole, samples without a photo each on their own."""
