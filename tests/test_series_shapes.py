@@ -62,10 +62,28 @@ def test_smoothing(spark):
     assert np.abs(straight.y).max() < 1e-9
 
 
-def test_simplify_in_pieces(spark):
-    df = spark.range(100).select(F.lit(1).alias("track_id"), F.col("id").cast("double").alias("dt"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
-    assert sorted(r.dt for r in S.simplify(df, 0.5).collect()) == [0.0, 99.0]
-    assert sorted(r.dt for r in S.simplify(df, 0.5, piece=50).collect()) == [0.0, 49.0, 50.0, 99.0]
+def test_simplify_is_the_same_in_pieces(spark):
+    df = spark.createDataFrame([(1, float(i), float(i), 0.0) for i in range(100)], "track_id int, dt double, x double, y double")
+    rng = np.random.default_rng(4)
+    walk = rng.normal(size=(900, 2)).cumsum(axis=0)
+    df = df.unionByName(spark.createDataFrame([(2, float(i), *map(float, p)) for i, p in enumerate(walk)] + [(3, 0.0, 1.0, 1.0)], df.schema))
+    whole = sorted(map(tuple, S.simplify(df, 1.5).collect()))
+    assert [r[1] for r in whole if r[0] == 1] == [0.0, 99.0] and 100 < len(whole) < 900
+    assert sorted(map(tuple, S.simplify(df, 1.5, piece=300).collect())) == whole
+
+
+def test_long_tracks_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(1, float(t), float(rng.normal()), float(rng.normal())) for t in rng.choice(5000, 1500, replace=False)] + [(2, float(t), 1.0 * t, 0.0) for t in range(40)]
+    df = spark.createDataFrame(rows, "track_id int, dt double, x double, y double")
+    times = df.select("track_id", (F.col("dt") + 0.5).alias("qt")).unionByName(spark.createDataFrame([(1, -5.0), (1, 1e6), (2, 7.0), (1, float(rows[3][1])), (5, 1.0)], "track_id int, qt double"))
+    run = lambda: [sorted(map(str, f.collect())) for f in (S.interpolate(df, times, values=("x", "y")), S.segments(df, "track_id", "dt", ("x", "y")), S.speeds(df), S.steps(df), S.smooth(df, 0.3, 2.0))]
+    whole = run()
+    assert S.pieces(df, "track_id", "dt") is None
+    monkeypatch.setattr(S, "PIECE_ROWS", 100)
+    cut = S.pieces(df, "track_id", "dt").collect()
+    assert [r.track_id for r in cut] == [1] and len(cut[0]._bounds) == 15
+    assert run() == whole and [len(x) for x in whole[:4]] == [1544, 1538, 1540, 1540]
 
 
 def test_emitted_frames(spark):
@@ -136,7 +154,7 @@ def test_diff_leads_there(a, b):
 
 
 def test_shortcut_keys():
-    assert scalars.shortcut_keys(["Asphalt", "All", "a"]) == ["a", "l", "b"]
+    assert scalars.shortcut_keys(["Asphalt", "All", "a", "map crack", "mill cut"]) == ["A", "L", "B", "M", "C"]
 
 
 def test_scalar_edges(spark):

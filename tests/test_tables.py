@@ -1,8 +1,12 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayledger.functions import scalars
 from wayledger.operators import crud, table
+from wayledger.operators import labels as L
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +111,41 @@ def test_transactions(spark, people, tmp_path):
     with pytest.raises(RuntimeError):
         second.commit()
     assert store.read("people").count() == 0
+
+
+# --- edits of the label store --------------------------------------------------------------------------------
+
+
+def test_commands_run_in_turn(spark):
+    samples = spark.createDataFrame([(1, "a", 0, None), (2, "a", 1, "r1"), (3, "a", 2, "r2"), (4, "a", 2, "r2"), (5, "b", 7, "r7"), (6, "c", None, "x")], "id long, image_path string, region_id long, region string")
+    samples = samples.withColumns({"author": F.lit("old"), "modified_at": F.lit(None).cast("timestamp_ntz")})
+    labels = spark.createDataFrame([(2, "d", "one", 1.0), (3, "d", "two", None), (5, "d", "seven", 2.0), (6, "d", "six", None)], "sample_id long, dimension string, category string, intensity double")
+    labels = labels.withColumns({"author": F.lit("old"), "modified_at": F.lit(None).cast("timestamp_ntz")})
+    commands = [
+        (1, "a", 2, "new", "d", "edited"), (2, "a", 2, "newer", "e", "more"), (3, "a", 2, "", "d", "x"), (4, "a", 2, "lost", "d", "x"),  # gone by then
+        (5, "a", 0, "made", "d", "takes the number again"), (6, "a", 2, "moved", "e", "again"), (7, "a", 1, "r1", "d", ""), (8, "a", None, "", "f", "whole"),
+        (9, "z", 0, "", "d", "first"), (10, "z", 0, "", "d", "second"), (11, "z", 0, "poly", "d", "region"), (12, "nowhere", 4, "r", "d", "x"),
+    ]
+    c = spark.createDataFrame([(*x, None, "me", dt.datetime(2024, 1, 1)) for x in commands], "n int, image string, region_id long, region string, dimension string, category string, intensity double, author string, modified_at timestamp_ntz")
+    after, edited = L.set_labels(samples, labels, c, order=("n",))
+    got = {(r.id, r.image_path, r.region_id, r.region) for r in after.collect()}
+    assert {x[1:] for x in got} == {("a", 0, None), ("a", 1, "r1"), ("a", 2, "moved"), ("b", 7, "r7"), ("c", None, "x"), ("z", 0, None), ("z", 1, "poly")}
+    ids = {x[1:3]: x[0] for x in got}
+    assert len({x[0] for x in got}) == 7 and {i for k, i in ids.items() if k in (("a", 2), ("z", 0), ("z", 1))} == {7, 8, 9}
+    want = {(ids["a", 2], "d", "takes the number again"), (ids["a", 2], "e", "again"), (1, "f", "whole"), (ids["z", 0], "d", "second"), (ids["z", 1], "d", "region"), (5, "d", "seven"), (6, "d", "six")}
+    assert {(r.sample_id, r.dimension, r.category) for r in edited.collect()} == want
+    none, same = L.set_labels(samples, labels, c.limit(0))
+    assert none.count() == 6 and same.count() == 4
+
+
+def test_repeated_keys_of_an_upsert_fail(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="repeated"):
+        crud.upsert(target, spark.createDataFrame([(1, "b"), (1, "c")], target.schema), ["k"]).collect()
+    assert crud.update_by_key(target, spark.createDataFrame([(1, "b"), (2, "c")], target.schema), ["k"]).collect() == [(1, "b")]
+
+
+def test_a_pattern_matches_the_whole_text(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("a\nc",)], "t string")
+    assert [r[0] for r in df.select(scalars.wildcard(F.col("t"), "abc")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(scalars.wildcard(F.col("t"), "a?c")).collect()] == [True, False, True]

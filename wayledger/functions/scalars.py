@@ -76,7 +76,7 @@ def trim(c: Column) -> Column:
 def wildcard(c: Column, pattern: str, nocase: bool = False) -> Column:
     """Whether the whole text matches a pattern of * (any characters) and ? (one)."""
     body = "".join(".*" if p == "*" else "." if p == "?" else re.escape(p) for p in pattern)
-    return c.rlike(f"(?s{'i' if nocase else ''})^{body}$")
+    return c.rlike(f"(?s{'i' if nocase else ''})^{body}\\z")
 
 
 def equal_nocase(a: Column, b: Column) -> Column:
@@ -150,11 +150,12 @@ def nice_name(c: Column) -> Column:
 
 
 def shortcut_keys(titles: list[str]) -> list[str]:
-    """A key for each title: its first letter or digit that is free, else the first free of the alphabet and digits, else ''."""
+    """A key for each title, in upper case: the first that is free of the first characters of its words, all of its
+    characters, A to Z, 1 to 9 and 0; '' if none is."""
     used: set[str] = set()
     keys = []
     for title in titles:
-        wanted = [c for c in title.lower() if c.isascii() and c.isalnum()] + list("abcdefghijklmnopqrstuvwxyz0123456789")
+        wanted = [w[0].upper() for w in title.split(" ") if w] + [c.upper() for c in title] + list("ABCDEFGHIJKLMNOPQRSTUVWXYZ1234567890")
         key = next((c for c in wanted if c not in used), "")
         used.add(key)
         keys.append(key)

@@ -58,8 +58,8 @@ def geometry(kind: str, parts: list[dict], srid: int = 0, dims: str = "xy") -> d
 # --- rings ----------------------------------------------------------------------------------------------
 
 
-def ring_parents(rings: list[Ring]) -> list[int]:
-    """For each ring the smallest ring around it, -1 if none. A larger ring is inside no smaller one, so there is no circle."""
+def ring_parents(rings: list[Ring], largest: bool = False) -> list[int]:
+    """For each ring the smallest ring around it, or the largest, -1 if none. A larger ring is inside no smaller one, so there is no circle."""
     sizes = [abs(signed_area(r)) for r in rings]
     boxes = [(min(p[0] for p in r), min(p[1] for p in r), max(p[0] for p in r), max(p[1] for p in r)) for r in rings]
     parents = []
@@ -69,7 +69,7 @@ def ring_parents(rings: list[Ring]) -> list[int]:
             for j, b in enumerate(boxes)
             if j != i and (sizes[j], j) > (sizes[i], i) and b[0] <= boxes[i][0] and b[1] <= boxes[i][1] and b[2] >= boxes[i][2] and b[3] >= boxes[i][3] and contains(rings[j], *ring[0][:2])
         ]
-        parents.append(min(around, key=sizes.__getitem__, default=-1))
+        parents.append((max if largest else min)(around, key=sizes.__getitem__, default=-1))
     return parents
 
 
@@ -86,14 +86,17 @@ def ring_levels(rings: list[Ring]) -> list[int]:
 
 
 def order_rings(rings: list[Ring]) -> list[dict]:
-    """Parts of a polygon: exterior rings counter-clockwise, each before its holes, which run clockwise."""
-    parents, levels = ring_parents(rings), ring_levels(rings)
+    """Parts of a polygon: exterior rings counter-clockwise, each before the rings in it, which run clockwise.
+
+    A ring in others belongs to the largest of them, so rings in holes are no exterior rings but go with the outermost one.
+    """
+    parents = ring_parents(rings, largest=True)
     turned = lambda r, ccw: r if (signed_area(r) > 0) == ccw else [r[0], *r[:0:-1]]
     out = []
     for i, ring in enumerate(rings):
-        if levels[i] % 2 == 0:
+        if parents[i] < 0:
             out.append(_part(turned(ring, True), True, True))
-            out += [_part(turned(r, False), True, False) for j, r in enumerate(rings) if parents[j] == i and levels[j] % 2]
+            out += [_part(turned(r, False), True, False) for j, r in enumerate(rings) if parents[j] == i]
     return out
 
 

@@ -37,22 +37,31 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str], order: list[Col
     """``source`` rows replace or join the ``target`` rows of the same key.
 
     Fields that ``source`` lacks keep their value, or are null in new rows. With ``order`` the last source row of
-    a key counts; without, keys of ``source`` must be unique.
+    a key counts; without, keys of ``source`` must be unique, or the query fails when it meets a repeated one.
     """
     if missing := [k for k in key if k not in source.columns]:
         raise ValueError(f"the key fields {missing} are not among the fields")
-    new = latest(source, key, order) if order else source
+    return _overwrite(target, source, key, order, "full_outer")
+
+
+def _overwrite(target: DataFrame, source: DataFrame, key: list[str], order: list[Column] | None, how: str) -> DataFrame:
+    if order:
+        new = latest(source, key, order)
+    else:
+        rest = F.struct(*[c for c in source.columns if c not in key] or [F.lit(1).alias("_")])
+        one = source.groupBy(*key).agg(F.count("*").alias("_n"), F.first(rest).alias("_row"))
+        alone = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit(f"the key {', '.join(key)} is repeated")).cast(one.schema["_row"].dataType))
+        new = one.select(*key, alone.alias("_row")).select(*key, *[F.col("_row")[c].alias(c) for c in source.columns if c not in key])
     fields = [c for c in source.columns if c not in key]
     new = new.select(*key, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_is_new"))
-    joined = target.join(new, key, "full_outer")
+    joined = target.join(new, key, how)
     pick = [F.col(c) if c in key else F.when(F.col("_is_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in fields else F.col(c) for c in target.columns]
     return joined.select(*pick)
 
 
 def update_by_key(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """Source fields overwrite the target's where the key exists; other keys of ``source`` are ignored."""
-    known = source.join(target.select(*key), key, "left_semi")
-    return upsert(target, known, key)
+    return _overwrite(target, source, key, None, "left")
 
 
 def delete_by_key(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:

@@ -193,8 +193,8 @@ class IncrementalJob:
 
     @staticmethod
     def _top(logs: dict[str, DataFrame], sequence: str, kinds: dict[str, T.DataType], delay: timedelta | int | None) -> datetime | int | None:
-        tops = [df.agg(_wall(F.max(sequence), kinds[n])).first()[0] for n, df in logs.items()]
-        tops = [t for t in tops if t is not None]
+        each = [df.agg(_wall(F.max(sequence), kinds[n]).alias("top")) for n, df in logs.items()]
+        tops = [r.top for r in reduce(DataFrame.unionByName, each).collect() if r.top is not None]  # one row a log
         if not tops:
             return None
         one = timedelta(microseconds=1) if isinstance(tops[0], datetime) else 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,36 +159,111 @@ def check_commands(commands: DataFrame, images: DataFrame | None = None) -> Data
     return commands.withColumn("error", error)
 
 
-def set_labels(samples: DataFrame, labels: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+_MODES = {CREATE: 0, WHOLE_IMAGE: 1, UPDATE: 2, DELETE: 3}
+_AFTER = "image string, region_id bigint, id bigint, fresh int, region string, author string, modified_at timestamp_ntz, label boolean, dimension string, category string, intensity double"
+
+
+class _Image:
+    """The regions and labels of one image while commands run over it."""
+
+    def __init__(self) -> None:
+        self.samples: dict[int, dict] = {}
+        self.labels: dict[int, dict[str, dict]] = {}
+        self.fresh = 0
+
+    def store(self, r: dict) -> None:
+        """A sample of the image, with its labels."""
+        self.samples[r["id"]] = {c: r[c] for c in ("region_id", "region", "author", "modified_at")}
+        self.labels[r["id"]] = {x["dimension"]: x for x in r["labels"]}
+
+    def of_region(self, region_id: int) -> list[int]:
+        """Samples of the region: those stored before by id, then new ones (numbered downwards from -1)."""
+        return sorted((k for k, s in self.samples.items() if s["region_id"] == region_id), key=lambda k: (k < 0, abs(k)))
+
+    def add(self, region_id: int, region: str | None, author: str | None, modified_at) -> None:
+        self.fresh -= 1
+        self.samples[self.fresh] = {"region_id": region_id, "region": region, "author": author, "modified_at": modified_at}
+        self.labels[self.fresh] = {}
+
+    def run(self, c: dict) -> None:
+        region_id, mode = c["region_id"] or 0, c["mode"]
+        if mode == CREATE:
+            region_id = max([s["region_id"] for s in self.samples.values() if s["region_id"] is not None], default=0) + 1
+            self.add(region_id, c["region"], c["author"], c["modified_at"])
+        elif mode == WHOLE_IMAGE and not self.of_region(0):
+            self.add(0, None, None, None)
+        hit = self.of_region(region_id)
+        if mode == UPDATE:
+            for k in hit:
+                self.samples[k] |= {"region": c["region"], "author": c["author"], "modified_at": c["modified_at"]}
+        if mode == DELETE:
+            for k in hit:
+                del self.samples[k], self.labels[k]
+        elif hit and c["category"]:
+            self.labels[hit[0]][c["dimension"]] = {n: c[n] for n in ("dimension", "category", "intensity", "author", "modified_at")}
+        elif hit:
+            self.labels[hit[0]].pop(c["dimension"], None)
+
+    def rows(self, image: str) -> Iterator[tuple]:
+        for k, s in self.samples.items():
+            of = (image, s["region_id"], k if k >= 0 else None, -k if k < 0 else None)
+            yield (*of, s["region"], s["author"], s["modified_at"], False, None, None, None)
+            for x in self.labels[k].values():
+                yield (*of, None, x["author"], x["modified_at"], True, x["dimension"], x["category"], x["intensity"])
+
+
+def set_labels(samples: DataFrame, labels: DataFrame, commands: DataFrame, order: tuple[str, ...] = ("modified_at",)) -> tuple[DataFrame, DataFrame]:
     """New (samples, labels) after good commands (image, region_id, region, dimension, category, intensity, author, modified_at).
 
-    The commands are one micro-batch, at most one per (image, region_id) besides creating ones. New samples take the
-    ids after the greatest. An empty category deletes the label; region modes are as in ``region_mode``.
+    The commands are one micro-batch and run in turn, in the given order; commands of one place in it create first, then label whole images,
+    update and delete, each by region and dimension. An empty category deletes the label; region modes are as in ``region_mode``. A new region takes the number after
+    the greatest of its image at that moment. Commands on a region that is not there, or no more, change nothing.
+    Where several samples claim a region, updates and deletes hit all of them, and the label goes to the one of the smallest id.
+    New samples take the ids after the greatest.
+
+    Only the images that the batch names are touched, each by one task; all others pass by.
     """
-    c = stage(commands.withColumn("mode", region_mode(F.col("region_id"), F.col("region"))).withColumn("region_id", F.coalesce("region_id", F.lit(0))), "commands")
-    keyed = samples.select(F.col("image_path").alias("image"), F.col("region_id"), F.col("id").alias("sample_id"))
-    top = samples.groupBy(F.col("image_path").alias("image")).agg(F.max("region_id").alias("_top"))
-    fresh = c.where(F.col("mode") == CREATE).drop("region_id").join(top, "image", "left")
-    fresh = fresh.withColumn("region_id", F.coalesce("_top", F.lit(0)) + F.row_number().over(W.partitionBy("image").orderBy("region", "dimension"))).drop("_top")
-    known = stage(c.where(F.col("mode") != CREATE).join(keyed, ["image", "region_id"], "left"), "known")
-    whole_new = known.where((F.col("mode") == WHOLE_IMAGE) & F.col("sample_id").isNull()).drop("sample_id")
-    new = fresh.unionByName(whole_new).withColumn("author", F.when(F.col("mode") == CREATE, F.col("author"))).select("image", "region_id", F.col("region"), "author", "modified_at", "mode").dropDuplicates(["image", "region_id"])
+    samples = samples.select("id", "image_path", "region_id", "region", "author", F.col("modified_at").cast("timestamp_ntz").alias("modified_at"))
+    labels = labels.select("sample_id", "dimension", "category", "intensity", "author", F.col("modified_at").cast("timestamp_ntz").alias("modified_at"))
+    c = commands.withColumn("mode", region_mode(F.col("region_id"), F.col("region"))).withColumn("modified_at", F.col("modified_at").cast("timestamp_ntz"))
+    rank = F.create_map(*[F.lit(x) for item in _MODES.items() for x in item])[F.col("mode")]
+    fields = ["image", "region_id", "region", "author", "modified_at", "mode", "dimension", "category", "intensity"]
+    c = stage(c.select(*fields, F.struct(*order, rank.alias("rank"), "region", "dimension", "category").alias("turn")), "commands")
+    named = c.select("image").distinct()
+    touched = stage(samples.join(named, samples.image_path == named.image, "left_semi"), "touched")
+    of_touched = labels.withColumnRenamed("sample_id", "id").join(touched.select("id"), "id", "left_semi")
+    sets = of_touched.groupBy("id").agg(F.collect_list(F.struct("dimension", "category", "intensity", "author", "modified_at")).alias("labels"))  # one label a dimension
+    states = touched.join(sets, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast(sets.schema["labels"].dataType))).withColumnRenamed("image_path", "image")
+    turns = states.unionByName(c, allowMissingColumns=True).repartition("image").sortWithinPartitions("image", F.asc_nulls_first("turn")).drop("turn")
+    columns = [x.split()[0] for x in _AFTER.split(", ")]
+    arrow = pa.schema([(n, t) for n, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.timestamp("us"), pa.bool_(), pa.string(), pa.string(), pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, state = None, _Image()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["image"] != image:
+                    out += state.rows(image)
+                    image, state = row["image"], _Image()
+                if row["mode"] is None:
+                    state.store(row)
+                else:
+                    state.run(row)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), arrow.types)], schema=arrow) if out else pa.RecordBatch.from_pylist([], arrow)
+        out = list(state.rows(image))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    after = stage(turns.mapInArrow(run, _AFTER), "after")
     start = samples.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = with_position(new, ["image", "region_id"], "id").withColumn("id", F.col("id") + 1 + F.lit(start))
-    added = new.select("id", F.col("image").alias("image_path"), "region_id", F.when(F.col("mode") == CREATE, F.col("region")).alias("region"), "author", F.when(F.col("mode") == CREATE, F.col("modified_at")).alias("modified_at"))
-
-    updates = known.where((F.col("mode") == UPDATE) & F.col("sample_id").isNotNull()).select(F.col("sample_id").alias("id"), F.col("region").alias("_r"), F.col("author").alias("_a"), F.col("modified_at").alias("_m"), F.lit(True).alias("_u"))
-    removed = known.where(F.col("mode") == DELETE).select(F.col("sample_id").alias("id")).where("id is not null")
-    kept = samples.join(removed, "id", "left_anti").join(updates, "id", "left")
-    pick = lambda new, old: F.when(F.col("_u"), F.col(new)).otherwise(F.col(old)).alias(old)
-    kept = kept.select("id", "image_path", "region_id", pick("_r", "region"), pick("_a", "author"), pick("_m", "modified_at"))
-    samples_after = kept.unionByName(added)
-
-    ids = known.where(F.col("mode").isin(UPDATE, WHOLE_IMAGE) & F.col("sample_id").isNotNull())
-    ids = ids.unionByName(fresh.unionByName(whole_new).join(new.select("image", "region_id", F.col("id").alias("sample_id")), ["image", "region_id"]), allowMissingColumns=True)
-    edits = ids.select("sample_id", "dimension", "category", "intensity", "author", "modified_at")
-    remaining = labels.join(removed.withColumnRenamed("id", "sample_id"), "sample_id", "left_anti").join(edits.select("sample_id", "dimension"), ["sample_id", "dimension"], "left_anti")
-    return samples_after, remaining.select("sample_id", "dimension", "category", "intensity", "author", "modified_at").unionByName(edits.where(F.coalesce("category", F.lit("")) != ""))
+    new = with_position(after.where("id is null and not label").select("image", "fresh"), ["image", "fresh"], "new").withColumn("new", F.col("new") + 1 + F.lit(start))
+    after = after.join(new, ["image", "fresh"], "left").withColumn("id", F.coalesce("id", "new"))
+    kept = samples.join(named, samples.image_path == named.image, "left_anti")
+    changed = after.where("not label").select("id", F.col("image").alias("image_path"), "region_id", "region", "author", "modified_at")
+    fields = labels.columns
+    others = labels.join(touched.select(F.col("id").alias("sample_id")), "sample_id", "left_anti")
+    return kept.unionByName(changed), others.unionByName(after.where("label").withColumnRenamed("id", "sample_id").select(*fields))
 
 
 def merge_stores(samples: DataFrame, labels: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -267,14 +345,32 @@ def max_edit_time(rows: DataFrame) -> DataFrame:
     return rows.groupBy("video", "frame_us").agg(F.coalesce(F.max(F.timestamp_seconds("edittime")), F.to_timestamp(F.lit(EPOCH_MISSING))).alias("edited_at"))
 
 
+def newer_frames(target: DataFrame, source: DataFrame) -> DataFrame:
+    """(video, frame_us) of the frames that a merge takes from ``source``; their number is what it reports."""
+    time = lambda rows, name: max_edit_time(rows).withColumnRenamed("edited_at", name)
+    both = time(source, "s").join(time(target, "t"), ["video", "frame_us"], "left")
+    return both.where(F.col("s") > F.coalesce("t", F.to_timestamp(F.lit(EPOCH_MISSING)))).select("video", "frame_us")
+
+
+def find_frames(frame_table: DataFrame, times: DataFrame) -> DataFrame:
+    """(video, frame_us, found, position) of each wanted (video, frame_us), once: whether there is a frame of that very time, and
+    the number of frames of the video before it, which is where one would be put in."""
+    frame = frame_table.select("video", "frame_us").distinct().withColumn("_n", F.lit(1)).withColumn("_wanted", F.lit(0))
+    wanted = times.select("video", "frame_us").distinct().withColumn("_n", F.lit(0)).withColumn("_wanted", F.lit(1))
+    every = frame.unionByName(wanted).groupBy("video", "frame_us").agg(F.max("_n").alias("_n"), F.max("_wanted").alias("_wanted"))
+    before = F.sum("_n").over(W.partitionBy("video").orderBy("frame_us").rowsBetween(W.unboundedPreceding, -1))
+    placed = every.withColumn("position", F.coalesce(before, F.lit(0)).cast("bigint"))
+    return placed.where("_wanted = 1").select("video", "frame_us", (F.col("_n") == 1).alias("found"), "position")
+
+
 def merge_frames(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Frames of ``target``, replaced where ``source`` is strictly newer, with frames only ``source`` has; empty frames drop out.
+    """Frames of ``target``, replaced where ``source`` is strictly newer, with newer frames only ``source`` has; empty frames drop out.
 
-    Both are one row per label. A column ``origin`` tells where a frame's labels come from.
+    Both are one row per label. A frame without edit times is as old as one edited at EPOCH_MISSING, and so is a frame that
+    ``target`` lacks: it stays empty unless the source's is newer. A column ``origin`` tells where a frame's labels come from.
     """
     at = ["video", "frame_us"]
-    time = lambda rows, name: max_edit_time(rows).withColumnRenamed("edited_at", name)
-    newer = time(source, "s").join(time(target, "t"), at, "left").where(F.col("t").isNull() | (F.col("s") > F.col("t"))).select(*at)
+    newer = newer_frames(target, source)
     kept = target.join(newer, at, "left_anti").withColumn("origin", F.lit("target"))
     return kept.unionByName(source.join(newer, at, "left_semi").withColumn("origin", F.lit("source")))
 

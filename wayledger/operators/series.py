@@ -1,7 +1,7 @@
 """Tracks and other ordered series: as-of interpolation, speeds, sampling, filters, smoothing, simplification.
 
-Everything is partitioned by track, so tracks run in parallel; built-in windows serve what they can, and
-state machines fold over one track's points in order, a batch at a time.
+Everything is partitioned by track, so tracks run in parallel; what needs only neighbouring points cuts long tracks in time.
+State machines and filters with memory fold over one track's points in order, a batch at a time: such a track is one task's work by nature.
 """
 
 from __future__ import annotations
@@ -15,16 +15,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayledger.runtime import stage
+
+
 def clean_track(points: DataFrame, track: str = "track_id", t: str = "dt", values: tuple[str, ...] = ("lon", "lat")) -> DataFrame:
     """(track, t, values): one point per time, the mean of those that share it; nulls drop out."""
     return points.where(F.col(t).isNotNull() & F.col(track).isNotNull()).groupBy(track, t).agg(*[F.avg(v).alias(v) for v in values])
 
 
+PIECE_ROWS = 1_000_000  # points of a track that one task may sort; longer tracks are cut in time
+PIECES = 10_000  # pieces that all tracks together are cut into at most, so their bounds are small
+
+
+def pieces(points: DataFrame, track: str, t: str) -> DataFrame | None:
+    """(track, bounds): the times at which tracks that are too long for one task are cut; None if there are none.
+
+    A track is too long with more than PIECE_ROWS points and more than a PIECES-th of all points. The percentiles are
+    exact to a tenth of a piece.
+    """
+    sizes = points.groupBy(track).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    limit = max(PIECE_ROWS, total // PIECES)
+    if total <= limit:
+        return None
+    long = [r._n for r in sizes.where(F.col("_n") > limit).select("_n").collect()]  # no more than PIECES
+    if not long:
+        return None
+    bounds = None
+    step = 2
+    while step < 2 * -(-max(long) // limit):  # tracks of about as many pieces share a list of fractions
+        here = sizes.where((F.col("_n") > limit * (step // 2)) & (F.col("_n") <= limit * step)).select(track)
+        fractions = F.lit([k / step for k in range(1, step)])
+        some = points.join(F.broadcast(here), track).groupBy(track).agg(F.array_distinct(F.percentile_approx(F.col(t).cast("double"), fractions, F.lit(10 * PIECES))).alias("_bounds"))
+        bounds = some if bounds is None else bounds.unionByName(some)
+        step *= 2
+    return stage(bounds, "bounds")
+
+
+def _cut(points: DataFrame, bounds: DataFrame, track: str, t: str) -> DataFrame:
+    """``points`` with ``_piece``, the number of the piece of their track."""
+    cut = points.join(F.broadcast(bounds), track, "left")  # at most PIECES bounds
+    piece = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b < F.col(t)))
+    return cut.withColumn("_piece", piece).drop("_bounds")
+
+
+def with_neighbours(points: DataFrame, track: str, t: str, columns: tuple[str, ...], before: int = 1, after: int = 0) -> DataFrame:
+    """``points`` with ``_p1``, ``_p2``, ... and ``_n1``, ``_n2``, ...: structs of ``columns`` of the points before and after.
+
+    Times of a track are unique. Long tracks are cut in time and no task sorts a whole one: each
+    piece gets the last points of the one before it and the first of the one behind it.
+    """
+    value = F.struct(*columns)
+    names = [(f"_p{k}", F.lag, k) for k in range(1, before + 1)] + [(f"_n{k}", F.lead, k) for k in range(1, after + 1)]
+    bounds = pieces(points, track, t)
+    if bounds is None:
+        w = W.partitionBy(track).orderBy(t)
+        return points.withColumns({n: f(value, k).over(w) for n, f, k in names})
+    cut = _cut(points, bounds, track, t).withColumn("_own", F.lit(True))
+    # the ends of each piece go to the pieces next to it that are not empty: their numbers follow each other
+    ends = cut.groupBy(track, "_piece").agg(*[f.alias(n) for n, f in (("_first", F.min(t)), ("_last", F.max(t)))])
+    order = W.partitionBy(track).orderBy("_piece")
+    near = ends.select(track, "_piece", F.lag("_piece").over(order).alias("_to_before"), F.lead("_piece").over(order).alias("_to_after"))
+    edge = W.partitionBy(track, "_piece")
+    place = cut.withColumns({"_up": F.row_number().over(edge.orderBy(t)), "_down": F.row_number().over(edge.orderBy(F.desc(t)))})
+    lent = stage(place.where((F.col("_up") <= after) | (F.col("_down") <= before)), "edges").join(near, [track, "_piece"])
+    for_next = lent.where((F.col("_down") <= before) & F.col("_to_after").isNotNull()).withColumn("_piece", F.col("_to_after"))
+    for_last = lent.where((F.col("_up") <= after) & F.col("_to_before").isNotNull()).withColumn("_piece", F.col("_to_before"))
+    every = cut
+    for part in (for_next, for_last):
+        every = every.unionByName(part.select(*[c for c in cut.columns if c != "_own"], F.lit(False).alias("_own")))
+    w = W.partitionBy(track, "_piece").orderBy(t)
+    return every.withColumns({n: f(value, k).over(w) for n, f, k in names}).where("_own").drop("_own", "_piece")
+
+
 def segments(points: DataFrame, track: str, t: str, values: tuple[str, ...]) -> DataFrame:
     """(track, t1, t2, v1, v2 of each value) of successive points."""
-    w = W.partitionBy(track).orderBy(t)
-    pairs = points.select(track, F.col(t).alias("t1"), F.lead(t).over(w).alias("t2"), *[x for v in values for x in (F.col(v).alias(f"{v}1"), F.lead(v).over(w).alias(f"{v}2"))])
-    return pairs.where("t2 is not null")
+    near = with_neighbours(points.select(track, t, *values), track, t, (t, *values), before=0, after=1).where("_n1 is not null")
+    return near.select(track, F.col(t).alias("t1"), F.col("_n1")[t].alias("t2"), *[x for v in values for x in (F.col(v).alias(f"{v}1"), F.col("_n1")[v].alias(f"{v}2"))])
+
+
+def steps(points: DataFrame, track: str = "track_id", t: str = "dt", values: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """``points`` with ``d`` and the name of each value: its change since the point before; null at the first."""
+    near = with_neighbours(points, track, t, values)
+    return near.withColumns({f"d{v}": F.col(v) - F.col("_p1")[v] for v in values}).drop("_p1")
 
 
 def interpolate(points: DataFrame, times: DataFrame, track: str = "track_id", t: str = "dt", values: tuple[str, ...] = ("lon", "lat"), query: str = "qt") -> DataFrame:
@@ -41,9 +114,19 @@ def interpolate(points: DataFrame, times: DataFrame, track: str = "track_id", t:
     )
     at = F.when(F.col("_q") == 0, F.struct("_t", *values))
     # a query lies in the segment that ends at it: points of its very time count to the right
-    before = W.partitionBy(track).orderBy("_t", F.desc("_q")).rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(track).orderBy(F.desc("_t"), "_q").rowsBetween(W.unboundedPreceding, 0)
-    swept = both.select(track, "_t", "_q", F.last(at, ignorenulls=True).over(before).alias("l"), F.last(at, ignorenulls=True).over(after).alias("r")).where("_q = 1")
+    bounds = pieces(both, track, "_t")
+    key = [track] if bounds is None else [track, "_piece"]
+    if bounds is not None:
+        both = _cut(both, bounds, track, "_t")
+    before = W.partitionBy(*key).orderBy("_t", F.desc("_q")).rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(*key).orderBy(F.desc("_t"), "_q").rowsBetween(W.unboundedPreceding, 0)
+    swept = both.select(*key, "_t", "_q", F.last(at, ignorenulls=True).over(before).alias("l"), F.last(at, ignorenulls=True).over(after).alias("r")).where("_q = 1")
+    if bounds is not None:  # the nearest points of the pieces around
+        ends = both.groupBy(*key).agg(F.max_by(at, F.when(F.col("_q") == 0, F.col("_t"))).alias("_last"), F.min_by(at, F.when(F.col("_q") == 0, F.col("_t"))).alias("_first"))
+        order = W.partitionBy(track).orderBy("_piece")
+        left_of, right_of = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+        near = ends.select(*key, F.last("_last", ignorenulls=True).over(left_of).alias("_l"), F.first("_first", ignorenulls=True).over(right_of).alias("_r"))
+        swept = swept.join(near, key).withColumns({"l": F.coalesce("l", "_l"), "r": F.coalesce("r", "_r")})
     left, right = F.col("l"), F.col("r")
     share = (F.col("_t") - left["_t"]) / (right["_t"] - left["_t"])
     out = []
@@ -63,10 +146,11 @@ def sample_times(points: DataFrame, interval: float, track: str = "track_id", t:
 
 def speeds(points: DataFrame, track: str = "track_id", t: str = "dt", x: str = "x", y: str = "y") -> DataFrame:
     """(track, t, speed): length of the step to each point over its duration; the first point takes the second's."""
-    w = W.partitionBy(track).orderBy(t)
-    dx, dy, dt = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w), F.col(t) - F.lag(t).over(w)
-    raw = points.withColumn("_s", F.sqrt(dx * dx + dy * dy) / dt).withColumn("_n", F.row_number().over(w))
-    return raw.select(track, t, F.when(F.col("_n") == 1, F.lead("_s").over(w)).otherwise(F.col("_s")).alias("speed"))
+    near = with_neighbours(points.select(track, t, x, y), track, t, (t, x, y), before=1, after=1)
+    own = F.struct(t, x, y)
+    a, b = F.coalesce("_p1", own), F.when(F.col("_p1").isNull(), F.col("_n1")).otherwise(own)
+    dx, dy, dt = b[x] - a[x], b[y] - a[y], b[t] - a[t]
+    return near.select(track, t, (F.sqrt(dx * dx + dy * dy) / dt).alias("speed"))
 
 
 def concatenate(points: DataFrame, recordings: DataFrame, track: str = "track_id", t: str = "dt") -> DataFrame:
@@ -249,7 +333,8 @@ def motion_step(s: Motion, row, t: str, dx: str, dy: str, diff: str, ahead: floa
     stopped, straight = size < 3.0, abs(math.degrees(math.atan2(y, x)) - ahead) < window
     did = False
     if s.frame == 0:
-        s.direction, s.bias, s.diff = unit, (x, y), d
+        # a first frame off the expected direction sets none
+        s.direction, s.bias, s.diff = unit if straight else (0.0, 0.0), (x, y), d
     else:
         if s.until_check <= 0 or s.resync:
             s.until_check = interval
@@ -310,19 +395,53 @@ def _keep_simplified(xy: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(points: DataFrame, tolerance: float, track: str = "track_id", t: str = "dt", x: str = "x", y: str = "y", piece: int = 500_000) -> DataFrame:
-    """The points of each track that stay when it is simplified to within ``tolerance``.
+def simplify(points: DataFrame, tolerance: float, track: str = "track_id", t: str = "dt", x: str = "x", y: str = "y", piece: int = PIECE_ROWS) -> DataFrame:
+    """The points of each track that stay when it is simplified to within ``tolerance`` (Ramer-Douglas-Peucker).
 
-    Of tracks with more than ``piece`` points, pieces of that length are simplified, and their ends stay.
+    A track of up to ``piece`` points is one task's work. Longer ones are split where the method splits them: the farthest
+    point of an open segment is found by an aggregation, until no segment is longer. So the result does not depend on ``piece``.
+    Times of a track are unique.
     """
     points = points.select(track, t, x, y)
-    cut = points.withColumn("_piece", F.floor((F.row_number().over(W.partitionBy(track).orderBy(t)) - 1) / piece))
+    schema = points.schema
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         p = part.sort_values(t, kind="stable")
-        return p[_keep_simplified(p[[x, y]].to_numpy(float), tolerance)].drop(columns="_piece")
-
-    return cut.groupBy(track, "_piece").applyInPandas(run, points.schema)
+        return p[_keep_simplified(p[[x, y]].to_numpy(float), tolerance)][[track, t, x, y]]
+
+    if points.groupBy(track).count().where(F.col("count") > piece).isEmpty():
+        return points.groupBy(track).applyInPandas(run, schema)
+
+    open_, kept = stage(points.withColumn("_from", F.lit(None).cast(schema[t].dataType)), "open"), None
+    while True:
+        key = [track, "_from"]  # a segment is named by its first time; its ends are in it
+        ends = open_.groupBy(*key).agg(F.count("*").alias("_n"), F.min_by(F.struct(x, y), t).alias("_a"), F.max_by(F.struct(x, y), t).alias("_b"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+        ends = stage(ends.withColumnRenamed(track, "_track").withColumnRenamed("_from", "_seg"), "ends")
+        same = open_[track].eqNullSafe(ends._track) & open_["_from"].eqNullSafe(ends._seg)
+        if ends.where(F.col("_n") > piece).isEmpty():
+            break
+        small = ends.where(F.col("_n") <= piece)
+        done = open_.join(small, same, "left_semi")
+        rows = open_.join(ends.where(F.col("_n") > piece), same)
+        ax, ay, bx, by = F.col("_a")[x], F.col("_a")[y], F.col("_b")[x], F.col("_b")[y]
+        length = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
+        along = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col(x) - ax) * (bx - ax) + (F.col(y) - ay) * (by - ay)) / length))).otherwise(0.0)
+        ox, oy = F.col(x) - ax - along * (bx - ax), F.col(y) - ay - along * (by - ay)
+        inner = F.when((F.col(t) > F.col("_t0")) & (F.col(t) < F.col("_t1")), ox * ox + oy * oy)
+        rows = rows.withColumn("_far", inner)
+        far = rows.groupBy(*key).agg(F.max(F.struct(F.coalesce("_far", F.lit(-1.0)).alias("d"), (-F.col(t)).alias("t"))).alias("_m"))
+        far = far.select(F.col(track).alias("_k"), F.col("_from").alias("_f"), F.col("_m.d").alias("_d"), (-F.col("_m.t")).alias("_at"))
+        rows = rows.join(far, rows[track].eqNullSafe(far._k) & rows["_from"].eqNullSafe(far._f)).drop("_k", "_f")
+        split = (F.col("_d") > 0) & (F.col("_d") >= F.lit(float(tolerance) ** 2))
+        at_end = (F.col(t) == F.col("_t0")) | (F.col(t) == F.col("_t1"))
+        flat = rows.where(~split & at_end).select(track, t, x, y)
+        kept = flat if kept is None else kept.unionByName(flat)
+        # the point of the split ends one half and begins the other
+        both = F.when(F.col(t) < F.col("_at"), F.array("_from")).when(F.col(t) > F.col("_at"), F.array("_at")).otherwise(F.array("_from", "_at"))
+        halves = rows.where(split).withColumn("_next", F.explode(both)).select(track, t, x, y, F.col("_next").alias("_from"))
+        open_ = stage(halves.unionByName(done.select(*halves.columns)), "open")
+    rest = open_.groupBy(track, "_from").applyInPandas(run, schema)
+    return (rest if kept is None else rest.unionByName(kept)).distinct()
 
 
 def _control_points(p0: np.ndarray, p1: np.ndarray, p2: np.ndarray, smoothness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -353,9 +472,9 @@ def smooth(points: DataFrame, smoothness: float, increment: float, track: str =
 
     A segment's curve depends on the point before it and the one behind it only, so segments are rows and any task can do any.
     """
-    w = W.partitionBy(track).orderBy(t)
-    near = {f"{n}{i}": F.lead(c, i).over(w) if i > 0 else F.lag(c, -i).over(w) for n, c in (("x", x), ("y", y)) for i in (-1, 1, 2)}
-    rows = points.select(track, F.col(t).cast("double").alias("t0"), F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), F.lead(t).over(w).cast("double").alias("t1"), *[c.cast("double").alias(n.replace("-", "b")) for n, c in near.items()])
+    at = with_neighbours(points.select(track, t, x, y), track, t, (t, x, y), before=1, after=2)
+    near = {f"{n}{i}": F.col(where)[c] for n, c in (("x", x), ("y", y)) for i, where in (("b1", "_p1"), ("1", "_n1"), ("2", "_n2"))}
+    rows = at.select(track, F.col(t).cast("double").alias("t0"), F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), F.col("_n1")[t].cast("double").alias("t1"), *[c.cast("double").alias(n) for n, c in near.items()])
     schema = f"{track} {points.schema[track].dataType.simpleString()}, {t} double, {x} double, {y} double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -262,7 +265,7 @@ def max_edit_time(spark, d):
 _TWO = """
 t as (select * from f where hash_a % 3 <> 0), u as (select * from f where hash_a % 3 <> 1),
 tt as (select video, frame_us, coalesce(max(edittime), 946684800) as e from t group by all), ut as (select video, frame_us, coalesce(max(edittime), 946684800) as e from u group by all),
-newer as (select ut.video, ut.frame_us from ut left join tt using (video, frame_us) where tt.e is null or ut.e > tt.e)
+newer as (select ut.video, ut.frame_us from ut left join tt using (video, frame_us) where ut.e > coalesce(tt.e, 946684800))
 """
 
 
@@ -277,6 +280,30 @@ def merge_newer_wins(spark, d):
     return L.merge_frames(f.where("a % 3 <> 0"), f.where("a % 3 <> 1")).select("video", "frame_us", "class_name", "origin")
 
 
+@q("merge_replaced", f"with f as (select distinct *, coalesce(x1, 0) + coalesce(severity, 0) as hash_a from frame_label), {_TWO} select count(*) as n from newer")
+def merge_replaced(spark, d):
+    f = read(spark, d, "frame_label").distinct().withColumn("a", F.coalesce("x1", F.lit(0)) + F.coalesce("severity", F.lit(0)))
+    return L.newer_frames(f.where("a % 3 <> 0"), f.where("a % 3 <> 1")).agg(F.count("*").alias("n"))
+
+
+@q("find_frames", """with f as (select distinct video, frame_us from frame_label), w as (select video, frame_us from f union select video, frame_us + 1000 from f)
+select w.video, w.frame_us, bool_or(coalesce(f.frame_us = w.frame_us, false)) as found, count(*) filter (where f.frame_us < w.frame_us) as position from w left join f on f.video = w.video and f.frame_us <= w.frame_us group by all""")
+def find_frames(spark, d):
+    f = read(spark, d, "frame_label").select("video", "frame_us")
+    return L.find_frames(f, f.unionByName(f.withColumn("frame_us", F.col("frame_us") + 1000)))
+
+
+@q("set_label_turns")
+def set_label_turns(spark, d):
+    """(image_path, region_id, dimension, category, intensity) after commands on every sample, also those that claim a region twice: several in turn on each."""
+    s = stage(_samples(spark, d), "samples")
+    command = lambda n, region_id, region, dimension, category: s.where("image_path <> ''").select(F.col("image_path").alias("image"), region_id.alias("region_id"), F.lit(region).alias("region"), F.lit(dimension).alias("dimension"), F.lit(category).alias("category"), F.lit(None).cast("double").alias("intensity"), F.lit("tester").alias("author"), (F.lit("2024-07-01 00:00:00").cast("timestamp_ntz") + F.make_interval(secs=F.lit(n))).alias("modified_at"))
+    own, zero = F.col("region_id"), F.lit(0).cast("bigint")
+    turns = [command(1, own, "[[[1,1,9,1,9,9]]]", "rut_depth", "3"), command(2, zero, "", "lighting", "night").distinct(), command(3, zero, "[[[2,2,8,2,8,8]]]", "lighting", "day").distinct(), command(4, own, "", "rut_depth", ""), command(5, own, "[[[1,1,9,1,9,9]]]", "rut_depth", "4")]
+    after, labels = L.set_labels(s, stage(_labels(spark, d), "labels"), reduce(DataFrame.unionByName, turns).where("region_id is not null"))
+    return labels.join(after.select(F.col("id").alias("sample_id"), "image_path", "region_id"), "sample_id").drop("sample_id", "author", "modified_at")
+
+
 @q("label_predicates", f"with {_FRAMES} select video, frame_us, bool_or(class_name = 'map crack') as has, count(*) filter (where class_name <> 'map crack') as others, bool_or(x1 = 1327 and y1 = 602 and x2 = 1542 and y2 = 676) is true as found from f group by all")
 def label_predicates(spark, d):
     f = L.frames(read(spark, d, "frame_label"))

@@ -85,8 +85,7 @@ def timeline_concat(spark, d):
 
 @q("heading", f"with {_XY}, v as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from m window w as (partition by track_id order by dt)) select track_id, dt, round(degrees(atan2(dy, dx)), 2) as angle, sqrt(dx * dx + dy * dy) < 3 as stopped, abs(degrees(atan2(0 * dx - 1 * dy, dx))) > 10 as turned from v where dx is not null and abs(dx) + abs(dy) > 0.5")
 def heading(spark, d):
-    w = W.partitionBy("track_id").orderBy("dt")
-    v = _metric(spark, d).withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}).where("dx is not null and abs(dx) + abs(dy) > 0.5")
+    v = S.steps(_metric(spark, d)).where("dx is not null and abs(dx) + abs(dy) > 0.5")
     dx, dy = F.col("dx"), F.col("dy")
     return v.select("track_id", "dt", F.round(S.heading(dx, dy), 2).alias("angle"), S.is_stopped(dx, dy).alias("stopped"), S.deviates(dx, dy, F.lit(1.0), F.lit(0.0)).alias("turned"))
 
@@ -94,8 +93,7 @@ def heading(spark, d):
 @q("heading_all", f"with {_XY}, v as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from m window w as (partition by track_id order by dt)), z as (select *, abs(dx) + abs(dy) > 1e-3 as moves from v where dx is not null) select track_id, dt, case when moves then round(degrees(atan2(dy, dx)), 2) end as angle, sqrt(dx * dx + dy * dy) < 3 as stopped, case when moves then abs(degrees(atan2(0 * dx - 1 * dy, dx))) > 10 end as turned from z")
 def heading_all(spark, d):
     """Every step; one under a millimetre has no direction, so its angle and turn are null."""
-    w = W.partitionBy("track_id").orderBy("dt")
-    v = _metric(spark, d).withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}).where("dx is not null")
+    v = S.steps(_metric(spark, d)).where("dx is not null")
     dx, dy = F.col("dx"), F.col("dy")
     moves = F.abs(dx) + F.abs(dy) > 1e-3
     return v.select("track_id", "dt", F.when(moves, F.round(S.heading(dx, dy), 2)).alias("angle"), S.is_stopped(dx, dy).alias("stopped"), F.when(moves, S.deviates(dx, dy, F.lit(1.0), F.lit(0.0))).alias("turned"))
@@ -195,6 +193,5 @@ def emitted_frames(spark, d):
 
 @q("motion_state")
 def motion_state(spark, d):
-    w = W.partitionBy("track_id").orderBy("dt")
-    m = _metric(spark, d).withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}).where("dx is not null")
+    m = S.steps(_metric(spark, d)).where("dx is not null")
     return S.motion_state(m.withColumn("diff", F.abs("dx") + F.abs("dy")))
