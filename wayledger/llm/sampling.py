@@ -41,7 +41,7 @@ class ProportionalSample:
         self._names = [f"k{i}" for i in range(len(keys))]
         spelled = targets.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)], F.greatest(F.lit(0), F.coalesce(want, F.lit(0))).cast("bigint").alias("want"), *[term_column(F.col(k)).alias(n) for k, n in zip(keys, self._names)])
         self._targets = stage(spelled.distinct(), "targets")
-        self.wanted = stage(self._targets.dropna(subset=self._names).where("want > 0").groupBy(*self._names).agg(F.max("want").alias("want")), "wanted")
+        self.wanted = self._targets.dropna(subset=self._names).where("want > 0").groupBy(*self._names).agg(F.max("want").alias("want"))
         found = units.where(F.col("record").isNotNull()).join(self.wanted.select(*self._names), self._names, "left_semi").select(*self._names, "record").distinct()
         u = F.pmod(F.xxhash64(*self._names, "record", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
         self.pairs = stage(found.withColumn("u", u), "pairs")
@@ -70,7 +70,7 @@ class ProportionalSample:
             offered = stage(offered.join(stage(short, "short"), self._names, "left").withColumn("p", F.when(F.col("short"), F.least(F.lit(1.0), F.greatest(2 * F.col("p"), 1 / F.col("bins")))).otherwise(F.col("p"))).drop("short"), "offered")
         before = F.sum("n").over(W.partitionBy(*self._names).orderBy("bin")) - F.col("n")  # a category has no more rows than bins
         cuts = histogram.withColumn("rest", F.col("want") - before).where((F.col("rest") > 0) & (F.col("n") >= F.col("rest"))).select(*self._names, F.col("bin").alias("cut"), "rest")
-        judged = accepted.join(stage(cuts, "cuts"), self._names, "left")
+        judged = accepted.join(cuts, self._names, "left")
         below = judged.where(F.col("cut").isNull() | (F.col("bin") < F.col("cut"))).select(*self._names, "record")
         last = judged.where(F.col("bin") == F.col("cut")).withColumn("rank", F.row_number().over(W.partitionBy(*self._names).orderBy("u", "record")))
         return below.unionByName(last.where(F.col("rank") <= F.col("rest")).select(*self._names, "record"))
