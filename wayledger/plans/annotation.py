@@ -54,7 +54,13 @@ def labels_of_dimension(spark, d):
     return L.get_labels(_samples(spark, d), _labels(spark, d), dimension="rut_depth")
 
 
-@q("labels_json")
+@q(
+    "labels_json",
+    f"""with {_S}, flat as (select image_path, region_id, region, dimension, category, intensity from s join l on l.sample_id = s.id),
+each as (select image_path, region_id, dimension, max(region) as region, first(category order by category desc nulls last, intensity desc nulls last) as category, first(intensity order by category desc nulls last, intensity desc nulls last) as intensity from flat group by all),
+body as (select image_path, region_id, max(region) as region, string_agg(to_json(dimension)::varchar || ':{{"category":' || to_json(category)::varchar || coalesce(',"intensity":' || to_json(intensity)::varchar, '') || '}}', ',' order by dimension) as dims from each group by image_path, region_id)
+select image_path, region_id, '{{' || case when region <> '' then '"region":' || to_json(region)::varchar || ',' else '' end || '"dims":{{' || dims || '}}}}' as body from body""",
+)
 def labels_json(spark, d):
     return L.labels_json(L.get_labels(_samples(spark, d), _labels(spark, d)))
 
@@ -84,7 +90,12 @@ def author_report(spark, d):
     return L.author_report(_labels(spark, d))
 
 
-@q("report_json")
+@q(
+    "report_json",
+    f"""with {_S}, n as (select dimension, category, count(*) as n from l group by all), d as (select dimension, string_agg(to_json(category)::varchar || ':{{"count":' || n || '}}', ',' order by category) as c from n group by dimension),
+a as (select coalesce(author, '') as author, count(*) as n from l group by all)
+select '{{"dimensions":{{' || (select string_agg(to_json(dimension)::varchar || ':{{' || c || '}}', ',' order by dimension) from d) || '}},"authors":{{' || (select string_agg(to_json(author)::varchar || ':{{"count":' || n || '}}', ',' order by author) from a) || '}}}}' as report""",
+)
 def report_json(spark, d):
     return L.report_json(_labels(spark, d))
 

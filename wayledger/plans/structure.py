@@ -51,9 +51,16 @@ def speeds_csv(spark, d):
     return tracks.speeds_csv(read(spark, d, "track_point").where("speed is not null and dt is not null"), "dt")
 
 
-@q("sections_geojson")
+@q(
+    "sections_geojson",
+    """with t as (select track_id, dt, first(lon order by lon, lat) as lon, first(lat order by lon, lat) as lat from track_point where dt is not null and track_id is not null and lon <> 0 and lat is not null group by track_id, dt),
+n as (select *, row_number() over (partition by track_id order by dt) - 1 as i from t), x as (select track_id, dt, lon, lat, i // 20 as section from n union all select track_id, dt, lon, lat, i // 20 - 1 from n where i % 20 = 0 and i > 0)
+select track_id, section, '{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":[' || string_agg('[' || lon || ',' || lat || ']', ',' order by dt) || ']}}' as feature from x group by track_id, section""",
+)
 def sections_geojson(spark, d):
-    return tracks.sections_geojson(read(spark, d, "track_point").where("lon <> 0").dropDuplicates(["track_id", "dt"]))
+    """Sections of the tracks with one point a time, the least of those that share it."""
+    points = read(spark, d, "track_point").where("dt is not null and track_id is not null and lon <> 0 and lat is not null")
+    return tracks.sections_geojson(points.groupBy("track_id", "dt").agg(F.min(F.struct("lon", "lat")).alias("p")).select("track_id", "dt", "p.lon", "p.lat"))
 
 
 @q("point_wkt", "select distinct track_id, dt, printf('POINT(%.6f %.6f)', lon, lat) as wkt from track_point where lon is not null and lat is not null")

@@ -97,8 +97,14 @@ def local_path(path: str) -> str:
     return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
 
 
+def tables(path: str) -> list[str]:
+    """The tables of a folder, or the one a path names."""
+    return sorted(f"{path}/{n}" for n in os.listdir(path) if n.lower().endswith(".dbf")) if os.path.isdir(path) else [path]
+
+
 @dataclass
 class Range(InputPartition):
+    path: str
     first: int
     last: int
 
@@ -111,7 +117,8 @@ class DbfSource(DataSource):
         return "dbf"
 
     def schema(self) -> T.StructType:
-        return read_header(local_path(self.options["path"])).schema()
+        found = tables(local_path(self.options["path"]))
+        return read_header(found[0]).schema() if found else T.StructType()
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return DbfReader(local_path(self.options["path"]), schema)
@@ -125,13 +132,15 @@ class DbfReader(DataSourceReader):
         self.path, self.names = path, schema.fieldNames()
 
     def partitions(self) -> list[Range]:
-        n = read_header(self.path).records
-        return [Range(i, min(n, i + RECORDS)) for i in range(0, max(n, 1), RECORDS)]
+        sizes = {p: read_header(p).records for p in tables(self.path)}
+        return [Range(p, i, min(n, i + RECORDS)) for p, n in sizes.items() for i in range(0, max(n, 1), RECORDS)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        header = read_header(self.path)
+        if not partition.path:
+            return
+        header = read_header(partition.path)
         at = [[f.name for f in header.fields].index(n) for n in self.names]
-        for row in read_records(self.path, header, partition.first, partition.last):
+        for row in read_records(partition.path, header, partition.first, partition.last):
             yield tuple(row[i] for i in at)
 
 

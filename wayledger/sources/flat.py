@@ -98,7 +98,7 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None, infer
 
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
     """With a header; cells with the separator, quotes or line ends are quoted."""
-    df.write.csv(path, sep=separator, header=True, quote='"', escape='"', emptyValue="")
+    df.write.csv(path, sep=separator, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def encode_cell(c: Column) -> Column:

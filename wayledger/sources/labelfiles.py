@@ -23,12 +23,22 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     """
     raw = spark.read.schema(_FRAME).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     time = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).try_cast("bigint")
+    return raw.select(time.alias("time"), _labels_of(F.col("labels"), F.col("edittime")).alias("labels")).where("time is not null").orderBy("time")
+
+
+def parse_frame(body: Column) -> Column:
+    """The labels of the text of a frame's file."""
+    frame = F.from_json(body, _FRAME)
+    return _labels_of(frame["labels"], frame["edittime"])
+
+
+def _labels_of(labels: Column, edittime: Column) -> Column:
     label = lambda x: F.struct(
         F.transform(x["classes"], lambda c: F.struct(c[0].alias("class"), F.try_element_at(c, F.lit(2)).try_cast("int").alias("severity"))).alias("classes"),
-        x["labeler"].alias("labeler"), F.coalesce(x["edittime"], F.col("edittime")).alias("edittime"),
+        x["labeler"].alias("labeler"), F.coalesce(x["edittime"], edittime).alias("edittime"),
         F.when(x["rect"]["x2"] != x["rect"]["x1"], x["rect"]).alias("rect"), F.when(F.size(x["poly"]) >= 6, x["poly"]).alias("poly"),
     )
-    return raw.select(time.alias("time"), F.transform("labels", label).alias("labels")).where("time is not null").orderBy("time")
+    return F.transform(labels, label)
 
 
 def frame_json(labels: Column) -> Column:

@@ -32,7 +32,7 @@ def speeds_json(points: DataFrame, track: str, start_ms: str, t: str = "t", spee
 def read_speeds(spark: SparkSession, path: str) -> DataFrame:
     """(file, time, t, speed) of JSON files {"time", "speeds": [[t, v], ...]}."""
     rows = spark.read.schema("time bigint, speeds array<array<double>>").option("multiLine", True).json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "time", F.explode("speeds").alias("p")).select("file", "time", F.col("p")[0].alias("t"), F.col("p")[1].alias("speed"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), "time", F.explode("speeds").alias("p")).select("file", "time", F.get("p", F.lit(0)).alias("t"), F.get("p", F.lit(1)).alias("speed"))
 
 
 def sections(points: DataFrame, size: int = 20, track: str = "track_id", t: str = "dt", shared: bool = True) -> DataFrame:
