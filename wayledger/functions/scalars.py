@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import mimetypes
 import re
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,7 +142,9 @@ MIME_TYPES = {
 
 
 def mime_type(path: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    """By the extension: the types above, then those that Python's library knows by itself."""
+    known = {e[1:]: t for e, t in mimetypes.MimeTypes(filenames=()).types_map[1].items()} | MIME_TYPES
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])  # folded to one constant
     return F.coalesce(F.try_element_at(table, F.lower(extension(path, dot=False))), F.lit("application/octet-stream"))
 
 
@@ -214,6 +219,53 @@ def json_valid(c: Column, schema: str, required: list[str]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _matches(value, schema: dict) -> bool:
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
+    if wanted := schema.get("type"):
+        names = [wanted] if isinstance(wanted, str) else wanted
+        if not any((isinstance(value, kinds[n]) or n == "integer" and isinstance(value, float) and value.is_integer()) and (n == "boolean" or not isinstance(value, bool)) for n in names):
+            return False
+    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+        return False
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+            return False
+    if isinstance(value, str):
+        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)) or not re.search(schema.get("pattern", ""), value):
+            return False
+    if isinstance(value, list):
+        if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", len(value)):
+            return False
+        return all(_matches(x, schema["items"]) for x in value) if "items" in schema else True
+    if isinstance(value, dict):
+        members = schema.get("properties", {})
+        other = schema.get("additionalProperties", True)
+        if any(r not in value for r in schema.get("required", ())) or other is False and any(k not in members for k in value):
+            return False
+        rest = other if isinstance(other, dict) else {}
+        return all(_matches(x, members.get(k, rest)) for k, x in value.items())
+    return True
+
+
+def json_matches(c: Column, schema: dict) -> Column:
+    """Whether a JSON text satisfies a JSON Schema: types, members, required ones, items, limits, patterns, enumerations.
+
+    A text that does not parse does not; null stays null.
+    """
+
+    @F.arrow_udf(T.BooleanType())
+    def check(values: pa.Array) -> pa.Array:
+        out = []
+        for v in values.to_pylist():
+            try:
+                out.append(None if v is None else _matches(json.loads(v), schema))
+            except ValueError:
+                out.append(False)
+        return pa.array(out, pa.bool_())
+
+    return check(c)
+
+
 def xml_parse(c: Column, schema: str) -> Column:
     """A struct of the elements (and attributes, as _name) of an XML text; null members where they are missing."""
     return F.from_xml(c, schema)
@@ -300,6 +352,45 @@ def fnv1a(values: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+@F.arrow_udf(T.LongType())
+def xxh32(values: pa.Array) -> pa.Array:
+    """XXH32 of UTF-8 text."""
+    return pa.array([None if v is None else xxhash.xxh32_intdigest(v.encode()) for v in values.to_pylist()], pa.int64())
+
+
+def siphash24(data: bytes, key: bytes = bytes(16)) -> int:
+    """SipHash-2-4 of bytes under a 128-bit key, as an unsigned number."""
+    mask = (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> (64 - n)) & mask
+    k0, k1 = int.from_bytes(key[:8], "little"), int.from_bytes(key[8:], "little")
+    # the four words of "somepseudorandomlygeneratedbytes"
+    a, b, c, d = (int.from_bytes(w, "big") ^ k for w, k in zip((b"somepseu", b"dorandom", b"lygenera", b"tedbytes"), (k0, k1, k0, k1)))
+
+    def rounds(n: int) -> None:
+        nonlocal a, b, c, d
+        for _ in range(n):
+            a, c = (a + b) & mask, (c + d) & mask
+            b, d = turn(b, 13) ^ a, turn(d, 16) ^ c
+            a, c = turn(a, 32), (c + b) & mask
+            a, b = (a + d) & mask, turn(b, 17) ^ c
+            c, d = turn(c, 32), turn(d, 21) ^ a
+
+    for at in range(0, len(data) + 1, 8):
+        part = data[at : at + 8]
+        word = int.from_bytes(part, "little") | ((len(data) & 0xFF) << 56 if len(part) < 8 else 0)
+        d ^= word
+        rounds(2)
+        a ^= word
+    c ^= 0xFF
+    rounds(4)
+    return a ^ b ^ c ^ d
+
+
+def siphash(c: Column, key: bytes = bytes(16)) -> Column:
+    """SipHash-2-4 of UTF-8 text, as hex digits."""
+    return F.arrow_udf(lambda v: pa.array([None if x is None else f"{siphash24(x.encode(), key):016x}" for x in v.to_pylist()], pa.string()), T.StringType())(c)
+
+
 # --- colours --------------------------------------------------------------------------------------------------------
 
 

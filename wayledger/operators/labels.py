@@ -212,6 +212,11 @@ class _Image:
                 yield (*of, None, x["author"], x["modified_at"], True, x["dimension"], x["category"], x["intensity"])
 
 
+def _greatest_id(samples: DataFrame, labels: DataFrame) -> int:
+    ids = samples.agg(F.max("id").alias("id")).unionByName(labels.agg(F.max("sample_id").alias("id")))
+    return ids.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
 def set_labels(samples: DataFrame, labels: DataFrame, commands: DataFrame, order: tuple[str, ...] = ("modified_at",)) -> tuple[DataFrame, DataFrame]:
     """New (samples, labels) after good commands (image, region_id, region, dimension, category, intensity, author, modified_at).
 
@@ -219,7 +224,7 @@ def set_labels(samples: DataFrame, labels: DataFrame, commands: DataFrame, order
     update and delete, each by region and dimension. An empty category deletes the label; region modes are as in ``region_mode``. A new region takes the number after
     the greatest of its image at that moment. Commands on a region that is not there, or no more, change nothing.
     Where several samples claim a region, updates and deletes hit all of them, and the label goes to the one of the smallest id.
-    New samples take the ids after the greatest.
+    New samples take the ids after the greatest of samples and labels, so none takes over labels that lead nowhere.
 
     Only the images that the batch names are touched, each by one task; all others pass by.
     """
@@ -256,7 +261,7 @@ def set_labels(samples: DataFrame, labels: DataFrame, commands: DataFrame, order
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     after = stage(turns.mapInArrow(run, _AFTER), "after")
-    start = samples.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    start = _greatest_id(samples, labels)
     new = with_position(after.where("id is null and not label").select("image", "fresh"), ["image", "fresh"], "new").withColumn("new", F.col("new") + 1 + F.lit(start))
     after = after.join(new, ["image", "fresh"], "left").withColumn("id", F.coalesce("id", "new"))
     kept = samples.join(named, samples.image_path == named.image, "left_anti")
@@ -270,7 +275,7 @@ def merge_stores(samples: DataFrame, labels: DataFrame, source: DataFrame) -> tu
     """Labels of another store (image_path, dimension, category, author, modified_at) on whole images, with missing samples created."""
     whole = samples.where(F.col("region_id") == 0).groupBy("image_path").agg(F.min("id").alias("sample_id"))
     missing = source.join(whole, "image_path", "left_anti").groupBy("image_path").agg(F.min("author").alias("author"))
-    top = samples.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = _greatest_id(samples, labels)
     created = with_position(missing, ["image_path"], "_at").select((F.col("_at") + 1 + F.lit(top)).alias("id"), "image_path", "author")
     every = samples.unionByName(created.withColumn("region_id", F.lit(0).cast("long")), allowMissingColumns=True)
     ids = whole.unionByName(created.select("image_path", F.col("id").alias("sample_id")))

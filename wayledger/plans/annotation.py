@@ -135,10 +135,10 @@ def rect_check(spark, d):
 # commands of every mode, made from the store itself
 _COMMANDS = """
 c as (
-  select image_path as image, region_id, '' as region, 'rut_depth' as dimension, '' as category, null::double as intensity, 'tester' as author from s where region_id <> 0 and id % 40 = 0 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id))
-  union all select image_path, region_id, '[[[1,1,9,1,9,9]]]', 'rut_depth', '3', 1.5, 'tester' from s where region_id <> 0 and id % 40 = 1 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id))
-  union all select distinct image_path, 0, '', 'lighting', 'night', null::double, 'tester' from s where id % 40 = 2 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id))
-  union all select image_path, 0, '[[[2,2,8,2,8,8]]]', 'lighting', 'day', 0.5, 'tester' from s where region_id = 1 and id % 40 = 3 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id)))
+  select image_path as image, region_id, '' as region, 'rut_depth' as dimension, '' as category, null::double as intensity, 'tester' as author from s where region_id <> 0 and id % 4 = 0 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id))
+  union all select image_path, region_id, '[[[1,1,9,1,9,9]]]', 'rut_depth', '3', 1.5, 'tester' from s where region_id <> 0 and id % 4 = 1 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id))
+  union all select distinct image_path, 0, '', 'lighting', 'night', null::double, 'tester' from s where id % 4 = 2 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id))
+  union all select image_path, 0, '[[[2,2,8,2,8,8]]]', 'lighting', 'day', 0.5, 'tester' from s where region_id = 1 and id % 4 = 3 and image_path in (select image_path from s group by image_path having count(*) = count(distinct region_id)))
 """
 
 
@@ -151,10 +151,10 @@ def _commands(s):
 
     zero = F.lit(0).cast("bigint")
     return (
-        part("region_id <> 0 and id % 40 = 0", F.col("region_id"), "", "rut_depth", "", None)
-        .unionByName(part("region_id <> 0 and id % 40 = 1", F.col("region_id"), "[[[1,1,9,1,9,9]]]", "rut_depth", "3", 1.5))
-        .unionByName(part("id % 40 = 2", zero, "", "lighting", "night", None).distinct())
-        .unionByName(part("region_id = 1 and id % 40 = 3", zero, "[[[2,2,8,2,8,8]]]", "lighting", "day", 0.5))
+        part("region_id <> 0 and id % 4 = 0", F.col("region_id"), "", "rut_depth", "", None)
+        .unionByName(part("region_id <> 0 and id % 4 = 1", F.col("region_id"), "[[[1,1,9,1,9,9]]]", "rut_depth", "3", 1.5))
+        .unionByName(part("id % 4 = 2", zero, "", "lighting", "night", None).distinct())
+        .unionByName(part("region_id = 1 and id % 4 = 3", zero, "[[[2,2,8,2,8,8]]]", "lighting", "day", 0.5))
     )
 
 

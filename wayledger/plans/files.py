@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wayledger.functions import codecs, wkt
+from wayledger.functions import codecs, projections, scalars, wkt
 from wayledger.operators import labels as L
 from wayledger.plans import expression as X
 from wayledger.plans import schema
@@ -203,3 +203,39 @@ def table_fields(spark, d):
 def connections(spark, d):
     c = connection("postgres:db.example:5432:roads:me:secret")
     return spark.createDataFrame([tuple(c.get(k) for k in ("driver", "host", "port", "database", "user"))], "driver string, host string, port int, database string, user string")
+
+
+def _utm_sql(srid: int, lon: str, lat: str) -> tuple[str, str, str]:
+    """Columns of the steps, east and north of a zone, of degrees."""
+    c, p = projections.crs_of(srid), projections
+    steps = f"sinh(atanh(sin(radians({lat}))) - {p._E!r} * atanh({p._E!r} * sin(radians({lat})))) as t, radians({lon} - {c.meridian}) as d"
+    xi, eta = "atan2(t, cos(d))", "atanh(sin(d) / sqrt(1 + t * t))"
+    east = " + ".join([eta, *(f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(p._ALPHA, 1))])
+    north = " + ".join([xi, *(f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(p._ALPHA, 1))])
+    return steps, f"{c.scale * p._A!r} * ({east}) + {c.east}", f"{c.scale * p._A!r} * ({north}) + {c.north}"
+
+
+_STEPS, _EAST, _NORTH = _utm_sql(32734, "lon", "lat")
+
+
+@q("utm_positions", f"with p as (select distinct lon, lat from track_point where lon > 3 and lat is not null), s as (select *, {_STEPS} from p) select lon, lat, round({_EAST}, 3) as x, round({_NORTH}, 3) as y, round(lon, 7) as lon_back, round(lat, 7) as lat_back from s")
+def utm_positions(spark, d):
+    """Positions in a zone of Universal Transverse Mercator, and back from there. Those at lon 0 are beyond what the series is good for."""
+    p = read(spark, d, "track_point").where("lon > 3 and lat is not null").select("lon", "lat").distinct()
+    there = p.withColumn("p", projections.reproject(F.col("lon"), F.col("lat"), 4326, 32734))
+    back = projections.reproject(F.col("p.x"), F.col("p.y"), 32734, 4326)
+    return there.select("lon", "lat", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), F.round(back["x"], 7).alias("lon_back"), F.round(back["y"], 7).alias("lat_back"))
+
+
+@q("coordinate_systems", "select 32600 + z as srid, z * 6.0 - 183 as meridian from range(1, 61) t(z) union all select 32700 + z, z * 6.0 - 183 from range(1, 61) t(z) union all select 2046 + i, 15.0 + 2 * i from range(10) t(i)")
+def coordinate_systems(spark, d):
+    """Each known transverse system found again by its text."""
+    known = [*range(32601, 32661), *range(32701, 32761), *range(2046, 2056)]
+    rows = [(projections.srid_of_text(projections.crs_of(n).text()), projections.crs_of(n).meridian) for n in known]
+    return spark.createDataFrame(rows, "srid long, meridian double")
+
+
+@q("json_schema", "select event_id, coalesce((props->>'$.k')::int between 10 and 60, false) as ok from events")
+def json_schema(spark, d):
+    wanted = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 60}}}
+    return read(spark, d, "events").select("event_id", scalars.json_matches(F.col("props"), wanted).alias("ok"))

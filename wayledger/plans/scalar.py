@@ -48,11 +48,6 @@ def int_base(spark, d):
     return read(spark, d, "orders").select("o_orderkey", F.conv(_c("o_orderkey").cast("string"), 10, 16).alias("h"), F.conv(_c("o_orderkey").cast("string"), 10, 2).alias("b"))
 
 
-@q("url_codec", "select distinct image_path, url_encode(image_path) as encoded, image_path as back from sample where image_path not like '%\\%%' escape '\\'")
-def url_codec(spark, d):
-    e = S.url_encode(_c("image_path"))
-    return read(spark, d, "sample").where(~_c("image_path").contains("%")).select("image_path", e.alias("encoded"), S.url_decode(e).alias("back")).distinct()
-
 
 @q("url_codec_all", "select distinct image_path, url_encode(image_path) as encoded, image_path as back from sample")
 def url_codec_all(spark, d):

@@ -336,7 +336,7 @@ def diff(old: Schema, new: Schema) -> list[Change]:
     out += [Change("drop table", n) for n in sorted(old.tables.keys() - new.tables.keys())]
     for name in sorted(new.tables.keys() & old.tables.keys()):
         a, b = old.tables[name], new.tables[name]
-        out += [Change("drop index", name, i.describe()) for i in a.indexes if not any(i.same(j) for j in b.indexes)]
+        out += [Change("drop index", name, i.describe(), i) for i in a.indexes if not any(i.same(j) for j in b.indexes)]
         renamed = set()
         for f in b.fields:
             before = a.field(f.name) or (a.by_title(f.title) if f.title else None)
@@ -360,8 +360,29 @@ def create_table(x: Table) -> str:
     return f"CREATE TABLE `{x.name}` ({columns}) USING parquet"
 
 
+def index_ddl(changes: list[Change], dialect: str = "postgres") -> list[str]:
+    """Statements of the indexes that changes create or drop, for databases that have indexes."""
+    from wayledger.plans.dialects import DIALECTS
+
+    quoted = lambda *parts: DIALECTS[dialect].identifier(parts)
+    out = []
+    for c in changes:
+        index = c.new if c.kind in ("create index", "drop index") else None
+        if index is None:
+            continue
+        table, name = quoted(c.table), quoted(index.name or "_".join(("idx", c.table, *index.fields)))
+        fields = ", ".join(quoted(f) for f in index.fields)
+        if c.kind == "drop index":
+            out.append(f"ALTER TABLE {table} DROP CONSTRAINT {name}" if index.primary else f"DROP INDEX {name}")
+        elif index.primary:
+            out.append(f"ALTER TABLE {table} ADD CONSTRAINT {name} PRIMARY KEY ({fields})")
+        else:
+            out.append(f"CREATE {'UNIQUE ' if index.unique else ''}INDEX {name} ON {table} ({fields})")
+    return out
+
+
 def ddl(changes: list[Change]) -> list[str]:
-    """Spark statements of changes. Indexes have none; renames, type changes and drops need a table format that allows them."""
+    """Spark statements of changes. Indexes have none (see ``index_ddl``); renames, type changes and drops need a table format that allows them."""
     make: dict[str, Callable[[Change], str]] = {
         "create space": lambda c: f"CREATE DATABASE `{c.table}`",
         "drop space": lambda c: f"DROP DATABASE `{c.table}`",

@@ -83,12 +83,6 @@ def timeline_concat(spark, d):
     return S.concatenate(t, recordings).select("track_id", *_r("dt", digits=3))
 
 
-@q("heading", f"with {_XY}, v as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from m window w as (partition by track_id order by dt)) select track_id, dt, round(degrees(atan2(dy, dx)), 2) as angle, sqrt(dx * dx + dy * dy) < 3 as stopped, abs(degrees(atan2(0 * dx - 1 * dy, dx))) > 10 as turned from v where dx is not null and abs(dx) + abs(dy) > 0.5")
-def heading(spark, d):
-    v = S.steps(_metric(spark, d)).where("dx is not null and abs(dx) + abs(dy) > 0.5")
-    dx, dy = F.col("dx"), F.col("dy")
-    return v.select("track_id", "dt", F.round(S.heading(dx, dy), 2).alias("angle"), S.is_stopped(dx, dy).alias("stopped"), S.deviates(dx, dy, F.lit(1.0), F.lit(0.0)).alias("turned"))
-
 
 @q("heading_all", f"with {_XY}, v as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from m window w as (partition by track_id order by dt)), z as (select *, abs(dx) + abs(dy) > 1e-3 as moves from v where dx is not null) select track_id, dt, case when moves then round(degrees(atan2(dy, dx)), 2) end as angle, sqrt(dx * dx + dy * dy) < 3 as stopped, case when moves then abs(degrees(atan2(0 * dx - 1 * dy, dx))) > 10 end as turned from z")
 def heading_all(spark, d):
@@ -148,10 +142,6 @@ def mean_var(spark, d):
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.var_samp("l_quantity"), 4).alias("variance"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
-@q("track_bounds", f"with {_T} select track_id, min(lon) as x1, min(lat) as y1, max(lon) as x2, max(lat) as y2 from t where lon = round(lon, 6) group by all")
-def track_bounds(spark, d):
-    return _track(spark, d).where(F.col("lon") == F.round("lon", 6)).groupBy("track_id").agg(F.min("lon").alias("x1"), F.min("lat").alias("y1"), F.max("lon").alias("x2"), F.max("lat").alias("y2"))
-
 
 @q("track_bounds_all", f"with {_T} select track_id, round(min(lon), 8) as x1, round(min(lat), 8) as y1, round(max(lon), 8) as x2, round(max(lat), 8) as y2 from t group by all")
 def track_bounds_all(spark, d):
