@@ -90,7 +90,7 @@ def test_job_survives_failure_and_repeats_nothing(spark, tmp_path):
     assert job.run(log(20), "loaded", lambda b: b.new, upper=D[12])["run"] == 2
     assert job.output().count() == 12
     job.clean()
-    assert job.output().count() == 12 and len(list((tmp_path / "job/data").iterdir())) == 3 and not list((tmp_path / "job/drafts").iterdir())
+    assert job.output().count() == 12 and len(list((tmp_path / "job/data").iterdir())) == 3 and len(list((tmp_path / "job/commits").glob("*.json"))) == 3
 
 
 def test_two_jobs_at_once_commit_once(spark, tmp_path):

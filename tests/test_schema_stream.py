@@ -128,6 +128,19 @@ def test_edit_stream(spark, tmp_path):
     assert sorted((r.image, r.value) for r in store.read("label").collect()) == [("a", "3"), ("b", "9")]
 
 
+def test_deltas_are_merged_and_compacted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    sink = jobs.apply_edits(store, "label", ["image", "dimension"], [F.col("at")], compact_after=2)
+    for n in range(6):
+        sink(spark.createDataFrame([("a", "d", str(n), n), (f"i{n}", "d", "x", n)], EDIT), n)
+        assert {(r.image, r.value) for r in store.read("label").collect()} == {("a", str(n)), *((f"i{k}", "x") for k in range(n + 1))}
+    assert len(store.deltas("label")) == 2 and len(store._names("log")) <= 4
+    with store.begin() as tx:
+        tx.truncate("label")
+        tx.commit()
+    assert store.read("label").count() == 0 and not store.deltas("label")
+
+
 def test_failed_batch_is_done_again(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([("a", "d", "1", 1)], EDIT)

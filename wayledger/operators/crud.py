@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from wayledger.runtime import put_new
+
 
 class RowCountError(ValueError):
     """More than one row where one was asked for."""
@@ -112,7 +115,11 @@ def error_kind(error: Exception) -> str:
 
 
 class Store:
-    """Tables in a folder. A transaction stages new versions; commit names them all in one renamed file."""
+    """Tables in a folder. A transaction stages new versions; commit names them all in one new file of the log.
+
+    A table may have deltas: rows of some keys that replace those of the table, the last delta first. They are merged when
+    the table is read, until ``compact`` writes it whole.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -120,32 +127,59 @@ class Store:
         self._path = lambda name: hadoop.Path(f"{self.root}/{name}")
         self._fs = hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[str]:
-        folder = self._path("log")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+    def _names(self, folder: str) -> list[str]:
+        there = self._path(folder)
+        return sorted(n for s in self._fs.listStatus(there) if (n := s.getPath().getName())[0] != ".") if self._fs.exists(there) else []
 
-    def tables(self) -> dict[str, str]:
-        """Folder of the current version of each table."""
-        log = self._versions()
-        if not log:
-            return {}
-        stream = self._fs.open(self._path(f"log/{log[-1]}"))
+    def _version(self, name: str) -> dict[str, str]:
+        stream = self._fs.open(self._path(f"log/{name}"))
         lines = bytes(stream.readAllBytes()).decode().splitlines()
         stream.close()
         return dict(line.split("\t") for line in lines)
 
+    def tables(self) -> dict[str, str]:
+        """Folder of the current version of each table and delta."""
+        log = self._names("log")
+        return self._version(log[-1]) if log else {}
+
+    def deltas(self, table: str) -> list[str]:
+        return sorted(n for n in self.tables() if n.startswith(f"{table}@"))
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.tables()[table]}")
+        folders = self.tables()
+        rows = lambda name: self.spark.read.parquet(f"{self.root}/{folders[name]}")
+        base, deltas = rows(table), sorted(n for n in folders if n.startswith(f"{table}@"))
+        if not deltas:
+            return base
+        key = deltas[-1].split("@")[2].split(",")
+        every = base.withColumn("_batch", F.lit(-1))
+        for n, name in enumerate(deltas):
+            every = every.unionByName(rows(name).select(*base.columns).withColumn("_batch", F.lit(n)))
+        return latest(every, key, [F.col("_batch")]).drop("_batch")
 
     def begin(self) -> Transaction:
         return Transaction(self)
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all versions but the last ``keep``, and the rows that only they have."""
+        log = self._names("log")
+        kept = log[-keep:]
+        named = {folder.rsplit("/", 1)[-1] for n in kept for folder in self._version(n).values()}
+        first = min((self._fs.getFileStatus(self._path(f"log/{n}")).getModificationTime() for n in kept), default=0)
+        for n in log[:-keep]:
+            self._fs.delete(self._path(f"log/{n}"), False)
+        for n in self._names("data"):
+            # what is younger than the versions kept may belong to a transaction under way
+            if n not in named and self._fs.getFileStatus(self._path(f"data/{n}")).getModificationTime() < first:
+                self._fs.delete(self._path(f"data/{n}"), True)
+
 
 class Transaction:
     """Staged versions of tables. Leaving the block by an error, or without commit, drops them."""
 
     def __init__(self, store: Store) -> None:
-        self.store, self.staged, self.number = store, {}, len(store._versions())
+        log = store._names("log")
+        self.store, self.staged, self.dropped, self.number = store, {}, set(), int(log[-1]) + 1 if log else 0
 
     def __enter__(self) -> Transaction:
         return self
@@ -157,22 +191,26 @@ class Transaction:
         return self.store.spark.read.parquet(f"{self.store.root}/{self.staged[table]}") if table in self.staged else self.store.read(table)
 
     def write(self, table: str, df: DataFrame) -> None:
-        folder = f"data/{table}-{uuid.uuid4().hex}"
+        """A new version of the table, instead of what it has, its deltas included."""
+        folder = f"data/{re.sub('[^A-Za-z0-9_]', '_', table)}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.store.root}/{folder}")
         self.staged[table] = folder
+        self.dropped |= set(self.store.deltas(table))
+
+    def write_delta(self, table: str, number: int, key: list[str], rows: DataFrame) -> None:
+        """Rows, one a key, that replace or join those of the table."""
+        self.write(f"{table}@{number:012d}@{','.join(key)}", rows)
 
     def truncate(self, table: str) -> None:
         self.write(table, self.read(table).limit(0))
 
     def commit(self) -> None:
         s = self.store
-        s._fs.mkdirs(s._path("log"))
-        draft, final = s._path(f"draft-{uuid.uuid4().hex}"), s._path(f"log/{self.number:09d}")
-        stream = s._fs.create(draft)
-        stream.write("".join(f"{t}\t{f}\n" for t, f in (s.tables() | self.staged).items()).encode())
-        stream.close()
-        if s._fs.exists(final) or not s._fs.rename(draft, final):
-            raise RuntimeError("another transaction was committed first")
+        named = {t: f for t, f in s.tables().items() if t not in self.dropped} | self.staged
+        try:
+            put_new(s.spark, f"{s.root}/log/{self.number:09d}", "".join(f"{t}\t{f}\n" for t, f in named.items()))
+        except FileExistsError as e:
+            raise RuntimeError("another transaction was committed first") from e
         self.staged = {}
 
     def rollback(self) -> None:

@@ -13,7 +13,6 @@ keep this by themselves. Where writers take their number or time before they com
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -21,12 +20,11 @@ from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayledger.runtime import fits_broadcast, stage
+from wayledger.runtime import fits_broadcast, put_new, stage
 
 
 def _literal(value: datetime | int, kind: T.DataType) -> Column:
@@ -112,15 +110,13 @@ class IncrementalJob:
     run starts from the same watermark. Two runs at once race for the same manifest name and
     one of them fails.
 
-    The commit is atomic and exclusive on HDFS and file systems like it (a rename that may not overwrite) and on local and
-    network disks (a hard link). Object stores without either need a committer of their own; this class must not be used on them.
+    The commit is as atomic and exclusive as ``runtime.put_new``.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path("").getFileSystem(self._conf)
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.root}/{name}" if name else self.root)
@@ -212,22 +208,10 @@ class IncrementalJob:
         return Batch(log.where(lost & (at.isNull() | (at < _literal(upper, kind)))), log.where(old), since, upper)
 
     def _commit(self, manifest: dict) -> None:
-        self._fs.mkdirs(self._path("commits"))
-        draft, final = self._path(f"drafts/{uuid.uuid4().hex}"), self._path(f"commits/{manifest['run']:09d}.json")
-        stream = self._fs.create(draft)
-        stream.write(json.dumps(manifest).encode())
-        stream.close()
         try:
-            if self._fs.getScheme() == "file":
-                os.link(draft.toUri().getPath(), final.toUri().getPath())
-            else:
-                jvm = self.spark.sparkContext._jvm
-                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-                self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(draft, final, options)
-        except (FileExistsError, Py4JJavaError) as e:
-            if self._fs.exists(final):
-                raise RuntimeError(f"run {manifest['run']} was committed by another job") from e
-            raise
+            put_new(self.spark, f"{self.root}/commits/{manifest['run']:09d}.json", json.dumps(manifest))
+        except FileExistsError as e:
+            raise RuntimeError(f"run {manifest['run']} was committed by another job") from e
 
     def output(self) -> DataFrame | None:
         """All committed outputs; None if there is none."""
@@ -235,10 +219,9 @@ class IncrementalJob:
         return self.spark.read.parquet(*paths) if paths else None
 
     def clean(self) -> None:
-        """Remove outputs and drafts that no manifest names; only while no run is under way."""
+        """Remove outputs that no manifest names; only while no run is under way."""
         named = {(m["output"] or "").rsplit("/", 1)[-1] for m in self.manifests()}
-        for folder in ("data", "drafts"):
-            if self._fs.exists(self._path(folder)):
-                for s in self._fs.listStatus(self._path(folder)):
-                    if s.getPath().getName() not in named:
-                        self._fs.delete(s.getPath(), True)
+        if self._fs.exists(self._path("data")):
+            for s in self._fs.listStatus(self._path("data")):
+                if s.getPath().getName() not in named:
+                    self._fs.delete(s.getPath(), True)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place, whole and at once; FileExistsError if there is one of that name.
+
+    Atomic and exclusive on HDFS and file systems like it (a rename that may not overwrite) and on local and
+    network disks (a hard link). Object stores without either need a committer of their own.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(conf)
+    draft = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".draft-{uuid.uuid4().hex}")
+    fs.mkdirs(final.getParent())
+    stream = fs.create(draft)
+    stream.write(text.encode())
+    stream.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(draft, final, options)
+    except Py4JJavaError as e:
+        if fs.exists(final):
+            raise FileExistsError(path) from e
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
 HOT_KEYS = 50_000  # a key with more than this part of all rows is hot, so there are no more hot keys than that
 HOT_ROWS = 10_000  # rows below which no key is hot
 HOT_BYTES = 64 << 20  # bytes of rows that a broadcast of hot keys may hold

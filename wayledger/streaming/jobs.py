@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 import time as clock
 import uuid
@@ -23,10 +22,11 @@ def last_edits(edits: DataFrame, key: list[str], order: list[Column]) -> DataFra
     return latest(edits, key, order)
 
 
-def apply_edits(store: Store, table: str, key: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
+def apply_edits(store: Store, table: str, key: list[str], order: list[Column], compact_after: int = 100) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch``: last edits replace or join the rows of a table.
 
-    The batch number is committed with the rows, so a batch that is delivered again changes nothing.
+    The batch number is committed with the rows, so a batch that is delivered again changes nothing. A batch is
+    written as a delta; after ``compact_after`` of them the table is written whole, and versions before the last two are removed.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -35,10 +35,19 @@ def apply_edits(store: Store, table: str, key: list[str], order: list[Column]) -
             return
         with store.begin() as tx:
             new = last_edits(batch, key, order)
-            old = tx.read(table).join(new.select(*key), key, "left_anti") if table in store.tables() else None
-            tx.write(table, new if old is None else old.unionByName(new.select(*old.columns)))
+            full = len(store.deltas(table)) >= compact_after
+            if table not in store.tables():
+                tx.write(table, new)
+            elif full:
+                old = store.read(table)
+                every = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
+                tx.write(table, latest(every, key, [F.col("_new")]).drop("_new"))
+            else:
+                tx.write_delta(table, number, key, new)
             tx.write("_batches", store.spark.createDataFrame(list((seen | {table: number}).items()), "table string, batch bigint"))
             tx.commit()
+        if full:
+            store.vacuum()
 
     return sink
 
@@ -148,13 +157,17 @@ def retry(action: Callable[[], object], attempts: int = 5, wait: Callable[[float
 def upload_batches(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch`` that writes each batch once, under its number."""
 
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
     def sink(batch: DataFrame, number: int) -> None:
-        done = f"{folder}/batch-{number:09d}"
-        if os.path.exists(done):
+        done = hadoop.Path(f"{folder}/batch-{number:09d}")
+        if fs.exists(done):
             return
         draft = f"{folder}/.draft-{uuid.uuid4().hex}"
         batch.write.json(draft)
-        os.replace(draft, done)
+        if not fs.rename(hadoop.Path(draft), done):
+            raise RuntimeError(f"batch {number} could not be put in place")
 
     return sink
 
