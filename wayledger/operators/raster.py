@@ -1,7 +1,7 @@
 """Rasters as tables of (image, x, y, v), their statistics and neighbourhood filters, and the tile pyramid.
 
 A neighbourhood is reached by sending each cell to its neighbours (explode) and aggregating there: one
-shuffle by cell, no self join.
+shuffle by block, with a margin as wide as the filter, no self join.
 """
 
 from __future__ import annotations
@@ -32,15 +32,27 @@ def absolute_difference(a: DataFrame, b: DataFrame, image: str) -> DataFrame:
     return sums.withColumn("moving", F.col("sad") / F.col("n") > 4)
 
 
-def _spread(cells: DataFrame, radius: int) -> DataFrame:
+BLOCK = 32  # cells along a side of the blocks that a filter works in
+
+
+def _spread(cells: DataFrame, image: str, radius: int) -> DataFrame:
+    """Each cell sent to the cells around it, ``_dx`` and ``_dy`` away, within blocks of an image.
+
+    Only the cells near the border of a block travel to more than one block; the spreading itself is done where the block is.
+    """
+    blocks = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - radius) / BLOCK), F.floor((F.col(c) + radius) / BLOCK), F.floor(F.col(c) / BLOCK))))
+    placed = cells.withColumn("_bx", blocks("x")).withColumn("_by", blocks("y")).repartition(image, "_bx", "_by")
     steps = F.array(*[F.struct(F.lit(i).alias("_dx"), F.lit(j).alias("_dy")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    return cells.select("*", F.inline(steps)).withColumns({"x": F.col("x") + F.col("_dx"), "y": F.col("y") + F.col("_dy")})
+    spread = placed.select("*", F.inline(steps)).withColumns({"x": F.col("x") + F.col("_dx"), "y": F.col("y") + F.col("_dy")})
+    return spread.where((F.floor(F.col("x") / BLOCK) == F.col("_bx")) & (F.floor(F.col("y") / BLOCK) == F.col("_by")))
 
 
 def _filtered(cells: DataFrame, image: str, radius: int, value: Column) -> DataFrame:
     """Each cell of ``cells`` with ``value`` aggregated over the cells around it, at the borders over fewer."""
-    own = F.max(F.when((F.col("_dx") == 0) & (F.col("_dy") == 0), F.struct("v"))).alias("_own")
-    return _spread(cells, radius).groupBy(image, "x", "y").agg(value.alias("filtered"), own).where("_own is not null").select(image, "x", "y", F.col("_own.v").alias("v"), "filtered")
+    at_home = (F.col("_dx") == 0) & (F.col("_dy") == 0)
+    own = [F.max(F.when(at_home, F.col("v"))).alias("v"), F.max(F.when(at_home, 1)).alias("_own")]
+    # the blocks are among the keys, so the aggregation needs no shuffle of its own
+    return _spread(cells, image, radius).groupBy(image, "_bx", "_by", "x", "y").agg(value.alias("filtered"), *own).where("_own is not null").select(image, "x", "y", "v", "filtered")
 
 
 def box_blur(cells: DataFrame, image: str, radius: int = 1) -> DataFrame:
