@@ -132,6 +132,11 @@ def hashes(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.md5("c_name").alias("m"), F.sha2("c_name", 256).alias("s"), S.combined_signature(_c("c_name"), _c("c_mktsegment"), _c("c_nationkey")).alias("g"))
 
 
+@q("fnv1a", "select c_custkey, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(c_name, ''), lambda c: ord(c)::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) as fnv1a from customer")
+def fnv1a(spark, d):
+    return read(spark, d, "customer").select("c_custkey", S.fnv1a("c_name").alias("fnv1a"))
+
+
 @q("hashes_more")
 def hashes_more(spark, d):
     return read(spark, d, "customer").select("c_custkey", S.fnv1a("c_name").alias("fnv1a"), F.crc32("c_name").alias("crc32"), F.xxhash64("c_name").alias("xxhash64"))

@@ -96,7 +96,26 @@ def morton(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.morton(F.col("l_linenumber"), F.col("l_quantity").cast("bigint"), 8).alias("z"))
 
 
-@q("hilbert_sierpinski")
+def _hilbert_sql(side: int) -> str:
+    """The curves as a chain of steps, one a level: (h, x, y, d) and (s, u, v, e)."""
+    out = [f"c0 as (select l_orderkey, l_linenumber, l_linenumber::bigint as x, {side - 1} - l_quantity::bigint as y, 0::bigint as d, case when l_linenumber > l_quantity then {side - 1} - l_linenumber else l_linenumber end::bigint as u, case when l_linenumber > l_quantity then {side - 1} - l_quantity else l_quantity end::bigint as v, (l_linenumber > l_quantity)::bigint as e from lineitem)"]
+    level, n = side // 2, 0
+    while level:
+        rx, ry = f"(x & {level}) > 0", f"(y & {level}) > 0"
+        flip = f"not ({ry}) and {rx}"
+        fx, fy = f"(case when {flip} then {side - 1} - x else x end)", f"(case when {flip} then {side - 1} - y else y end)"
+        far = f"u + v > {side - 1}"
+        pu, pv = f"(case when {far} then {side - 1} - v else u end * 2)", f"(case when {far} then u else v end * 2)"
+        high = f"{pv} > {side - 1}"
+        out.append(
+            f"c{n + 1} as (select l_orderkey, l_linenumber, case when {ry} then {fx} else {fy} end as x, case when {ry} then {fy} else {fx} end as y, d + {level * level} * (case when {rx} then 3 - ({ry})::bigint else ({ry})::bigint end) as d, "
+            f"case when {high} then {pv} - {side - 1} else {pu} end as u, case when {high} then {side - 1} - {pu} else {pv} end as v, (e * 2 + ({far})::bigint) * 2 + ({high})::bigint as e from c{n})"
+        )
+        level, n = level // 2, n + 1
+    return f"with {', '.join(out)} select l_orderkey, l_linenumber, d as h, e as s from c{n}"
+
+
+@q("hilbert_sierpinski", _hilbert_sql(64))
 def hilbert_sierpinski(spark, d):
     x, y = F.col("l_linenumber").cast("bigint"), F.col("l_quantity").cast("bigint")
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.hilbert(x, y, 6).alias("h"), G.sierpinski(x, y, 63).alias("s"))

@@ -157,7 +157,8 @@ def photo_list(spark, d):
     return photos.select("url").join(todo, "url", "left").select("url", F.coalesce("todo", F.lit(False)).alias("todo"))
 
 
-@q("photo_analysis")
+@q("photo_analysis", "select p_name as url, 'letters' as model, 'v1' as version, strlen(p_name)::int as length from part")
 def photo_analysis(spark, d):
     photos = read(spark, d, "part").select(F.col("p_name").alias("url"))
-    return jobs.analysis_pipeline(photos, lambda u: u.encode(), {"letters": lambda batch: [{"length": len(x)} for x in batch]}, "v1")
+    found = jobs.analysis_pipeline(photos, lambda u: u.encode(), {"letters": lambda batch: [{"length": len(x)} for x in batch]}, "v1")
+    return found.select("url", "model", "version", F.col("counts")["length"].alias("length"))

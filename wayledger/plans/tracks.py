@@ -175,7 +175,13 @@ def track_smooth(spark, d):
     return S.smooth(_metric(spark, d), 0.3, 5.0)
 
 
-@q("emitted_frames")
+@q(
+    "emitted_frames",
+    f"""with recursive {_XY}, {_SPEED}, p as (select m.track_id, m.dt, m.x, m.y, coalesce(sp.speed > 4, false) as fast, row_number() over (partition by m.track_id order by m.dt) as n from m join sp on sp.track_id = m.track_id and sp.dt = m.dt),
+r as (select track_id, n, dt, x as ex, y as ey, true as emitted from p where n = 1
+  union all select p.track_id, p.n, p.dt, case when p.fast or sqrt(pow(p.x - r.ex, 2) + pow(p.y - r.ey, 2)) > 1 then p.x else r.ex end, case when p.fast or sqrt(pow(p.x - r.ex, 2) + pow(p.y - r.ey, 2)) > 1 then p.y else r.ey end, p.fast or sqrt(pow(p.x - r.ex, 2) + pow(p.y - r.ey, 2)) > 1 from r join p on p.track_id = r.track_id and p.n = r.n + 1)
+select track_id, dt from r where emitted""",
+)
 def emitted_frames(spark, d):
     m = _metric(spark, d)
     return S.emitted_frames(m.join(S.speeds(m), ["track_id", "dt"]))
