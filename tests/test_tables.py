@@ -149,3 +149,17 @@ def test_a_pattern_matches_the_whole_text(spark):
     df = spark.createDataFrame([("abc",), ("abc\n",), ("a\nc",)], "t string")
     assert [r[0] for r in df.select(scalars.wildcard(F.col("t"), "abc")).collect()] == [True, False, False]
     assert [r[0] for r in df.select(scalars.wildcard(F.col("t"), "a?c")).collect()] == [True, False, True]
+
+
+def test_rows_one_by_one_and_sinks(spark, tmp_path):
+    df = spark.range(1000).repartition(3)
+    assert sorted(r.id for r in crud.iterate(df)) == list(range(1000))
+
+    def sink(batches):
+        total = sum(sum(b.column(0).to_pylist()) for b in batches)
+        (tmp_path / f"{total}").write_text("")
+
+    assert crud.consume(df, sink) == 1000 and sum(int(p.name) for p in tmp_path.iterdir()) == sum(range(1000))
+    assert crud.consume(df.limit(0), sink) == 0
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        list(crud.iterate(df.mapInArrow(lambda b: [1 / 0], "id long")))

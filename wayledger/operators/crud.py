@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +116,32 @@ def error_kind(error: Exception) -> str:
     return "type" if condition.startswith(("DATATYPE_MISMATCH", "CAST_")) else "other"
 
 
+def iterate(df: DataFrame) -> Iterator[Row]:
+    """The rows one by one, a partition at a time: the driver never holds more than two partitions. An error ends the iteration where it occurs."""
+    yield from df.toLocalIterator(prefetchPartitions=True)
+
+
+def consume(df: DataFrame, sink: Callable[[Iterator[pa.RecordBatch]], None]) -> int:
+    """Hand the rows of each partition to ``sink``, in Arrow batches, where they are; gives their number.
+
+    A partition whose task fails is handed over again from its start, so a sink must bear repetition.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            for batch in batches:
+                n += batch.num_rows
+                yield batch
+
+        sink(counted())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return df.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 class Store:
     """Tables in a folder. A transaction stages new versions; commit names them all in one new file of the log.
 
