@@ -208,3 +208,18 @@ def test_xml(spark):
     x = df.select(scalars.xml_parse(F.col("t"), "_id int, name string").alias("x"))
     assert tuple(x.first().x) == (3, "x")
     assert "<name>x</name>" in x.select(scalars.xml_text(F.col("x")).alias("t")).first().t
+
+
+def test_medians_of_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 30_001), (None, 4000), ("b", 1), ("c", 2)) for v in rng.normal(size=n)] + [("t", 1.0)] * 50 + [("t", 2.0)] * 50 + [("n", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: sorted(v for k, v in rows if k == g and v is not None and v == v) for g in ("a", None, "b", "c", "t")}
+    for accuracy in (10_000, 20):
+        assert {r.g: r.median for r in S.upper_median_by(df, ["g"], "v", accuracy).collect()} == {g: v[len(v) // 2] for g, v in want.items()}
+
+
+def test_every_byte_is_decoded(spark):
+    df = spark.createDataFrame([(1, bytes(range(256))), (2, b""), (3, None)], "image int, pixels binary")
+    got = sorted((r.y * 16 + r.x, r.v) for r in R.decode(df, "image", "pixels", 16).collect())
+    assert got == [(i, i) for i in range(256)]

@@ -15,7 +15,8 @@ from wayledger.operators.series import upper_median
 
 def decode(rasters: DataFrame, image: str, pixels: str, width: int) -> DataFrame:
     """(image, x, y, v) of rasters with one byte per cell."""
-    codes = F.transform(F.sequence(F.lit(0), F.length(pixels) - 1), lambda i: F.struct((i % width).alias("x"), F.floor(i / width).cast("int").alias("y"), F.conv(F.hex(F.substring(F.col(pixels), i + 1, F.lit(1))), 16, 10).cast("int").alias("v")))
+    letters = F.slice(F.split(F.decode(pixels, "ISO-8859-1"), ""), F.lit(1), F.length(pixels))  # a letter a byte
+    codes = F.transform(letters, lambda c, i: F.struct((i % width).alias("x"), F.floor(i / width).cast("int").alias("y"), F.ascii(c).alias("v")))
     return rasters.where(F.length(pixels) > 0).select(image, F.inline(codes))
 
 

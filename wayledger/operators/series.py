@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -167,11 +169,30 @@ def upper_median(column: str, kind: str = "double") -> Column:
     """Aggregate: the element at half the count of the sorted values, from 0, so the upper of the two middle ones.
 
     It is the lower median of the negated values. Counts of distinct values merge map-side; no values are
-    gathered. ``upper_median_of`` is for columns with more distinct values than memory holds.
+    gathered. ``upper_median_by`` and ``upper_median_of`` are for more distinct values than memory holds.
     """
     return F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{column}`)").cast(kind)
 
 
+def upper_median_by(df: DataFrame, group: list[str], column: str, accuracy: int = 10_000) -> DataFrame:
+    """(group, median): the upper median of each group of any size, exactly.
+
+    A sketch brackets the middle of each group to a few ``accuracy``-ths of its rows; only values in the bracket are sorted, and
+    their ranks follow from the number of values below it. Null and NaN values do not count; groups without others do not come out.
+    """
+    keys = [f"_g{i}" for i in range(len(group))]
+    values = df.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col(column).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    edge = 2 / accuracy
+    bracket = F.percentile_approx("_v", F.lit([max(0.0, 0.5 - edge), 0.5 + edge]), F.lit(accuracy))
+    sized = values.groupBy(*keys).agg(F.count("*").alias("_n"), bracket.alias("_b")).select(*[F.col(k).alias(f"_s{k}") for k in keys], "_n", F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys])
+    near = values.join(sized, same).withColumn("_in", F.when(F.col("_v") < F.col("_low"), F.lit(None).cast("double")).otherwise(F.col("_v"))).where(F.col("_v") <= F.col("_high"))
+    counted = near.groupBy(*keys, "_n", "_in").agg(F.count("*").alias("_m"))  # the null counts what is below the bracket
+    upto = F.sum("_m").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_in")))
+    hit = counted.withColumn("_upto", upto).where((F.col("_upto") > F.floor(F.col("_n") / 2)) & (F.col("_upto") - F.col("_m") <= F.floor(F.col("_n") / 2)))
+    return hit.select(*[F.col(k).alias(g) for g, k in zip(group, keys)], F.col("_in").alias("median"))
+
+
 def upper_median_of(df: DataFrame, column: str, bins: int = 4096) -> DataFrame:
     """One row: the upper median of a column of any size, exactly.
 

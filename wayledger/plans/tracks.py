@@ -100,7 +100,7 @@ def rolling_upper_median(spark, d):
 
 @q("upper_median", "select event_type, list_sort(list(value))[count(value) // 2 + 1] as m from events group by event_type")
 def upper_median(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(S.upper_median("value").alias("m"))
+    return S.upper_median_by(read(spark, d, "events"), ["event_type"], "value").withColumnRenamed("median", "m")
 
 
 @q("upper_median_whole", "select l_extendedprice as median from lineitem order by 1 limit 1 offset (select count(*) // 2 from lineitem)")
