@@ -35,7 +35,7 @@ def record_groups(records: DataFrame, record: str, entity: Column) -> DataFrame:
     edges = records.select(F.col(record).alias("record"), entity.alias("entity")).where(F.col("record").isNotNull() & F.col("entity").isNotNull()).distinct()
     edges = stage(edges, "edges")
     total = edges.count()
-    labels = edges.groupBy("entity").agg(F.min("record").alias("label"), F.count("*").alias("n"))
+    labels = stage(edges.groupBy("entity").agg(F.min("record").alias("label"), F.count("*").alias("n")), "entities")
     bridges = edges.groupBy("record").agg(F.count("*").alias("n")).where("n > 1").select("record")
     links = stage(edges.join(bridges, "record", "left_semi"), "links")
     if links.isEmpty():
