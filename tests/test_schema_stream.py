@@ -135,10 +135,17 @@ def test_deltas_are_merged_and_compacted(spark, tmp_path):
         sink(spark.createDataFrame([("a", "d", str(n), n), (f"i{n}", "d", "x", n)], EDIT), n)
         assert {(r.image, r.value) for r in store.read("label").collect()} == {("a", str(n)), *((f"i{k}", "x") for k in range(n + 1))}
     assert len(store.deltas("label")) == 2 and len(store._names("log")) <= 4
+    late = store.begin()
     with store.begin() as tx:
         tx.truncate("label")
         tx.commit()
     assert store.read("label").count() == 0 and not store.deltas("label")
+    for n in (6, 7):
+        sink(spark.createDataFrame([("a", "d", "x", n)], EDIT), n)
+    store.vacuum(1)
+    late.truncate("label")
+    with pytest.raises(RuntimeError, match="first"):
+        late.commit()
 
 
 def test_failed_batch_is_done_again(spark, tmp_path):

@@ -234,6 +234,9 @@ class Transaction:
 
     def commit(self) -> None:
         s = self.store
+        log = s._names("log")
+        if log and int(log[-1]) >= self.number:  # its file may be gone already
+            raise RuntimeError("another transaction was committed first")
         named = {t: f for t, f in s.tables().items() if t not in self.dropped} | self.staged
         try:
             put_new(s.spark, f"{s.root}/log/{self.number:09d}", "".join(f"{t}\t{f}\n" for t, f in named.items()))
