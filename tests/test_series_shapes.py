@@ -80,6 +80,7 @@ def test_long_tracks_are_cut(spark, monkeypatch):
     run = lambda: [sorted(map(str, f.collect())) for f in (S.interpolate(df, times, values=("x", "y")), S.segments(df, "track_id", "dt", ("x", "y")), S.speeds(df), S.steps(df), S.smooth(df, 0.3, 2.0))]
     whole = run()
     assert S.pieces(df, "track_id", "dt") is None
+    monkeypatch.setattr(S, "SMALL_BYTES", 0)
     monkeypatch.setattr(S, "PIECE_ROWS", 100)
     cut = S.pieces(df, "track_id", "dt").collect()
     assert [r.track_id for r in cut] == [1] and len(cut[0]._bounds) == 15

@@ -26,6 +26,7 @@ def clean_track(points: DataFrame, track: str = "track_id", t: str = "dt", value
 
 
 PIECE_ROWS = 1_000_000  # points of a track that one task may sort; longer tracks are cut in time
+SMALL_BYTES = 64 << 20  # input that Spark expects to be smaller is not looked through for long tracks; results are the same either way
 PIECES = 10_000  # pieces that all tracks together are cut into at most, so their bounds are small
 
 
@@ -35,6 +36,8 @@ def pieces(points: DataFrame, track: str, t: str) -> DataFrame | None:
     A track is too long with more than PIECE_ROWS points and more than a PIECES-th of all points. The percentiles are
     exact to a tenth of a piece.
     """
+    if int(str(points._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
+        return None
     sizes = points.groupBy(track).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     limit = max(PIECE_ROWS, total // PIECES)
